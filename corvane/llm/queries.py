@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, work_path
 
 
 def tokenizer_path(name: str) -> str:
@@ -14,12 +14,48 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rules of op4 and shards of op1, as their contracts fix them.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+SHARDS = 8
+
+
+def op1_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    packed = sharding.pack_into(read(spark, sf_dir, "documents"), SHARDS)
+    return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     return bpe.encode(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), full=False)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_rules
+
+    return url_rules.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP4_SQL = """
+WITH rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM rest
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), named AS (
+  SELECT page_id, host, path, (
+    SELECT arg_max(struct_pack(rule := rule_host || rule_path, verdict := verdict), length(rule_host || rule_path)) FROM rules
+    WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS best
+  FROM parts
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM named
+"""
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -33,9 +69,37 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ogg_media
+
+    return ogg_media.roundtrip(read(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    path = work_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), g AS (SELECT hex, max(page_id) AS last FROM p GROUP BY hex),
+b AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31)::INT, 1)), 'string_agg', '') AS payload_digest, last
+  FROM p JOIN g USING (hex)
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to FROM b
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe_roundtrip, op5_simhash_dedup, op8_token_counts)}
+    return {f.__name__: f for f in (op1_bin_packing, op3_bpe_roundtrip, op4_url_filter, op5_simhash_dedup, op8_token_counts, op9_ogg_media, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": OP4_SQL, "op10_warc": OP10_SQL}
