@@ -26,6 +26,13 @@ def op1_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tiling
+
+    found = tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", F.size("tiles").alias("n_tiles"), F.array_max(F.transform("tiles", lambda t: t["words"])).alias("longest_tile"))
+
+
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -63,6 +70,18 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import license_scan
+
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_count
 
@@ -98,7 +117,7 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bin_packing, op3_bpe_roundtrip, op4_url_filter, op5_simhash_dedup, op8_token_counts, op9_ogg_media, op10_warc)}
+    return {f.__name__: f for f in (op1_bin_packing, op2_decontaminate, op3_bpe_roundtrip, op4_url_filter, op5_simhash_dedup, op6_license_scan, op7_importance_resampling, op8_token_counts, op9_ogg_media, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,6 +28,8 @@ from .components import components
 #: First bit and width of each segment on the ring.
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 BITS = 4
+#: Fingerprints of a text in similar_components(): each finds about two in three of the pairs at a similarity of 0.8.
+TABLES = 4
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -43,35 +45,55 @@ def hashes(text: str, shingle: int) -> list[int]:
     return [digest(line[a : b - 1], 42) for a, b in zip(starts, starts[shingle:])]
 
 
-def fingerprint(h: list[int]) -> int:
+def fingerprint(h: list[int] | np.ndarray) -> int:
     """The bits that are set in over half of the hashes, as a signed number."""
-    if not h:
+    if not len(h):
         return 0
-    bits = np.unpackbits(np.array(h, dtype=">u8").view(np.uint8)).reshape(-1, 64)
+    bits = np.unpackbits(np.asarray(h, dtype=">u8").view(np.uint8)).reshape(-1, 64)
     return int(np.packbits(np.add.reduce(bits, axis=0, dtype=np.int64) * 2 > len(h)).view(">i8")[0])
 
 
-def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = 5, distinct: bool = False, text: str = "text") -> DataFrame:
-    """The columns of ``keep`` with fp (long). distinct: each shingle counts once."""
+def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = 5, text: str = "text") -> DataFrame:
+    """The columns of ``keep`` with fp (long)."""
     types = dict(df.dtypes)
 
     def make():
         def work(*columns):
-            return [*columns[:-1], [fingerprint(list(set(h)) if distinct else h) for h in (hashes(t, shingle) for t in columns[-1])]]
+            return [*columns[:-1], [fingerprint(hashes(t, shingle)) for t in columns[-1]]]
 
         return work
 
     return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], ", ".join([f"`{c}` {types[c]}" for c in keep] + ["fp long"]), make)
 
 
+def word_fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), tables: int = TABLES, text: str = "text") -> DataFrame:
+    """The columns of ``keep`` with fps: fingerprints of the set of words under ``tables`` hash functions."""
+    types = dict(df.dtypes)
+
+    def make():
+        def work(*columns):
+            found = []
+            for t in columns[-1]:
+                h = np.unique(np.array(hashes(t, 1), dtype=np.uint64))
+                mixed = [h * np.uint64(2 * k * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1) for k in range(tables)]
+                found.append([fingerprint(m ^ (m >> np.uint64(29))) for m in mixed])
+            return [*columns[:-1], found]
+
+        return work
+
+    return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], ", ".join([f"`{c}` {types[c]}" for c in keep] + ["fps array<long>"]), make)
+
+
 def _segment(fp: Column, k: int) -> Column:
     start, width = SEGMENTS[k % len(SEGMENTS)]
     return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def near_pairs(classes: DataFrame) -> DataFrame:
-    """classes: (fp), each once. Pairs (u, v) of fingerprints that differ in at most BITS bits, u < v; a pair may come more than once."""
+def near_pairs(classes: DataFrame, fp: Column | None = None) -> DataFrame:
+    """classes: (node long), each once, with the fingerprint ``fp`` (the node itself). Pairs (u, v) of nodes whose fingerprints
+    differ in at most BITS bits, u < v; a pair may come more than once."""
     n = len(SEGMENTS)
+    classes = classes.select("node", (F.col("node") if fp is None else fp).alias("fp"))
     fp = F.col("fp")
     start = [F.lit(k << 26).bitwiseOR(F.shiftleft(_segment(fp, k), 13)).bitwiseOR(_segment(fp, k + 1)) for k in range(n)]
 
@@ -79,9 +101,9 @@ def near_pairs(classes: DataFrame) -> DataFrame:
         flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(SEGMENTS[(k + 1) % n][1])))])
         return F.transform(flips, lambda x: start[k].bitwiseXOR(x))
 
-    left = classes.select(F.col("fp").alias("u"), F.explode(F.array(*start)).alias("at"))
-    right = classes.select(F.col("fp").alias("v"), F.explode(F.flatten(F.array(*[within_one_bit(k) for k in range(n)]))).alias("at"))
-    differ = F.col("u").bitwiseXOR(F.col("v"))
+    left = classes.select(F.col("node").alias("u"), F.col("fp").alias("x"), F.explode(F.array(*start)).alias("at"))
+    right = classes.select(F.col("node").alias("v"), F.col("fp").alias("y"), F.explode(F.flatten(F.array(*[within_one_bit(k) for k in range(n)]))).alias("at"))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
     begin = F.shiftright("at", 26)
     chain = F.lit(False)
     for k in range(n):
@@ -92,21 +114,73 @@ def near_pairs(classes: DataFrame) -> DataFrame:
 
 
 def classes_of(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """One row for each fingerprint: fp, rep (its smallest id), n_rows."""
-    return rows.groupBy("fp").agg(F.min(id_column).alias("rep"), F.count("*").alias("n_rows"))
+    """One row for each node: node, rep (its smallest id) and fps, if there are any."""
+    return rows.groupBy("node").agg(F.min(id_column).alias("rep"), *[F.first(c).alias(c) for c in rows.columns if c == "fps"])
 
 
 def with_labels(rows: DataFrame, classes: DataFrame, links: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """rows with component_id: the smallest id that links (u, v of fingerprints) reach. rows and classes are read from storage."""
-    found = staged(components(links), "labels")
-    least = found.join(classes, found["node"] == classes["fp"]).groupBy("label").agg(F.min("rep").alias("first"))
-    named = found.join(least, "label").select(F.col("node").alias("fp"), "first")
-    table = staged(classes.join(named, "fp", "left").select("fp", F.coalesce("first", "rep").alias("component_id")), "components")
-    return rows.join(table, rows["fp"].eqNullSafe(table["fp"])).select(*[rows[c] for c in rows.columns], "component_id")
+    """rows with component_id: the smallest id that links (u, v of nodes) reach. rows and classes are read from storage."""
+    found = staged(components(links).withColumnRenamed("node", "member"), "labels")
+    least = found.join(classes, found["member"] == classes["node"]).groupBy("label").agg(F.min("rep").alias("first"))
+    named = found.join(least, "label").select(F.col("member").alias("node"), "first")
+    table = staged(classes.join(named, "node", "left").select("node", F.coalesce("first", "rep").alias("component_id")), "components")
+    return rows.join(table, "node")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, text: str = "text") -> DataFrame:
     """One row for each row of df: its id, fp and component_id, with links at BITS or fewer differing bits."""
-    rows = staged(fingerprints(df, (id_column,), shingle, text=text), "fingerprints")
+    rows = staged(fingerprints(df, (id_column,), shingle, text).withColumnRenamed("fp", "node"), "fingerprints")
+    classes = staged(classes_of(rows, id_column), "classes")
+    return with_labels(rows, classes, near_pairs(classes), id_column).select(id_column, F.col("node").alias("fp"), "component_id")
+
+
+def _shingle_sets(df: DataFrame, id_column: str, shingle: int, text: str) -> DataFrame:
+    """id and the sorted distinct shingle hashes of each row, as signed numbers."""
+    types = dict(df.dtypes)
+
+    def make():
+        def work(ids, texts):
+            return [ids, [np.unique(np.array(hashes(t, shingle), dtype=np.uint64).view(np.int64)).tolist() for t in texts]]
+
+        return work
+
+    return arrow_map(df.select(id_column, text_or_empty(text)), [id_column, text], f"`{id_column}` {types[id_column]}, shingles array<long>", make)
+
+
+def similar_components(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """One row for each row of df: its id and component_id. Candidates come from TABLES fingerprints of the set of single words,
+    which small edits change least; texts whose fingerprints are all equal are one node. A link between two nodes is kept if the
+    shingle sets of their first documents have a Jaccard similarity of ``similarity`` or more. Ids are unique, or rows of one id
+    have one text."""
+    rows = word_fingerprints(df, (id_column,), text=text).withColumn("node", F.xxhash64("fps"))
+    rows = staged(rows, "fingerprints")
     classes = staged(classes_of(rows, id_column), "classes")
-    return with_labels(rows, classes, near_pairs(classes.select("fp")), id_column)
+    rows = rows.drop("fps")
+    pairs = near_pairs(classes, F.col("fps")[0])
+    for k in range(1, TABLES):
+        pairs = pairs.unionByName(near_pairs(classes, F.col("fps")[k]))
+    ends = classes.select(F.col("node").alias("u"), F.col("rep").alias("a")), classes.select(F.col("node").alias("v"), F.col("rep").alias("b"))
+    named = pairs.distinct().join(ends[0], "u").join(ends[1], "v")
+    named = staged(named, "candidates")
+    wanted = named.select(F.col("a").alias(id_column)).union(named.select("b")).distinct()
+    sets = staged(_shingle_sets(df.join(wanted, id_column, "left_semi"), id_column, shingle, text).dropDuplicates([id_column]), "shingles")
+    left = sets.select(F.col(id_column).alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col(id_column).alias("b"), F.col("shingles").alias("y"))
+    both = named.join(left, "a").join(right, "b")
+    common = F.size(F.array_intersect("x", "y"))
+    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
+    return with_labels(rows, classes.drop("fps"), links, id_column).select(id_column, "component_id")
+
+
+def keep_one(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """The rows of df, all columns, that are the first of their component; of repeated rows one stays. Rows of one component
+    without any id stay only if they are alone; rows without an id beside others with one go."""
+    found = staged(similar_components(df, id_column, shingle, similarity, text), "similar")
+    gone = found.where(F.col(id_column).isNotNull() & (F.col(id_column) != F.col("component_id"))).select(id_column).distinct()
+    again = found.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1").select(id_column)
+    kept = df.join(staged(gone, "gone"), id_column, "left_anti").select(*df.columns)
+    again = staged(again, "repeated")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, id_column, "left_semi").select(*df.columns).dropDuplicates([id_column])
+    return kept.join(again, id_column, "left_anti").select(*df.columns).unionByName(once)
