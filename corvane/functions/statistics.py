@@ -124,6 +124,8 @@ def k1(x: pd.Series) -> pd.Series:
 def finite_volume(df, m: str, length: str, sites: int, key: list[str]):
     """Adds fv: 4 m / L times the sum of K1(n m L) / n over the lattice points of the half cube, weighted for its symmetry. Points of
     one square of n are summed first: one row for each square, some (sites / 2)**2 of them."""
+    from corvane.operators.resample import attach
+
     half = sites // 2
     axis = F.explode(F.sequence(F.lit(0), F.lit(half)))
     weight = lambda c: F.when((F.col(c) == 0) | (F.col(c) == half), 1).otherwise(2)
@@ -131,8 +133,8 @@ def finite_volume(df, m: str, length: str, sites: int, key: list[str]):
     points = spark.range(1).select(axis.alias("x")).select("x", axis.alias("y")).select("x", "y", axis.alias("z"))
     n2 = (F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")).alias("n2")
     squares = points.select(n2, (weight("x") * weight("y") * weight("z")).alias("w")).where("n2 > 0").groupBy("n2").agg(F.sum("w").alias("w"))
-    table = squares.agg(F.array_sort(F.collect_list(F.struct("n2", "w"))).alias("lattice")).withColumn("__one", F.lit(1))
-    spread = df.withColumn("__one", F.lit(1)).join(F.broadcast(table), "__one").drop("__one").select("*", F.explode("lattice").alias("s")).drop("lattice")
+    table = squares.agg(F.array_sort(F.collect_list(F.struct("n2", "w"))).alias("lattice"))
+    spread = attach(df, table).select("*", F.explode("lattice").alias("s")).drop("lattice")
     n = F.sqrt(F.col("s.n2").cast("double"))
     summed = spread.groupBy(*key).agg(F.sum(k1(n * F.col(m) * F.col(length)) / n * F.col("s.w")).alias("__s"))
     return df.join(summed, key).withColumn("fv", 4 * F.col(m) / F.col(length) * F.col("__s")).drop("__s")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .resample import attach
+
 
 def _required(c: Column, what: str) -> Column:
     ok = c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -112,7 +114,8 @@ def rotate(series: DataFrame, amps: DataFrame, theta: Column, phi: Column | None
     on = ["replica"] if per_replica else []
     wide = a.groupBy(*on).pivot("op", ["P", "W"]).agg(F.first("a"))
     flat = series.groupBy("snk", "replica", "t").pivot("src", ["P", "W"]).agg(F.first("x"))
-    met = flat.join(wide.select(*on, F.col("P").alias("ap"), F.col("W").alias("aw")), on) if on else flat.join(F.broadcast(wide.select(F.col("P").alias("ap"), F.col("W").alias("aw"))), how="cross")
+    named = wide.select(*on, F.col("P").alias("ap"), F.col("W").alias("aw"))
+    met = flat.join(named, on) if on else attach(flat, named)
     met = met.withColumn("theta", F.explode(theta))
     s, c = sincos_deg(F.col("theta"))
     mixed = met.withColumn("m", c / F.col("ap") * F.col("P") + s / F.col("aw") * F.col("W"))
@@ -146,8 +149,8 @@ def with_ensemble(df: DataFrame, const: DataFrame) -> DataFrame:
 
 def vol_norm(df: DataFrame, factors: DataFrame) -> DataFrame:
     """x times 1 / sqrt(volume) for every operator in ``ops`` that has a volume, in every row, the central one too."""
-    f = factors.select(F.col("op"), (1 / F.sqrt("volume")).alias("f")).agg(F.map_from_entries(F.collect_list(F.struct("op", "f"))).alias("m")).withColumn("__one", F.lit(1))
-    met = df.withColumn("__one", F.lit(1)).join(F.broadcast(f), "__one").drop("__one")
+    f = factors.select(F.col("op"), (1 / F.sqrt("volume")).alias("f")).agg(F.map_from_entries(F.collect_list(F.struct("op", "f"))).alias("m"))
+    met = attach(df, f)
     product = F.aggregate("ops", F.lit(1.0), lambda acc, o: acc * F.coalesce(F.element_at("m", o), F.lit(1.0)))
     return met.withColumn("x", F.col("x") * product).drop("m")
 

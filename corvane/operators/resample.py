@@ -94,11 +94,15 @@ def draw_means(binned: DataFrame, index: DataFrame) -> DataFrame:
 
 def bootstrap_join(binned: DataFrame, index: DataFrame) -> DataFrame:
     """Replicas and central value by the exact join path. The index is external, so published draws can be given."""
-    seed = index.select("seed").distinct()
-    middle = mean_t(binned).withColumn("replica", F.lit(CENTRAL)).join(F.broadcast(seed.limit(1)), how="cross")
+    middle = attach(mean_t(binned).withColumn("replica", F.lit(CENTRAL)), index.agg(F.min("seed").alias("seed")))
     return draw_means(binned, index).unionByName(middle)
 
 
+def attach(df: DataFrame, row: DataFrame) -> DataFrame:
+    """df with the columns of a table of one row."""
+    return df.withColumn("__one", F.lit(1)).join(F.broadcast(row.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
 def bootstrap(binned: DataFrame, replicas: int, seed: int) -> DataFrame:
     """Replicas in array form (corr_id, seed, replica, re, im arrays by t) at scale: series x chunks of replicas as groups, each a
     product of a matrix of draw counts with the bins. Draws depend on seed, chunk and number of bins alone."""
