@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_covariance, q_fits, q_labels, q_ratios, q_resample, q_series  # noqa: F401
+from . import q_covariance, q_fits, q_labels, q_ratios, q_resample, q_series, q_sources  # noqa: F401
 from .registry import QUERIES, SQL
 
 
