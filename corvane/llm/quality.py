@@ -5,8 +5,8 @@ document's log-weight is the log-ratio of its likelihoods under both. Documents
 weights: the k largest of log-weight plus Gumbel noise. The noise is a function of seed and text hash, so a rerun draws the same.
 
 The raw model counts all documents. The target model counts the rows labelled good, at most FIT_ROWS of them (the least hashes
-of their ids), which bounds the list of ids that tasks get. k is the number of documents, of all, whose log-weight is at least
-the cut: the weight that all but DROP of those labelled rows reach.
+of their ids), which bounds the list of ids that tasks get. Every other of them is held out of the model and sets the cut: the
+log-weight that all but DROP of those held out reach. k is the number of documents, of all, whose log-weight is at least the cut.
 
 The k-th largest key is found by counting keys in ever finer histograms of 4096 bins; no task sorts all keys. Rows that tie
 with it are all kept. Null text counts as empty and has log-weight 0. Without labelled rows every row is kept.
@@ -26,7 +26,7 @@ from .common import arrow_map, staged, text_or_empty
 
 BUCKETS, FIT_ROWS, DROP, SEED = 10_000, 20_000, 0.001, 17
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 150_000
 
 
 class _Hashes(dict):
@@ -54,9 +54,9 @@ def _target_ids(labels: DataFrame, good, id_column: str) -> list:
 
 
 def fit(df: DataFrame, labels: DataFrame, good, buckets: int = BUCKETS, id_column: str = "doc_id", text: str = "text") -> tuple[np.ndarray, list]:
-    """The log-ratio of each bucket (raw model over all of df), and the ids of the target rows."""
+    """The log-ratio of each bucket (raw model over all of df), and the ids of the labelled rows held out."""
     ids = _target_ids(labels, good, id_column)
-    sent = df.sparkSession.sparkContext.broadcast(frozenset(ids))
+    sent = df.sparkSession.sparkContext.broadcast(frozenset(ids[::2]))
 
     def counted(batches):
         import pyarrow as pa
@@ -79,7 +79,7 @@ def fit(df: DataFrame, labels: DataFrame, good, buckets: int = BUCKETS, id_colum
     for r in parts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
         model[:, r[0]] = r[1], r[2]
     log = [np.log(m + 1) - np.log(m.sum() + buckets) for m in model]
-    return log[1] - log[0], ids
+    return log[1] - log[0], ids[1::2] or ids
 
 
 def score(df: DataFrame, ratio: np.ndarray, keep: tuple[str, ...] = ("doc_id",), id_column: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
