@@ -409,3 +409,36 @@ def disc_error(df: DataFrame, lam: float, order: int) -> DataFrame:
     """Size of the next discretisation term on the finest ensemble relative to y: (d_last, a_inv, y) by x."""
     finest = df.groupBy("x").agg(F.max_by(F.struct("d_last", "a_inv", "y"), "a_inv").alias("f")).select("x", "f.*")
     return finest.select("x", F.abs(F.col("d_last") * F.pow(lam / (2 * F.col("a_inv")), F.lit(2.0 * (order + 1))) / F.col("y")).alias("error"))
+
+
+def fit_linear_chunks(design: DataFrame, values: DataFrame, by: tuple[str, ...] = ("variation",)) -> DataFrame:
+    """Linear fits of many replicas at once where the design is the same for all (frozen covariance): one solve for each group and
+    chunk of replicas. design: (by, t, sigma, row), values: (t, chunk, first, xs array) with replicas first, first + 1, ... of a chunk."""
+    met = design.join(values, "t")
+
+    def job(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        s = pdf["sigma"].to_numpy()[:, None]
+        a, y = np.array(pdf["row"].tolist()) / s, np.array(pdf["xs"].tolist()) / s
+        p = np.linalg.lstsq(a, y, rcond=None)[0]
+        r = a @ p - y
+        n = y.shape[1]
+        return pd.DataFrame({**{c: [k] * n for c, k in zip(by, key)}, "replica": int(pdf["first"].iloc[0]) + np.arange(n), "params": list(p.T), "chi_sq": (r * r).sum(axis=0), "dof": len(a) - len(p)})
+
+    return met.groupBy(*by, "chunk").applyInPandas(job, _group_schema(design, by) + ", replica int, params array<double>, chi_sq double, dof int")
+
+
+def gaussian_chunks(points: DataFrame, replicas: int, seed: int, chunk: int = 1000) -> DataFrame:
+    """Gaussian replicas of points (t, x, sigma) as chunks of arrays: (t, chunk, first, xs); replica -1 is the value itself."""
+
+    def make(frames):
+        for pdf in frames:
+            rows = []
+            for t, x, sigma, c, key in pdf.itertuples(index=False):
+                n = min(chunk, replicas - c * chunk)
+                xs = np.random.Generator(np.random.PCG64([seed, c, key & 0xFFFFFFFF])).normal(x, sigma, n)
+                rows.append((t, c, c * chunk - (c == 0), np.concatenate(([x], xs)) if c == 0 else xs))
+            yield pd.DataFrame(rows, columns=["t", "chunk", "first", "xs"])
+
+    spread = points.select("t", "x", "sigma", F.explode(F.sequence(F.lit(0), F.lit(-(-replicas // chunk) - 1))).alias("chunk")).withColumn("key", F.xxhash64("t"))
+    return spread.mapInPandas(make, f"t {dict(points.dtypes)['t']}, chunk int, first int, xs array<double>")

@@ -483,3 +483,17 @@ def j24_comparison_table(spark, d):
     p = f.groupBy(c("corr_id").alias("fit_id"), "replica").agg(F.array(at(0), at(1)).alias("params"))
     attr = p.select("fit_id").distinct().withColumn("dof", F.lit(3))
     return rounded(ft.comparison_table(attr, ft.fit_band(p, 0.0, 2.0, 20), 0.0, 2.0), "y_low", "y_high")
+
+
+@query()
+def j23_all_variations(spark, d):
+    """The reference fit and sixteen variations of a global fit, 10000 replicas each, in one job."""
+    cu = base.table(spark, d, "customer").join(base.table(spark, d, "nation"), c("c_nationkey") == c("n_nationkey")).join(base.table(spark, d, "region"), c("n_regionkey") == c("r_regionkey"))
+    p = cu.groupBy(c("r_name").alias("ensemble"), "n_nationkey", "n_regionkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("m"), F.count("*").alias("n"))
+    p = p.select("ensemble", F.concat_ws("_", "n_nationkey", "c_mktsegment").alias("t"), (0.2 + c("n_nationkey") * 0.02).alias("el"), (1.5 + c("n_regionkey") * 0.25).alias("a_inv"), F.lit(0.1).alias("delta"), F.lit(0.02).alias("chi_fv"), F.lit(0.05).alias("d_mpi"), (2 + c("m") / 10000).alias("x"), (0.3 / F.sqrt(c("n").cast("double"))).alias("sigma"))
+    values = ft.gaussian_chunks(p.select("t", "x", "sigma"), 10_000, base.SEED)
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    drops = [[], *[[n] for n in names], *[[a, b] for k, a in enumerate(names) for b in names[:k]], names[:3]]
+    design = p.withColumn("v", F.explode(F.array(*[F.struct(F.lit(k).alias("variation"), F.array(*[F.lit(n) for n in x]).cast("array<string>").alias("drop")) for k, x in enumerate(drops)]))).select("*", "v.*").drop("v")
+    design = ft.with_design(design.where(~F.array_contains("drop", c("ensemble"))), 1.0, COLUMNS)
+    return ft.fit_linear_chunks(design.select("variation", "t", "sigma", "row"), values)
