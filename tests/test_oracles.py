@@ -22,6 +22,14 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def static_plans(spark):
+    """Small tables need no re-planning at run time; the driver's own run has it."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def plain(v):
     if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
         return None
