@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: bounds what a Python worker holds at once when texts are long.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch: bound what a Python worker holds at once, however long the texts are.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -42,6 +42,7 @@ def unstage(df: DataFrame) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def arrow_map(df: DataFrame, columns: Sequence[str], schema: str, make) -> DataFrame:
@@ -63,6 +64,16 @@ def arrow_map(df: DataFrame, columns: Sequence[str], schema: str, make) -> DataF
     return df.select(*columns).mapInArrow(run, spark_schema)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)
 

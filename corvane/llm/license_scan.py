@@ -105,7 +105,7 @@ class Scanner:
     def finds(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(licence, coverage, words that fit, begin, end) in order of the text."""
         lower = text.lower()
-        words = WORD.findall(lower)
+        words = WORD.findall(lower) if len(lower) == len(text) else [w.lower() for w in WORD.findall(text)]
         if len(words) < GRAM or not len(self.prints):
             return []
         ids = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
@@ -122,7 +122,7 @@ class Scanner:
         for f in sorted(found):
             if all(f[4] <= b[3] or f[3] >= b[4] for b in best):
                 best.append(f)
-        places = [m.span() for m in WORD.finditer(text)] if len(lower) == len(text) else [m.span() for m in WORD.finditer(lower)]
+        places = [m.span() for m in WORD.finditer(text)]
         return [(self.names[k], -c, -fit, places[a][0], places[b - 1][1]) for c, fit, k, a, b in sorted(best, key=lambda f: f[3])]
 
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, staged, text_or_empty
+from .common import arrow_map, free_names, small_batches, staged, text_or_empty
 
 BUCKETS, FIT_ROWS, DROP, SEED = 10_000, 20_000, 0.001, 17
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -71,8 +71,6 @@ def fit(df: DataFrame, labels: DataFrame, good, buckets: int = BUCKETS, id_colum
         k = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(k, pa.int32()), "raw": pa.array(counts[0][k], pa.int64()), "target": pa.array(counts[1][k], pa.int64())})
 
-    from .common import small_batches
-
     small_batches(df.sparkSession)
     parts = df.select(id_column, text_or_empty(text)).mapInArrow(counted, "bucket int, raw long, target long")
     model = np.zeros((2, buckets))
@@ -82,8 +80,8 @@ def fit(df: DataFrame, labels: DataFrame, good, buckets: int = BUCKETS, id_colum
     return log[1] - log[0], ids[1::2] or ids
 
 
-def score(df: DataFrame, ratio: np.ndarray, keep: tuple[str, ...] = ("doc_id",), id_column: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """The columns of ``keep`` (the text may be one) with log_weight and draw_key (log_weight plus Gumbel noise)."""
+def score(df: DataFrame, ratio: np.ndarray, keep: tuple[str, ...] = ("doc_id",), id_column: str = "doc_id", text: str = "text", seed: int = SEED, names: tuple[str, str] = ("log_weight", "draw_key")) -> DataFrame:
+    """The columns of ``keep`` (the text may be one) with log_weight and draw_key (log_weight plus Gumbel noise), named by ``names``."""
     types = dict(df.dtypes)
     sent = df.sparkSession.sparkContext.broadcast(ratio)
 
@@ -94,12 +92,12 @@ def score(df: DataFrame, ratio: np.ndarray, keep: tuple[str, ...] = ("doc_id",),
 
         return work
 
-    whole = text_or_empty(text)
-    noise = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_column), whole), 11).cast("double") + 0.5) / float(1 << 53)
-    base = df.select(*keep, whole.alias("__text"), noise.alias("__noise"))
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["log_weight double, draw_key double"])
+    whole, (body, noise) = text_or_empty(text), free_names(df, "__text", "__noise")
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_column), whole), 11).cast("double") + 0.5) / float(1 << 53)
+    base = df.select(*keep, whole.alias(body), uniform.alias(noise))
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [f"`{n}` double" for n in names])
     out = arrow_map(base, base.columns, schema, make)
-    return out.withColumn("draw_key", F.col("log_weight") - F.log(-F.log("draw_key")))
+    return out.withColumn(names[1], F.col(names[0]) - F.log(-F.log(names[1])))
 
 
 def kth_largest(values: DataFrame, k: int) -> float:
@@ -146,10 +144,9 @@ def classify(df: DataFrame, labels: DataFrame, good=None, buckets: int = BUCKETS
 
 
 def keep_selected(df: DataFrame, labels: DataFrame, good=None, buckets: int = BUCKETS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df, all columns, that classify() selects; columns named log_weight or draw_key in df are in the way and refused."""
-    if taken := {"log_weight", "draw_key", "__text", "__noise"} & set(df.columns):
-        raise ValueError(f"columns {sorted(taken)} are taken")
+    """The rows of df, all columns, that classify() selects."""
     ratio, _, least = _fitted(df, labels, good, buckets, id_column, text)
     if least is None:
         return df
-    return score(df, ratio, tuple(df.columns), id_column, text).where(F.col("draw_key") >= F.lit(least)).select(*df.columns)
+    names = tuple(free_names(df, "log_weight", "draw_key"))
+    return score(df, ratio, tuple(df.columns), id_column, text, names=names).where(F.col(names[1]) >= F.lit(least)).select(*df.columns)

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,8 +89,6 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> int:
             fs.move(own, f"{root}/part-{part:06d}.warc.gz")
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    import pyarrow.fs  # noqa: F401
-
     rows = decided(pages, min_bytes).select("page_id", "url", "html", "sha1", "refers_to")
     return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
@@ -185,8 +184,6 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, payload
     arrow = to_arrow_schema(schema)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs  # noqa: F401
-
         for b in batches:
             for file, length, start in zip(*(c.to_pylist() for c in b.columns)):
                 fs, name = pa.fs.FileSystem.from_uri(file)

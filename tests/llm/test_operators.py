@@ -364,7 +364,7 @@ def test_licences(spark, odd, empty):
     words = mit.split()
     words[20] = "CHANGED"
     del words[50]
-    texts = ["Text. Released under the MIT License. More text.", "This work is licensed under the GNU General Public License, version 3.", "a " * 500 + " ".join(words) + " b", "nothing of the kind", "Licensed under the Apache License, Version 2.0. And\nLICENSED UNDER CC BY-NC 4.0!"]
+    texts = ["Text. Released under the MIT License. More text.", "This work is licensed under the GNU General Public License, version 3.", "a " * 500 + " ".join(words) + " b", "nothing of the kind", "İİ İ. Licensed under the Apache License, Version 2.0. And\nLICENSED UNDER CC BY-NC 4.0!"]
     got = license_scan.scan(frame(spark, texts)).collect()
     found = {(r["doc_id"], r["license"]) for r in got}
     assert found == {(0, "MIT"), (1, "GPL-3.0"), (2, "MIT"), (4, "Apache-2.0"), (4, "CC-BY-NC-4.0")}
@@ -407,6 +407,9 @@ def test_kth_largest(spark):
 def test_quality_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1, 0), (5, 1, None), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(odd, labels).count() == len(ODD) == quality.classify(odd, labels.limit(0)).where("selected").count()
+    clash = odd.withColumns({"log_weight": F.lit("x"), "draw_key": F.lit(1), "__text": F.lit(2), "quality": F.lit(3)})
+    kept = quality.keep_selected(clash, labels)
+    assert kept.columns == clash.columns and kept.where("log_weight <> 'x' OR draw_key <> 1").count() == 0 < kept.count()
     assert quality.classify(empty, labels).count() == 0 and quality.keep_selected(empty, labels).count() == 0
 
 
