@@ -28,8 +28,8 @@ from .components import components
 #: First bit and width of each segment on the ring.
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 BITS = 4
-#: Fingerprints of a text in similar_components(): each finds about two in three of the pairs at a similarity of 0.8.
-TABLES = 4
+#: Probing fingerprints of a text in similar_components(): each finds about two in three of the texts of a Jaccard similarity of 0.8.
+TABLES = 3
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -66,22 +66,24 @@ def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: in
     return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], ", ".join([f"`{c}` {types[c]}" for c in keep] + ["fp long"]), make)
 
 
-def word_fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), tables: int = TABLES, text: str = "text") -> DataFrame:
-    """The columns of ``keep`` with fps: fingerprints of the set of words under ``tables`` hash functions."""
+def probe_fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = 5, tables: int = TABLES, text: str = "text") -> DataFrame:
+    """The columns of ``keep`` with node, the fingerprint of the shingles, and fps, those of the set of words under ``tables`` hash
+    functions."""
     types = dict(df.dtypes)
 
     def make():
         def work(*columns):
-            found = []
+            nodes, found = [], []
             for t in columns[-1]:
+                nodes.append(fingerprint(hashes(t, shingle)))
                 h = np.unique(np.array(hashes(t, 1), dtype=np.uint64))
                 mixed = [h * np.uint64(2 * k * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1) for k in range(tables)]
                 found.append([fingerprint(m ^ (m >> np.uint64(29))) for m in mixed])
-            return [*columns[:-1], found]
+            return [*columns[:-1], nodes, found]
 
         return work
 
-    return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], ", ".join([f"`{c}` {types[c]}" for c in keep] + ["fps array<long>"]), make)
+    return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], ", ".join([f"`{c}` {types[c]}" for c in keep] + ["node long, fps array<long>"]), make)
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -89,38 +91,46 @@ def _segment(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def near_pairs(classes: DataFrame, fp: Column | None = None) -> DataFrame:
-    """classes: (node long), each once, with the fingerprint ``fp`` (the node itself). Pairs (u, v) of nodes whose fingerprints
-    differ in at most BITS bits, u < v; a pair may come more than once."""
+def near_pairs(classes: DataFrame, fp: str = "node", most: int | None = None, label: str | None = None) -> DataFrame:
+    """classes: (node long, ...), each node once. Pairs (u, v), u < v, of nodes whose fingerprints ``fp`` (an expression; the node
+    itself by default) differ in at most BITS bits. With ``most`` the nodes themselves must differ in at most so many bits, with
+    ``label`` pairs of one label are left out within the join. A pair may come more than once."""
     n = len(SEGMENTS)
-    classes = classes.select("node", (F.col("node") if fp is None else fp).alias("fp"))
-    fp = F.col("fp")
-    start = [F.lit(k << 26).bitwiseOR(F.shiftleft(_segment(fp, k), 13)).bitwiseOR(_segment(fp, k + 1)) for k in range(n)]
+    side = lambda u, x, l: classes.select(F.col("node").alias(u), F.expr(fp).alias(x), *([F.col(label).alias(l)] if label else []))
 
-    def within_one_bit(k: int) -> Column:
+    def starts(x: str) -> list[Column]:
+        return [F.lit(k << 26).bitwiseOR(F.shiftleft(_segment(F.col(x), k), 13)).bitwiseOR(_segment(F.col(x), k + 1)) for k in range(n)]
+
+    def within_one_bit(start: Column, k: int) -> Column:
         flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(SEGMENTS[(k + 1) % n][1])))])
-        return F.transform(flips, lambda x: start[k].bitwiseXOR(x))
+        return F.transform(flips, lambda x: start.bitwiseXOR(x))
 
-    left = classes.select(F.col("node").alias("u"), F.col("fp").alias("x"), F.explode(F.array(*start)).alias("at"))
-    right = classes.select(F.col("node").alias("v"), F.col("fp").alias("y"), F.explode(F.flatten(F.array(*[within_one_bit(k) for k in range(n)]))).alias("at"))
+    left, right = side("u", "x", "a"), side("v", "y", "b")
+    left = left.withColumn("at", F.explode(F.array(*starts("x"))))
+    right = right.withColumn("at", F.explode(F.flatten(F.array(*[within_one_bit(s, k) for k, s in enumerate(starts("y"))]))))
     differ = F.col("x").bitwiseXOR(F.col("y"))
     begin = F.shiftright("at", 26)
     chain = F.lit(False)
     for k in range(n):
-        counts = [F.bit_count(_segment(differ, k + i)) for i in range(n)]
-        sums = list(accumulate(counts))
+        sums = list(accumulate([F.bit_count(_segment(differ, k + i)) for i in range(n)]))
         chain = chain | ((begin == k) & (sums[2] <= 3 * BITS // n) & (sums[3] <= 4 * BITS // n))
-    return left.join(right, "at").where((F.col("u") < F.col("v")) & chain & (F.bit_count(differ) <= BITS)).select("u", "v")
+    fits = (F.col("u") < F.col("v")) & chain & (F.bit_count(differ) <= BITS)
+    if most is not None:
+        fits = fits & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most)
+    if label is not None:
+        fits = fits & (F.col("a") != F.col("b"))
+    return left.join(right, "at").where(fits).select("u", "v")
 
 
 def classes_of(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One row for each node: node, rep (its smallest id) and fps, if there are any."""
-    return rows.groupBy("node").agg(F.min(id_column).alias("rep"), *[F.first(c).alias(c) for c in rows.columns if c == "fps"])
+    return rows.groupBy("node").agg(F.min(id_column).alias("rep"), *[F.coalesce(F.min_by(c, id_column), F.first(c)).alias(c) for c in rows.columns if c == "fps"])
 
 
-def with_labels(rows: DataFrame, classes: DataFrame, links: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """rows with component_id: the smallest id that links (u, v of nodes) reach. rows and classes are read from storage."""
-    found = staged(components(links).withColumnRenamed("node", "member"), "labels")
+def with_labels(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with component_id: the smallest id in the component of their node. rows, classes and labels (node, label of the nodes that
+    have links) are read from storage."""
+    found = labels.withColumnRenamed("node", "member")
     least = found.join(classes, found["member"] == classes["node"]).groupBy("label").agg(F.min("rep").alias("first"))
     named = found.join(least, "label").select(F.col("member").alias("node"), "first")
     table = staged(classes.join(named, "node", "left").select("node", F.coalesce("first", "rep").alias("component_id")), "components")
@@ -131,45 +141,25 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", shingle: int = 5,
     """One row for each row of df: its id, fp and component_id, with links at BITS or fewer differing bits."""
     rows = staged(fingerprints(df, (id_column,), shingle, text).withColumnRenamed("fp", "node"), "fingerprints")
     classes = staged(classes_of(rows, id_column), "classes")
-    return with_labels(rows, classes, near_pairs(classes), id_column).select(id_column, F.col("node").alias("fp"), "component_id")
-
-
-def _shingle_sets(df: DataFrame, id_column: str, shingle: int, text: str) -> DataFrame:
-    """id and the sorted distinct shingle hashes of each row, as signed numbers."""
-    types = dict(df.dtypes)
-
-    def make():
-        def work(ids, texts):
-            return [ids, [np.unique(np.array(hashes(t, shingle), dtype=np.uint64).view(np.int64)).tolist() for t in texts]]
-
-        return work
-
-    return arrow_map(df.select(id_column, text_or_empty(text)), [id_column, text], f"`{id_column}` {types[id_column]}, shingles array<long>", make)
+    return with_labels(rows, classes, staged(components(near_pairs(classes)), "labels")).select(id_column, F.col("node").alias("fp"), "component_id")
 
 
 def similar_components(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
-    """One row for each row of df: its id and component_id. Candidates come from TABLES fingerprints of the set of single words,
-    which small edits change least; texts whose fingerprints are all equal are one node. A link between two nodes is kept if the
-    shingle sets of their first documents have a Jaccard similarity of ``similarity`` or more. Ids are unique, or rows of one id
-    have one text."""
-    rows = word_fingerprints(df, (id_column,), text=text).withColumn("node", F.xxhash64("fps"))
-    rows = staged(rows, "fingerprints")
+    """One row for each row of df: its id and component_id. Texts whose shingles have one fingerprint are one node; nodes are linked
+    if their fingerprints agree in ``similarity`` of the bits (0.8: at most 12 of 64 differ).
+
+    So many bits are out of reach of one pigeonring join. It is first run on the fingerprints themselves, then on TABLES others, of
+    the set of single words, which small edits change least; each candidate is checked on the fingerprints themselves. Pairs that
+    earlier runs have joined are left out within the join: they could not change a component, and a dense group is not paired out."""
+    rows = staged(probe_fingerprints(df, (id_column,), shingle, text=text), "fingerprints")
     classes = staged(classes_of(rows, id_column), "classes")
-    rows = rows.drop("fps")
-    pairs = near_pairs(classes, F.col("fps")[0])
-    for k in range(1, TABLES):
-        pairs = pairs.unionByName(near_pairs(classes, F.col("fps")[k]))
-    ends = classes.select(F.col("node").alias("u"), F.col("rep").alias("a")), classes.select(F.col("node").alias("v"), F.col("rep").alias("b"))
-    named = pairs.distinct().join(ends[0], "u").join(ends[1], "v")
-    named = staged(named, "candidates")
-    wanted = named.select(F.col("a").alias(id_column)).union(named.select("b")).distinct()
-    sets = staged(_shingle_sets(df.join(wanted, id_column, "left_semi"), id_column, shingle, text).dropDuplicates([id_column]), "shingles")
-    left = sets.select(F.col(id_column).alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col(id_column).alias("b"), F.col("shingles").alias("y"))
-    both = named.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
-    return with_labels(rows, classes.drop("fps"), links, id_column).select(id_column, "component_id")
+    most = int((1 - similarity) * 64 + 1e-9)
+    labels = staged(components(near_pairs(classes, most=most)), "labels")
+    for k in range(TABLES):
+        known = staged(classes.join(labels, "node", "left").select("node", F.col("fps")[k].alias("fp"), F.coalesce("label", "node").alias("label")), "known")
+        links = near_pairs(known, "fp", most, "label").unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
+        labels = staged(components(links), "labels")
+    return with_labels(rows.drop("fps"), classes.drop("fps"), labels).select(id_column, "component_id")
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
