@@ -154,19 +154,28 @@ class WordBpe:
         return text.split()
 
     def learn(self, missing: list[str]) -> None:
-        """Fill the cache: ids and tokens of each chunk, joined by one space."""
-        split = []
+        """Fill the cache: ids and tokens of each chunk and of its words, joined by one space."""
+        split, cache, wanted = [], self.cache, set()
         for chunk in missing:
             if chunk[0] == " ":
-                self.cache[chunk] = (str(self.special[chunk[1:]]), chunk[1:], 1)
+                cache[chunk] = (str(self.special[chunk[1:]]), chunk[1:], 1)
+                continue
+            if chunk.isalpha():
+                words = [chunk]
+            elif chunk[-1] in ".," and chunk[:-1].isalpha():
+                words = [chunk[:-1], chunk[-1]]
             else:
-                split.append((chunk, self.words.findall(chunk)))
-        distinct = list(dict.fromkeys(w for _, ws in split for w in ws))
-        ids = dict(zip(distinct, self.encode_words(distinct), strict=True))
+                words = self.words.findall(chunk)
+            split.append((chunk, words))
+            wanted.update(words)
+        new = [w for w in wanted if w not in cache]
         tokens = self.tokens
-        for chunk, ws in split:
-            row = [i for w in ws for i in ids[w]]
-            self.cache[chunk] = (" ".join(map(str, row)), " ".join([tokens[i] for i in row]), len(row))
+        for word, ids in zip(new, self.encode_words(new), strict=True):
+            cache[word] = (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids]), len(ids))
+        for chunk, words in split:
+            if len(words) != 1 or words[0] != chunk:
+                parts = [cache[w] for w in words]
+                cache[chunk] = (" ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum([x[2] for x in parts]))
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """For each text its ids and its decoded form, as the library joins tokens where no decoder is set."""
