@@ -15,7 +15,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    """One document of each near-duplicate group (five-word shingles, Jaccard similarity 0.8)."""
     return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 

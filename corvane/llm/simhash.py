@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, staged, text_or_empty
+from .common import arrow_map, small_batches, staged, text_or_empty, unstage
 from .components import components
 
 #: First bit and width of each segment on the ring.
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 BITS = 4
-#: Probing fingerprints of a text in similar_components(): each finds about two in three of the texts of a Jaccard similarity of 0.8.
-TABLES = 3
+#: similar_components() orders shingles that COMMON of about SAMPLE texts hold behind all others.
+SAMPLE, COMMON = 20_000, 20
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -66,37 +66,16 @@ def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: in
     return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], ", ".join([f"`{c}` {types[c]}" for c in keep] + ["fp long"]), make)
 
 
-def probe_fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = 5, tables: int = TABLES, text: str = "text") -> DataFrame:
-    """The columns of ``keep`` with node, the fingerprint of the shingles, and fps, those of the set of words under ``tables`` hash
-    functions."""
-    types = dict(df.dtypes)
-
-    def make():
-        def work(*columns):
-            nodes, found = [], []
-            for t in columns[-1]:
-                nodes.append(fingerprint(hashes(t, shingle)))
-                h = np.unique(np.array(hashes(t, 1), dtype=np.uint64))
-                mixed = [h * np.uint64(2 * k * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1) for k in range(tables)]
-                found.append([fingerprint(m ^ (m >> np.uint64(29))) for m in mixed])
-            return [*columns[:-1], nodes, found]
-
-        return work
-
-    return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], ", ".join([f"`{c}` {types[c]}" for c in keep] + ["node long, fps array<long>"]), make)
-
-
 def _segment(fp: Column, k: int) -> Column:
     start, width = SEGMENTS[k % len(SEGMENTS)]
     return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def near_pairs(classes: DataFrame, fp: str = "node", most: int | None = None, label: str | None = None) -> DataFrame:
-    """classes: (node long, ...), each node once. Pairs (u, v), u < v, of nodes whose fingerprints ``fp`` (an expression; the node
-    itself by default) differ in at most BITS bits. With ``most`` the nodes themselves must differ in at most so many bits, with
-    ``label`` pairs of one label are left out within the join. A pair may come more than once."""
+def near_pairs(classes: DataFrame) -> DataFrame:
+    """classes: (node long, ...), each node once. Pairs (u, v), u < v, of nodes that differ in at most BITS bits. A pair may come
+    more than once."""
     n = len(SEGMENTS)
-    side = lambda u, x, l: classes.select(F.col("node").alias(u), F.expr(fp).alias(x), *([F.col(label).alias(l)] if label else []))
+    side = lambda u, x: classes.select(F.col("node").alias(u), F.col("node").alias(x))
 
     def starts(x: str) -> list[Column]:
         return [F.lit(k << 26).bitwiseOR(F.shiftleft(_segment(F.col(x), k), 13)).bitwiseOR(_segment(F.col(x), k + 1)) for k in range(n)]
@@ -105,7 +84,7 @@ def near_pairs(classes: DataFrame, fp: str = "node", most: int | None = None, la
         flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(SEGMENTS[(k + 1) % n][1])))])
         return F.transform(flips, lambda x: start.bitwiseXOR(x))
 
-    left, right = side("u", "x", "a"), side("v", "y", "b")
+    left, right = side("u", "x"), side("v", "y")
     left = left.withColumn("at", F.explode(F.array(*starts("x"))))
     right = right.withColumn("at", F.explode(F.flatten(F.array(*[within_one_bit(s, k) for k, s in enumerate(starts("y"))]))))
     differ = F.col("x").bitwiseXOR(F.col("y"))
@@ -115,16 +94,12 @@ def near_pairs(classes: DataFrame, fp: str = "node", most: int | None = None, la
         sums = list(accumulate([F.bit_count(_segment(differ, k + i)) for i in range(n)]))
         chain = chain | ((begin == k) & (sums[2] <= 3 * BITS // n) & (sums[3] <= 4 * BITS // n))
     fits = (F.col("u") < F.col("v")) & chain & (F.bit_count(differ) <= BITS)
-    if most is not None:
-        fits = fits & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most)
-    if label is not None:
-        fits = fits & (F.col("a") != F.col("b"))
     return left.join(right, "at").where(fits).select("u", "v")
 
 
 def classes_of(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """One row for each node: node, rep (its smallest id) and fps, if there are any."""
-    return rows.groupBy("node").agg(F.min(id_column).alias("rep"), *[F.coalesce(F.min_by(c, id_column), F.first(c)).alias(c) for c in rows.columns if c == "fps"])
+    """One row for each node: node and rep (its smallest id)."""
+    return rows.groupBy("node").agg(F.min(id_column).alias("rep"))
 
 
 def with_labels(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -144,22 +119,107 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", shingle: int = 5,
     return with_labels(rows, classes, staged(components(near_pairs(classes)), "labels")).select(id_column, F.col("node").alias("fp"), "component_id")
 
 
+def shingle_sets(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = 5, text: str = "text") -> DataFrame:
+    """The columns of ``keep`` with node, a hash of the text's distinct shingle hashes, and these in ascending order (shingles)."""
+    types = dict(df.dtypes)
+
+    def make():
+        def work(*columns):
+            sets = [np.unique(np.array(hashes(t, shingle), dtype=np.uint64).view(np.int64)) for t in columns[-1]]
+            nodes = [xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets]
+            return [*columns[:-1], [n - (n >> 63 << 64) for n in nodes], sets]
+
+        return work
+
+    return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], ", ".join([f"`{c}` {types[c]}" for c in keep] + ["node long, shingles array<long>"]), make)
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that COMMON or more of about SAMPLE texts hold, ascending, and in how many of them."""
+    part = min(1.0, SAMPLE / max(1, sets.count()))
+    some = sets.where(F.pmod("node", F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    found = some.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON).toPandas().sort_values("s")
+    return found["s"].to_numpy(dtype=np.int64), found["count"].to_numpy(dtype=np.int64)
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, at, s): the first of each set's n shingles in one order for all texts, at being the place. So many that two sets of
+    this Jaccard similarity share one. Common shingles come last; the order decides what is compared, not what is found."""
+    common = sets.sparkSession.sparkContext.broadcast(_common(sets))
+
+    def work(batches):
+        import pyarrow as pa
+
+        keys, counts = common.value
+        for b in batches:
+            lists = b.column(1)
+            flat, ends = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).cumsum()
+            rank = np.zeros(len(flat), dtype=np.int64)
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+                rank = np.where(keys[k] == flat, counts[k], 0)
+            out, sizes, start = [], [], 0
+            for end in ends:
+                s, r = flat[start:end], rank[start:end]
+                most = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
+                out.append((s[np.lexsort((s, r))] if r.any() else s)[:most])
+                sizes.append(end - start)
+                start = end
+            n = [len(x) for x in out]
+            if sum(n):
+                at = np.concatenate([np.arange(x) for x in n])
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(b.column(0).to_numpy(), n)), "n": pa.array(np.repeat(sizes, n), pa.int32()), "at": pa.array(at, pa.int32()), "s": pa.array(np.concatenate(out))})
+
+    small_batches(sets.sparkSession)
+    return sets.select("node", "shingles").mapInArrow(work, "node long, n int, at int, s long")
+
+
+def _may_fit(similarity: float, n: str, at: str, m: str, to: str) -> Column:
+    """Whether sets of n and m shingles whose first shared one is at places ``at`` and ``to`` can be so similar."""
+    left = F.least(F.col(n) - F.col(at), F.col(m) - F.col(to))
+    return left * (1 + similarity) >= (F.col(n) + F.col(m)) * similarity - 1e-9
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have this Jaccard similarity: both sets are compared in full."""
+    pairs = staged(pairs.distinct(), "pairs")
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    used = staged(sets.select("node", "shingles").join(named, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    side = lambda u, x: used.select(F.col("node").alias(u), F.col("shingles").alias(x))
+    both = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared * (1 + similarity) >= (F.size("x") + F.size("y")) * similarity - 1e-9).select("u", "v")
+
+
 def similar_components(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
-    """One row for each row of df: its id and component_id. Texts whose shingles have one fingerprint are one node; nodes are linked
-    if their fingerprints agree in ``similarity`` of the bits (0.8: at most 12 of 64 differ).
+    """One row for each row of df: its id and component_id. Texts with one set of shingles are one node; nodes are linked if their
+    sets have a Jaccard similarity of ``similarity`` or more. Every such pair ends in one component.
 
-    So many bits are out of reach of one pigeonring join. It is first run on the fingerprints themselves, then on TABLES others, of
-    the set of single words, which small edits change least; each candidate is checked on the fingerprints themselves. Pairs that
-    earlier runs have joined are left out within the join: they could not change a component, and a dense group is not paired out."""
-    rows = staged(probe_fingerprints(df, (id_column,), shingle, text=text), "fingerprints")
+    Candidates share a shingle of their prefixes. Each is first compared with one node of those that share its shingle, twice; what
+    is left are pairs whose labels still differ, all of which are compared. Pairs of one label could not change a component."""
+    rows = staged(shingle_sets(df, (id_column,), shingle, text=text), "shingles")
     classes = staged(classes_of(rows, id_column), "classes")
-    most = int((1 - similarity) * 64 + 1e-9)
-    labels = staged(components(near_pairs(classes, most=most)), "labels")
-    for k in range(TABLES):
-        known = staged(classes.join(labels, "node", "left").select("node", F.col("fps")[k].alias("fp"), F.coalesce("label", "node").alias("label")), "known")
-        links = near_pairs(known, "fp", most, "label").unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
-        labels = staged(components(links), "labels")
-    return with_labels(rows.drop("fps"), classes.drop("fps"), labels).select(id_column, "component_id")
+    firsts = staged(prefixes(rows, similarity), "prefixes")
+    met = firsts.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("s")
+    shared = staged(firsts.join(met, "s").distinct(), "shared")
+    unstage(firsts)
+    labels = df.sparkSession.createDataFrame([], "node long, label long")
+    for k in range(3):
+        now = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if k else shared.withColumn("label", F.col("node"))
+        mixed = now.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s")
+        now = staged(now.join(mixed, "s"), "labelled")
+        if k < 2:
+            other = now.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "at", "label")).alias("c"))
+            other = other.select("s", F.col("c.node").alias("v"), F.col("c.n").alias("m"), F.col("c.at").alias("to"), F.col("c.label").alias("b"))
+            fits = F.col("node") != F.col("v")
+        else:
+            other = now.select("s", F.col("node").alias("v"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("label").alias("b"))
+            fits = F.col("node") < F.col("v")
+        pairs = now.join(other, "s").where(fits & (F.col("label") != F.col("b")) & _may_fit(similarity, "n", "at", "m", "to"))
+        links = similar_pairs(pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")), rows, similarity)
+        labels = staged(components(links.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
+        unstage(now)
+    return with_labels(rows.drop("shingles"), classes, labels).select(id_column, "component_id")
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:

@@ -328,6 +328,34 @@ def test_similar_recall(spark):
     assert len(close) > 50 and sum(found[a] == found[b] for a, b in close) >= 0.9 * len(close)
 
 
+def jaccard_components(rows, similarity=0.8):
+    """The least id of each id's component, links being a Jaccard similarity of the shingle sets."""
+    sets = {i: frozenset(simhash.hashes(t or "", 5)) for i, t in rows}
+    inverted, least = {}, {i: i for i in sets}
+    for i, s in sets.items():
+        for h in s or ["none"]:
+            inverted.setdefault(h, []).append(i)
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for l in inverted.values():
+        for k, a in enumerate(l):
+            for b in l[:k]:
+                u, v = find(a), find(b)
+                if u != v and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+                    least[max(u, v)] = min(u, v)
+    return {i: find(i) for i in sets}
+
+
+def test_similar_components_are_exact(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = jaccard_components([tuple(r) for r in docs.collect()])
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()} == want
+
+
 # Licences.
 
 
