@@ -25,8 +25,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and decoded text of what is left."""
-    return bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"), full=False)
+    """Token ids and decoded text of what is left, with their digests."""
+    return bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"))
 
 
 STAGES = [("quality", quality_stage), ("simhash", simhash_stage), ("decontamination", decontamination_stage), ("bpe", bpe_stage)]
