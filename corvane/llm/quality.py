@@ -1,12 +1,15 @@
 """Quality classification by importance resampling.
 
 Two bag models over hashed n-grams (words and pairs of words, BUCKETS buckets): one of target text, one of the raw text. A
-document's log-weight is the log-ratio of its likelihoods under both. Documents are drawn without replacement by their
+document's log-weight is the log-ratio of both likelihoods in its worst window of WINDOW words: the lowest mean over the words and
+pairs of any window of the whole text, times the 2 * WINDOW features of one, so texts of all lengths have one scale. Documents are drawn without replacement by their
 weights: the k largest of log-weight plus Gumbel noise. The noise is a function of seed and text hash, so a rerun draws the same.
 
 The raw model counts all documents. The target model counts the rows labelled good, at most FIT_ROWS of them (the least hashes
-of their ids), which bounds the list of ids that tasks get. Every other of them is held out of the model and sets the cut: the
-log-weight that all but DROP of those held out reach. k is the number of documents, of all, whose log-weight is at least the cut.
+of their ids), which bounds the list of ids that tasks get. Every other of them is held out of the model; with at most FIT_ROWS of
+the rows labelled otherwise, which the target model never counts, they set the cut: of the log-weights that all but a share of DROP
+of the good reach (interpolated), the one that parts both groups best, the smallest share among equals. Without rows labelled
+otherwise it is the first share. k is the number of documents, of all, whose log-weight is at least the cut.
 
 The k-th largest key is found by counting keys in ever finer histograms of 4096 bins; no task sorts all keys. Rows that tie
 with it are all kept. Null text counts as empty and has log-weight 0. Without labelled rows every row is kept.
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, free_names, small_batches, staged, text_or_empty
 
-BUCKETS, FIT_ROWS, DROP, SEED = 10_000, 20_000, 0.001, 17
+BUCKETS, FIT_ROWS, DROP, SEED, WINDOW = 10_000, 20_000, (0.001, 0.002, 0.005, 0.01, 0.02), 17, 50
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CACHE_CHUNKS = 150_000
 
@@ -43,11 +46,27 @@ _HASHES = _Hashes()
 
 
 def features(text: str, buckets: int) -> np.ndarray:
-    """The buckets of all words and all pairs of neighbours, repeats included."""
+    """The buckets of all words, then of all pairs of neighbours, repeats included."""
     h = np.fromiter(chain.from_iterable(map(_HASHES.__getitem__, text.split())), dtype=np.uint64)
     return np.concatenate((h, h[:-1] * np.uint64(2654435761) + h[1:])) % np.uint64(buckets)
 
 
+def worst_window(text: str, ratio: np.ndarray) -> float:
+    """The log-weight of a text. A pair belongs to the window of its first word; a text shorter than a window is one."""
+    r = ratio[features(text, len(ratio)).astype(np.int64)]
+    n = (len(r) + 1) // 2
+    if not n:
+        return 0.0
+    words = r[:n].copy()
+    words[:-1] += r[n:]
+    if n <= WINDOW:
+        return float(words.sum() / (2 * n - 1) * 2 * WINDOW)
+    sums = np.concatenate(([0.0], words.cumsum()))
+    sums = sums[WINDOW:] - sums[:-WINDOW]
+    sums[-1] *= 2 * WINDOW / (2 * WINDOW - 1)
+    return float(sums.min())
+
+
 def _target_ids(labels: DataFrame, good, id_column: str) -> list:
     ids = labels.where(good).select(id_column).where(F.col(id_column).isNotNull()).distinct()
     return [r[0] for r in ids.orderBy(F.xxhash64(id_column), id_column).limit(FIT_ROWS).collect()]
@@ -87,7 +106,7 @@ def score(df: DataFrame, ratio: np.ndarray, keep: tuple[str, ...] = ("doc_id",),
 
     def make():
         def work(*columns):
-            weights = [float(sent.value[features(t, len(sent.value)).astype(np.int64)].sum()) for t in columns[-2]]
+            weights = [worst_window(t, sent.value) for t in columns[-2]]
             return [*columns[:-2], weights, columns[-1]]
 
         return work
@@ -122,17 +141,28 @@ def kth_largest(values: DataFrame, k: int) -> float:
     return low
 
 
+def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
+    """The quantile of the good, at a share of DROP, that rejects most of the bad less what it rejects of the good."""
+    cuts = np.quantile(good, DROP if len(bad) else DROP[:1])
+    gains = [(bad < c).mean() - (good < c).mean() if len(bad) else 0.0 for c in cuts]
+    return float(cuts[int(np.argmax(gains))])
+
+
 def _fitted(df: DataFrame, labels: DataFrame, good, buckets: int, id_column: str, text: str) -> tuple[np.ndarray, DataFrame, float | None]:
     """The log-ratios, the scores of df's rows, and the least draw_key that is selected (null: all are)."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) if good is None else good
     ratio, ids = fit(df, labels, good, buckets, id_column, text)
     scored = staged(score(df, ratio, (id_column,), id_column, text), "scores")
-    target = df.sparkSession.createDataFrame([(i,) for i in ids], scored.select(id_column).schema)
-    known = scored.join(F.broadcast(target), id_column, "left_semi").select(F.col("log_weight").alias("x"))
-    n = known.count()
-    if not n:
+
+    def weights(chosen: list) -> np.ndarray:
+        target = df.sparkSession.createDataFrame([(i,) for i in chosen], scored.select(id_column).schema)
+        known = scored.join(F.broadcast(target), id_column, "left_semi").groupBy(id_column).agg(F.min("log_weight"))
+        return np.array([r[1] for r in known.collect()])
+
+    held = weights(ids)
+    if not len(held):
         return ratio, scored, None
-    cut = kth_largest(known, max(1, round(n * (1 - DROP))))
+    cut = best_cut(held, weights(_target_ids(labels, ~good, id_column)))
     k = scored.where(F.col("log_weight") >= cut).count()
     return ratio, scored, kth_largest(scored.select(F.col("draw_key").alias("x")), k)
 

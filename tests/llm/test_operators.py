@@ -424,6 +424,35 @@ def test_quality_held_out(spark):
     assert got[got.quality == 1].selected.mean() > 0.95 and got[got.quality == 0].selected.mean() < 0.35
 
 
+def test_worst_window_equals_brute_force():
+    rng = np.random.default_rng(3)
+    ratio = rng.normal(size=500)
+    for n in (1, 2, 49, 50, 51, 130):
+        words = [f"w{k}" for k in rng.integers(0, 90, n)]
+        h = [zlib.crc32(w.encode()) for w in words]
+        pairs = [(a * 2654435761 + b) % (1 << 64) % 500 for a, b in zip(h, h[1:])]
+        means = []
+        for k in range(max(1, n - 49)):
+            part = [ratio[x % 500] for x in h[k : k + 50]] + [ratio[x] for x in pairs[k : k + 50]]
+            means.append(sum(part) / len(part))
+        assert np.isclose(quality.worst_window(" ".join(words), ratio), 100 * min(means))
+
+
+def test_one_row_does_not_set_the_cut():
+    good = np.arange(149.0)
+    assert quality.best_cut(good, np.array([])) > good.min()
+    assert quality.best_cut(np.append(good, -500.0), np.full(50, -20.0)) > -20
+
+
+def test_kept_shares_by_label_class(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    kept = got.groupby(["quality", "toxic"]).selected.mean()
+    print(got.groupby(["quality", "toxic"]).selected.agg(["sum", "count"]))
+    assert kept[1, 0] > 0.95 and kept[0, 1] < 0.1 and kept[0, 0] < 0.08
+
+
 def test_kth_largest(spark):
     rng = random.Random(6)
     x = [rng.choice([0.0, 1.5, -3.0, rng.random(), rng.random() * 1e9]) for _ in range(500)]
