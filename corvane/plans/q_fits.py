@@ -142,7 +142,7 @@ def _ranges(spark, d):
 
 @query()
 def j13_scan_fits(spark, d):
-    r = ft.expand_ranges(_ranges(spark, d).where("range_id < 2"), 4).withColumn("range_id", F.concat_ws("_", "range_id", "ti", "tf"))
+    r = ft.expand_ranges(_ranges(spark, d), 4).withColumn("range_id", F.concat_ws("_", "range_id", "ti", "tf"))
     return ft.scan_fits(pts(spark, d), r.select("range_id", "fit_times"), "exp", 24, [0.5, 150.0])
 
 
