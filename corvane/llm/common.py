@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch: bound what a Python worker holds at once, however long the texts are.
@@ -15,11 +15,13 @@ BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder; where none is set, one of this machine."""
+    """A new folder in the cluster's shared checkpoint folder; where none is set and Spark runs on this machine alone, one of it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = jsc.getCheckpointDir().get()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -74,6 +76,18 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def apart(df: DataFrame, keep: Sequence[str], *results: str) -> tuple[list[Column], list[str]]:
+    """The columns of ``keep``, and their names: one that is named like a result gets underscores before it until it is free."""
+    taken, names = {r.lower() for r in results}, []
+    for c in keep:
+        name = c
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        names.append(name)
+    return [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], names
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).alias(column)
 

@@ -1,16 +1,25 @@
 """SimHash near-duplicates by pigeonring filtering.
 
-A fingerprint has 64 bits in SEGMENTS segments on a ring. If two fingerprints differ in at most ``bits`` bits, then at
-some segment a chain starts whose cumulative differences over 1, 2, 3 ... segments never exceed their share of ``bits``
-(bits / SEGMENTS for each). With 4 bits over 5 segments the shares are 0, 1, 2, 3 and 4: the first segment is equal and the
-second differs in one bit at most. A join finds such starts: one side has a row for each start, the other one for each start
-and each value of the second segment within one bit. Longer chains and the full distance are checked in the join's
-condition, on 64-bit integers.
-
-Equal fingerprints are one class and enter the join once, so copies are never paired. Classes are joined into components.
-
-Null text counts as empty; a text without words has fingerprint 0 and is linked like any other. Equal rows share a class.
-A null id stays, and is never a component's name unless all ids of the component are null.
+A fingerprint has 64 bits in SEGMENTS segments on a ring. If two fingerprints differ in at most BITS bits, then at some
+segment a chain starts whose cumulative differences over 1, 2, 3 ... segments never exceed their share of BITS (BITS /
+SEGMENTS for each). With 4 bits over 5 segments the shares are 0, 1, 2, 3 and 4: the first segment is equal and the second
+differs in one bit at most. A join finds such starts: one side has a row for each start, the other one for each start and
+each value of the second segment within one bit. Longer chains and the full distance are checked in the join's condition,
+on 64-bit integers, and a pair comes out at the first of its starts only.
+
+Equal fingerprints are one class and enter the join once, so copies are never paired. Nor are dense groups of unlike ones: of
+the nodes that share a start the least is a pivot, each other one is held against the pivot alone, and what that links shares
+a label. The full join then gives pairs of unlike labels only; others could not change a component. It leaves no link out.
+
+near_duplicates() links fingerprints of a text's shingles. similar_components() links texts by the Jaccard similarity of their
+shingle sets: pigeonring joins over TABLES fingerprints of the set of words find the candidates, shingle sets decide. Words are what an edit
+changes least: it changes one word, but five shingles of five words. A pair of similarity 0.8 or more is missed if it differs in over BITS
+bits in each of the tables (README: measured share). No pair of less similarity is linked.
+
+Null text counts as empty; a text without words has fingerprint 0 and is linked like any other. Equal rows share a class. Very long
+texts are taken whole, one at a time. Columns of any name may stand beside id and text: inside, columns have names of their own.
+A null id stays, and is never a component's name unless all ids of the component are null. Among equal ids either may lead.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,14 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small_batches, staged, text_or_empty, unstage
+from .common import arrow_map, free_names, staged, text_or_empty, unstage
 from .components import components
 
 #: First bit and width of each segment on the ring.
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 BITS = 4
-#: similar_components() orders shingles that COMMON of about SAMPLE texts hold behind all others.
-SAMPLE, COMMON = 20_000, 20
+#: Fingerprints of the word set in similar_components().
+TABLES = 4
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -53,6 +62,23 @@ def fingerprint(h: list[int] | np.ndarray) -> int:
     return int(np.packbits(np.add.reduce(bits, axis=0, dtype=np.int64) * 2 > len(h)).view(">i8")[0])
 
 
+def word_fingerprints(text: str) -> list[int]:
+    """TABLES fingerprints of the set of a text's words, each by a hash function of its own."""
+    words = set(text.encode().translate(LOWER).split())
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    out = []
+    for k in range(TABLES):
+        x = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(fingerprint(x ^ (x >> np.uint64(32))))
+    return out
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending, as signed numbers."""
+    return np.unique(np.array(hashes(text, shingle), dtype=np.uint64).view(np.int64))
+
+
 def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = 5, text: str = "text") -> DataFrame:
     """The columns of ``keep`` with fp (long)."""
     types = dict(df.dtypes)
@@ -71,166 +97,195 @@ def _segment(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def near_pairs(classes: DataFrame) -> DataFrame:
-    """classes: (node long, ...), each node once. Pairs (u, v), u < v, of nodes that differ in at most BITS bits. A pair may come
-    more than once."""
-    n = len(SEGMENTS)
-    side = lambda u, x: classes.select(F.col("node").alias(u), F.col("node").alias(x))
+def _starts(nodes: DataFrame, near: bool = False) -> DataFrame:
+    """nodes (node, table, fp, ...) with ``at``: a row for each start of a chain; near: also for those whose second segment differs in a bit."""
+    n, out = len(SEGMENTS), []
 
-    def starts(x: str) -> list[Column]:
-        return [F.lit(k << 26).bitwiseOR(F.shiftleft(_segment(F.col(x), k), 13)).bitwiseOR(_segment(F.col(x), k + 1)) for k in range(n)]
-
-    def within_one_bit(start: Column, k: int) -> Column:
-        flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(SEGMENTS[(k + 1) % n][1])))])
+    def flipped(start: Column, width: int) -> Column:
+        flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << b for b in range(width) if near))])
         return F.transform(flips, lambda x: start.bitwiseXOR(x))
 
-    left, right = side("u", "x"), side("v", "y")
-    left = left.withColumn("at", F.explode(F.array(*starts("x"))))
-    right = right.withColumn("at", F.explode(F.flatten(F.array(*[within_one_bit(s, k) for k, s in enumerate(starts("y"))]))))
-    differ = F.col("x").bitwiseXOR(F.col("y"))
-    begin = F.shiftright("at", 26)
-    chain = F.lit(False)
     for k in range(n):
-        sums = list(accumulate([F.bit_count(_segment(differ, k + i)) for i in range(n)]))
-        chain = chain | ((begin == k) & (sums[2] <= 3 * BITS // n) & (sums[3] <= 4 * BITS // n))
-    fits = (F.col("u") < F.col("v")) & chain & (F.bit_count(differ) <= BITS)
-    return left.join(right, "at").where(fits).select("u", "v")
-
+        start = F.shiftleft(F.col("table").cast("long"), 29).bitwiseOR(F.lit(k << 26)).bitwiseOR(F.shiftleft(_segment(F.col("fp"), k), 13)).bitwiseOR(_segment(F.col("fp"), k + 1))
+        out.append(flipped(start, SEGMENTS[(k + 1) % n][1]))
+    return nodes.withColumn("at", F.explode(F.flatten(F.array(*out))))
 
-def classes_of(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """One row for each node: node and rep (its smallest id)."""
-    return rows.groupBy("node").agg(F.min(id_column).alias("rep"))
 
-
-def with_labels(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows with component_id: the smallest id in the component of their node. rows, classes and labels (node, label of the nodes that
-    have links) are read from storage."""
-    found = labels.withColumnRenamed("node", "member")
-    least = found.join(classes, found["member"] == classes["node"]).groupBy("label").agg(F.min("rep").alias("first"))
-    named = found.join(least, "label").select(F.col("member").alias("node"), "first")
-    table = staged(classes.join(named, "node", "left").select("node", F.coalesce("first", "rep").alias("component_id")), "components")
+def _first_start(differ: Column) -> Column:
+    """The first segment at which a chain within its budgets starts; null if there is none."""
+    n, found = len(SEGMENTS), None
+    for k in range(n):
+        sums = list(accumulate([F.bit_count(_segment(differ, k + i)) for i in range(n - 1)]))
+        fits = sums[0] == 0
+        for i in range(1, n - 1):
+            fits = fits & (sums[i] <= (i + 1) * BITS // n)
+        found = F.when(fits, k) if found is None else found.when(fits, k)
+    return found
+
+
+def near_pairs(nodes: DataFrame, also=None) -> DataFrame:
+    """nodes: (node long, table int, fp long, label long, ...), each node once a table. Pairs (u, v), u < v, of nodes that differ in
+    at most BITS bits of a table and whose labels differ; once for each such table. also: a further condition on columns of both
+    sides, named a_... and b_... ."""
+    a, b = ([F.col(c).alias(f"{p}_{c}") for c in nodes.columns] for p in "ab")
+    left, right = _starts(nodes).select(*a, "at"), _starts(nodes, near=True).select(*b, "at")
+    differ = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
+    fits = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & (F.bit_count(differ) <= BITS)
+    fits = fits & (_first_start(differ) == F.shiftright("at", 26).bitwiseAND(F.lit(7)))
+    return left.join(right, "at").where(fits if also is None else fits & also).select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+
+
+def with_neighbour(nodes: DataFrame) -> DataFrame:
+    """The nodes (column node, each once) that differ from another one in at most BITS bits of a table."""
+    right = _starts(nodes, near=True).select(F.col("node").alias("v"), F.col("fp").alias("y"), F.col("at").alias("to"))
+    left, differ = _starts(nodes), F.col("fp").bitwiseXOR(F.col("y"))
+    near = (F.col("at") == F.col("to")) & (F.col("node") != F.col("v")) & (F.bit_count(differ) <= BITS) & _first_start(differ).isNotNull()
+    return left.join(right, near, "left_semi").select("node").distinct()
+
+
+def pivot_pairs(nodes: DataFrame, turn: int = 0, also=None) -> DataFrame:
+    """Pairs (u, v) as near_pairs(), of nodes with the pivot of those that share a start with them: fewer than the rows of nodes times
+    the segments. turn: which node is the pivot."""
+    starts = _starts(nodes)
+    pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *[F.col(c).alias(f"b_{c}") for c in nodes.columns])).alias("p")
+    pivots = starts.groupBy("at").agg(pivot, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("at", "p.*")
+    met = starts.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns], "at").join(pivots, "at")
+    fits = (F.col("a_label") != F.col("b_label")) & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= BITS)
+    met = met.where(fits if also is None else fits & also)
+    return met.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v"))
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return nodes.withColumn("label", F.col("node"))
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, label) by links and by what labels has joined before."""
+    if labels is not None:
+        links = links.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
+    out = staged(components(links), "labels")
+    if labels is not None:
+        unstage(labels)
+    return out
+
+
+def near_components(nodes: DataFrame) -> DataFrame:
+    """(node, label) of the nodes (node, table, fp) that have links, in the components of all pairs that near_pairs() would give."""
+    labels = _joined(pivot_pairs(_labelled(nodes, None)), None)
+    return _joined(near_pairs(_labelled(nodes, labels)), labels)
+
+
+def classes_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row for each node: rep, the least of its rows (those with an id before those without) as (none, id, keys if there are any), and
+    ``columns``, which are the same in all rows of a node."""
+    rep = F.struct(F.col("id").isNull().alias("none"), *[c for c in ("id", "key", "other_key") if c in rows.columns])
+    return rows.groupBy("node").agg(F.min(rep).alias("rep"), *[F.first(c).alias(c) for c in columns])
+
+
+def with_firsts(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with first: the least rep in the component of their node. rows, classes and labels (node, label of the nodes that have
+    links) are read from storage."""
+    found = labels.join(classes.select("node", "rep"), "node")
+    least = found.groupBy("label").agg(F.min("rep").alias("first"))
+    named = labels.join(least, "label").select("node", "first")
+    table = staged(classes.join(named, "node", "left").select("node", F.coalesce("first", "rep").alias("first")), "components")
     return rows.join(table, "node")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, text: str = "text") -> DataFrame:
     """One row for each row of df: its id, fp and component_id, with links at BITS or fewer differing bits."""
-    rows = staged(fingerprints(df, (id_column,), shingle, text).withColumnRenamed("fp", "node"), "fingerprints")
-    classes = staged(classes_of(rows, id_column), "classes")
-    return with_labels(rows, classes, staged(components(near_pairs(classes)), "labels")).select(id_column, F.col("node").alias("fp"), "component_id")
-
-
-def shingle_sets(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), shingle: int = 5, text: str = "text") -> DataFrame:
-    """The columns of ``keep`` with node, a hash of the text's distinct shingle hashes, and these in ascending order (shingles)."""
-    types = dict(df.dtypes)
-
-    def make():
-        def work(*columns):
-            sets = [np.unique(np.array(hashes(t, shingle), dtype=np.uint64).view(np.int64)) for t in columns[-1]]
-            nodes = [xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets]
-            return [*columns[:-1], [n - (n >> 63 << 64) for n in nodes], sets]
-
-        return work
-
-    return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], ", ".join([f"`{c}` {types[c]}" for c in keep] + ["node long, shingles array<long>"]), make)
+    base = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    rows = staged(fingerprints(base, ("id",), shingle).withColumnRenamed("fp", "node"), "fingerprints")
+    classes = staged(classes_of(rows), "classes")
+    labels = near_components(classes.select("node", F.lit(0).alias("table"), F.col("node").alias("fp")))
+    found = with_firsts(rows, classes, labels)
+    unstage(classes)
+    unstage(labels)
+    return found.select(F.col("id").alias(id_column), F.col("node").alias("fp"), F.col("first.id").alias("component_id"))
 
 
-def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that COMMON or more of about SAMPLE texts hold, ascending, and in how many of them."""
-    part = min(1.0, SAMPLE / max(1, sets.count()))
-    some = sets.where(F.pmod("node", F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    found = some.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON).toPandas().sort_values("s")
-    return found["s"].to_numpy(dtype=np.int64), found["count"].to_numpy(dtype=np.int64)
+def _keyed(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """id, text (no nulls) and two hashes of both, which stand for a row: a null id or one id of several texts is no key."""
+    base = df.select(F.col(id_column).alias("id"), text_or_empty(text).alias("text"))
+    return base.withColumns({"key": F.xxhash64("id", "text"), "other_key": F.xxhash64(F.lit(1), "text", "id")})
 
 
-def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, n, at, s): the first of each set's n shingles in one order for all texts, at being the place. So many that two sets of
-    this Jaccard similarity share one. Common shingles come last; the order decides what is compared, not what is found."""
-    common = sets.sparkSession.sparkContext.broadcast(_common(sets))
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets (node, shingles) have this Jaccard similarity: both sets are compared in full."""
+    side = lambda u, x: sets.select(F.col("node").alias(u), F.col("shingles").alias(x))
+    both = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared * (1 + similarity) >= (F.size("x") + F.size("y")) * similarity - 1e-9).select("u", "v")
 
-    def work(batches):
-        import pyarrow as pa
 
-        keys, counts = common.value
-        for b in batches:
-            lists = b.column(1)
-            flat, ends = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).cumsum()
-            rank = np.zeros(len(flat), dtype=np.int64)
-            if len(keys):
-                k = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-                rank = np.where(keys[k] == flat, counts[k], 0)
-            out, sizes, start = [], [], 0
-            for end in ends:
-                s, r = flat[start:end], rank[start:end]
-                most = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1 if len(s) else 0
-                out.append((s[np.lexsort((s, r))] if r.any() else s)[:most])
-                sizes.append(end - start)
-                start = end
-            n = [len(x) for x in out]
-            if sum(n):
-                at = np.concatenate([np.arange(x) for x in n])
-                yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(b.column(0).to_numpy(), n)), "n": pa.array(np.repeat(sizes, n), pa.int32()), "at": pa.array(at, pa.int32()), "s": pa.array(np.concatenate(out))})
+def _similar(df: DataFrame, id_column: str, shingle: int, similarity: float, text: str) -> DataFrame:
+    """A row for each row of df: id, key, other_key, and first, the least row of its component."""
 
-    small_batches(sets.sparkSession)
-    return sets.select("node", "shingles").mapInArrow(work, "node long, n int, at int, s long")
+    def make():
+        def work(ids, keys, others, texts):
+            sets = [shingle_set(t, shingle) for t in texts]
+            nodes = [xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets]
+            return [ids, keys, others, [n - (n >> 63 << 64) for n in nodes], [len(s) for s in sets], [word_fingerprints(t) for t in texts]]
 
+        return work
 
-def _may_fit(similarity: float, n: str, at: str, m: str, to: str) -> Column:
-    """Whether sets of n and m shingles whose first shared one is at places ``at`` and ``to`` can be so similar."""
-    left = F.least(F.col(n) - F.col(at), F.col(m) - F.col(to))
-    return left * (1 + similarity) >= (F.col(n) + F.col(m)) * similarity - 1e-9
+    keyed = _keyed(df, id_column, text)
+    kind = dict(keyed.dtypes)["id"]
+    rows = staged(arrow_map(keyed, ["id", "key", "other_key", "text"], f"id {kind}, key long, other_key long, node long, n int, fps array<long>", make), "rows")
+    classes = staged(classes_of(rows, "n", "fps"), "classes")
+    # unlike sets of which both have under four shingles, or one has, are less similar than 3 in 4
+    nodes = classes.where("n >= 4" if similarity > 0.75 else "n > 0").select("node", "n", F.posexplode("fps").alias("table", "fp"))
+    near = None
+    for k in range(TABLES):  # one at a time: bounds what lies on disk at once
+        more = staged(with_neighbour(nodes.where(F.col("table") == k)), "near")
+        near = more if near is None else near.unionByName(more)
+    near = staged(near.distinct(), "near")
+
+    def make_sets():
+        def work(found, texts):
+            return [found, [shingle_set(t, shingle) for t in texts]]
 
+        return work
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets have this Jaccard similarity: both sets are compared in full."""
-    pairs = staged(pairs.distinct(), "pairs")
-    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    used = staged(sets.select("node", "shingles").join(named, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    side = lambda u, x: used.select(F.col("node").alias(u), F.col("shingles").alias(x))
-    both = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * (1 + similarity) >= (F.size("x") + F.size("y")) * similarity - 1e-9).select("u", "v")
+    wanted = classes.join(near, "node", "left_semi").select("node", F.col("rep.key").alias("key"), F.col("rep.other_key").alias("other_key"))
+    texts = keyed.select("key", "other_key", "text").join(wanted, ["key", "other_key"]).groupBy("node").agg(F.first("text").alias("text"))
+    sets = staged(arrow_map(texts, ["node", "text"], "node long, shingles array<long>", make_sets), "sets")
+    nodes = staged(nodes.join(near, "node", "left_semi"), "nodes")
+    sizes = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-9
+    labels, tested = None, None
+    for turn in range(3):
+        now = _labelled(nodes, labels)
+        pairs = (pivot_pairs(now, turn, sizes) if turn < 2 else near_pairs(now, sizes)).distinct()
+        pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        labels = _joined(similar_pairs(pairs, sets, similarity), labels)
+    found = with_firsts(rows, classes, labels).select("id", "key", "other_key", "first")
+    for table in (classes, near, sets, nodes, labels, tested):
+        unstage(table)
+    return found
 
 
 def similar_components(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """One row for each row of df: its id and component_id. Texts with one set of shingles are one node; nodes are linked if their
-    sets have a Jaccard similarity of ``similarity`` or more. Every such pair ends in one component.
-
-    Candidates share a shingle of their prefixes. Each is first compared with one node of those that share its shingle, twice; what
-    is left are pairs whose labels still differ, all of which are compared. Pairs of one label could not change a component."""
-    rows = staged(shingle_sets(df, (id_column,), shingle, text=text), "shingles")
-    classes = staged(classes_of(rows, id_column), "classes")
-    firsts = staged(prefixes(rows, similarity), "prefixes")
-    met = firsts.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("s")
-    shared = staged(firsts.join(met, "s").distinct(), "shared")
-    unstage(firsts)
-    labels = df.sparkSession.createDataFrame([], "node long, label long")
-    for k in range(3):
-        now = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if k else shared.withColumn("label", F.col("node"))
-        mixed = now.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s")
-        now = staged(now.join(mixed, "s"), "labelled")
-        if k < 2:
-            other = now.groupBy("s").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "at", "label")).alias("c"))
-            other = other.select("s", F.col("c.node").alias("v"), F.col("c.n").alias("m"), F.col("c.at").alias("to"), F.col("c.label").alias("b"))
-            fits = F.col("node") != F.col("v")
-        else:
-            other = now.select("s", F.col("node").alias("v"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("label").alias("b"))
-            fits = F.col("node") < F.col("v")
-        pairs = now.join(other, "s").where(fits & (F.col("label") != F.col("b")) & _may_fit(similarity, "n", "at", "m", "to"))
-        links = similar_pairs(pairs.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")), rows, similarity)
-        labels = staged(components(links.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
-        unstage(now)
-    return with_labels(rows.drop("shingles"), classes, labels).select(id_column, "component_id")
+    sets have a Jaccard similarity of ``similarity`` or more."""
+    return _similar(df, id_column, shingle, similarity, text).select(F.col("id").alias(id_column), F.col("first.id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
-    """The rows of df, all columns, that are the first of their component; of repeated rows one stays. Rows of one component
-    without any id stay only if they are alone; rows without an id beside others with one go."""
-    found = staged(similar_components(df, id_column, shingle, similarity, text), "similar")
-    gone = found.where(F.col(id_column).isNotNull() & (F.col(id_column) != F.col("component_id"))).select(id_column).distinct()
-    again = found.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1").select(id_column)
-    kept = df.join(staged(gone, "gone"), id_column, "left_anti").select(*df.columns)
-    again = staged(again, "repeated")
+    """The rows of df, all columns, that are the first of their component: the one of the least id, rows without an id last. Of rows
+    with one id and one text any one stays. One id of unlike texts is as many rows as any."""
+    found = staged(_similar(df, id_column, shingle, similarity, text), "similar")
+    is_first = F.col("key").eqNullSafe(F.col("first.key")) & F.col("other_key").eqNullSafe(F.col("first.other_key"))
+    k, o = free_names(df, "__key", "__other_key")
+    gone = staged(found.where(~is_first).select(F.col("key").alias(k), F.col("other_key").alias(o)).distinct(), "gone")
+    again = found.where(is_first).groupBy("key", "other_key").count().where("count > 1")
+    again = staged(again.select(F.col("key").alias(k), F.col("other_key").alias(o)), "repeated")
+    unstage(found)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    same = (F.xxhash64(F.col(id_column), body) == F.col(k)) & (F.xxhash64(F.lit(1), body, F.col(id_column)) == F.col(o))
+    kept = df.join(gone, same, "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(again, id_column, "left_semi").select(*df.columns).dropDuplicates([id_column])
-    return kept.join(again, id_column, "left_anti").select(*df.columns).unionByName(once)
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_column, text]))
