@@ -9,7 +9,8 @@ Rules are given as a list, which the driver holds and tasks get: MAX_RULES bound
 in blocks of that many, one pass over the URLs for each, the winner so far carried along.
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule and get the default verdict. Repeated rows
-give repeated rows. Every other column is dropped unless named in ``keep``.
+give repeated rows; very long urls are taken whole. Every other column is dropped unless named in ``keep``; a kept one that is named
+like a result (host, path, rule, verdict) comes back with underscores before its name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import apart, arrow_map
 
 #: Rules that one pass sends to every task (about 100 bytes each).
 MAX_RULES = 200_000
@@ -40,8 +41,9 @@ class Rule(NamedTuple):
         *whole, _ = self.path.split("/")  # the last piece of a prefix may be part of a segment
         return [x for x in self.host.split(".") + ["/" + x for x in whole] if x.strip("/")]
 
-    def pattern(self) -> re.Pattern:
-        return re.compile(rf"(?:[^ ]*\.)?{re.escape(self.host)} {re.escape(self.path)}", re.S)
+    def patterns(self) -> tuple[re.Pattern, re.Pattern]:
+        """Of the whole host and of the path's beginning: apart, as a host may hold any sign but those that end it."""
+        return re.compile(rf"(?:.*\.)?{re.escape(self.host)}", re.S), re.compile(re.escape(self.path))
 
     def rank(self) -> tuple:
         return len(self.name), len(self.host), self.verdict == "block", self.name
@@ -50,16 +52,16 @@ class Rule(NamedTuple):
 class RuleIndex:
     def __init__(self, rules: list[Rule]):
         held = Counter(t for r in rules for t in set(r.tokens()))
-        self.by_token: dict[str, list[tuple[Rule, re.Pattern]]] = defaultdict(list)
+        self.by_token: dict[str, list[tuple[Rule, re.Pattern, re.Pattern]]] = defaultdict(list)
         for r in rules:
             rarest = min(r.tokens(), key=lambda t: (held[t], -len(t)))
-            self.by_token[rarest].append((r, r.pattern()))
+            self.by_token[rarest].append((r, *r.patterns()))
 
     def winner(self, host: str, path: str, best: Rule | None = None) -> Rule | None:
-        line, get = f"{host} {path}", self.by_token.get
+        get = self.by_token.get
         for token in {*host.split("."), *("/" + x for x in path.split("/"))}:
-            for rule, pattern in get(token, ()):
-                if (best is None or rule.rank() > best.rank()) and pattern.match(line):
+            for rule, of_host, of_path in get(token, ()):
+                if (best is None or rule.rank() > best.rank()) and of_path.match(path) and of_host.fullmatch(host):
                     best = rule
         return best
 
@@ -75,11 +77,13 @@ def host_and_path(df: DataFrame, url: str = "url") -> DataFrame:
 
 def judge(df: DataFrame, rules: list[tuple[str, str, str]], keep: tuple[str, ...] = ("page_id",), url: str = "url", default: str = "allow") -> DataFrame:
     """rules: (verdict, host, path prefix). The columns of ``keep`` with host, path, rule (null if none fits) and verdict."""
+    columns, keep = apart(df, keep, "host", "path", "rule", "verdict", "won", "url")
+    df = df.select(*columns, F.col(f"`{url}`").cast("string").alias("url"))
     types = dict(df.dtypes)
     listed = list(dict.fromkeys(Rule(v, h.lower(), p) for v, h, p in rules))
     if any(not r.tokens() for r in listed):
         raise ValueError("a rule needs a literal token")
-    out = host_and_path(df.select(*keep, url), url).select(*keep, "host", "path", F.lit(None).cast("array<string>").alias("won"))
+    out = host_and_path(df).select(*keep, "host", "path", F.lit(None).cast("array<string>").alias("won"))
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["host string, path string, won array<string>"])
     for i in range(0, len(listed), MAX_RULES):
         block = df.sparkSession.sparkContext.broadcast(listed[i : i + MAX_RULES])
