@@ -4,11 +4,15 @@ Templates become runs of lower-cased words. Of every WINDOW hashes of GRAM words
 of equal ones), filed with its places in an inverted index; a template of one window or less files its least hash. A document
 looks up all its hashes. Hits of one template that lie on nearly one diagonal (BAND) and close together are a candidate, and
 the template is aligned with the words around them: a word that fits gives 1, a word left out or put in or changed costs 1,
-within BAND of the hits' diagonals. Coverage is the share of the template's words that fit. Spans are places in the text.
-
-A find is reported if it covers ``coverage`` of its template; of finds that overlap in the text the one that covers more of its
-template stays, then the one with more words, then the first template. Templates are a parameter that tasks get whole;
-MAX_BYTES bounds them. Null text counts as empty and has no finds. Repeated rows give repeated finds.
+within BAND of the hits' diagonals. Coverage is the share of the template's words that fit, less those put in. Spans are places in the
+text.
+
+A find is reported if it covers ``coverage`` of its template and if its span has the template's telling words and versions, no
+others and none less: "Lesser" or "3" is one word of many, but another licence. Of finds that overlap in the text the one with more
+fitting words stays, then the one that covers more of its template, then the first template. Templates are a parameter that tasks get
+whole; MAX_BYTES bounds them. The given ones cover the licences that license_texts.py lists. Null text counts as empty and has no
+finds, nor has an empty table. Repeated rows give repeated finds; very long texts are taken whole. A kept column that is named like a
+result comes back with underscores before its name.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ from itertools import repeat
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, text_or_empty
-from .license_texts import TEMPLATES
+from .common import apart, arrow_map, text_or_empty
+from .license_texts import BEFORE_VERSION, TELLING, TEMPLATES
 from .tiling import rolling
 
 GRAM, WINDOW, BAND, COVERAGE, MAX_BYTES = 3, 3, 8, 0.8, 16 << 20
@@ -37,9 +41,19 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
     return sorted(set((np.arange(len(views)) + window - 1 - np.argmin(views, axis=1)).tolist()))
 
 
-def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+def telling(words: list[str]) -> frozenset[str]:
+    """The words of a stretch that tell licences apart, and its versions (2.0 counts as 2)."""
+    found, number = set(), False
+    for k, w in enumerate(words):
+        number = w.isdigit() and (number or k > 0 and words[k - 1] in BEFORE_VERSION)
+        if w in TELLING or number and w != "0":
+            found.add(w)
+    return frozenset(found)
+
+
+def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int, int]:
     """The best alignment of a whole template with a stretch of words, on diagonals (word - template word) low to high:
-    words that fit, first word, end."""
+    its score, words that fit, first word, end."""
     width = high - low + 1
     worst = -(1 << 30)
     score = [0] * width  # free to begin at any word
@@ -59,8 +73,9 @@ def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple
             if c and new[c - 1] - 1 > new[c]:  # a word is put in
                 new[c], kept[c] = new[c - 1] - 1, kept[c - 1]
         score, state = new, kept
-    fit, first, last = state[max(range(width), key=lambda c: (score[c], state[c][0], -c))]
-    return fit, first, last + 1
+    best = max(range(width), key=lambda c: (score[c], state[c][0], -c))
+    fit, first, last = state[best]
+    return score[best], fit, first, last + 1
 
 
 class Scanner:
@@ -70,6 +85,7 @@ class Scanner:
         self.names = [n for n, _ in templates]
         self.known = {w: k for k, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
         self.templates = [np.array([self.known[w] for w in ws], dtype=np.int64) for ws in words]
+        self.telling = [telling(ws) for ws in words]
         index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, ids in enumerate(self.templates):
             h = rolling(ids, GRAM)
@@ -113,9 +129,10 @@ class Scanner:
         for k, low, high in self.candidates(ids):
             template = self.templates[k]
             begin, end = max(0, low - BAND), min(len(ids), high + len(template) + BAND)
-            fit, first, stop = align(template, ids[begin:end], low - BAND - begin, high + BAND - begin)
-            if first >= 0 and fit / len(template) >= self.coverage:
-                found.append((-fit / len(template), -fit, k, begin + first, begin + stop))
+            _, fit, first, stop = align(template, ids[begin:end], low - BAND - begin, high + BAND - begin)
+            covered = (fit - max(0, stop - first - len(template))) / len(template)
+            if first >= 0 and covered >= self.coverage and self._same_version(k, words, begin + first, begin + stop):
+                found.append((-fit, -covered, k, begin + first, begin + stop))
         if not found:
             return []
         best: list[tuple] = []
@@ -123,13 +140,21 @@ class Scanner:
             if all(f[4] <= b[3] or f[3] >= b[4] for b in best):
                 best.append(f)
         places = [m.span() for m in WORD.finditer(text)]
-        return [(self.names[k], -c, -fit, places[a][0], places[b - 1][1]) for c, fit, k, a, b in sorted(best, key=lambda f: f[3])]
+        return [(self.names[k], -c, -fit, places[a][0], places[b - 1][1]) for fit, c, k, a, b in sorted(best, key=lambda f: f[3])]
+
+    def _same_version(self, k: int, words: list[str], begin: int, end: int) -> bool:
+        """Whether the span tells the same licence as the template; a version that goes on behind the span belongs to it."""
+        if words[end - 1].isdigit() and end < len(words) and len(words[end]) == 1:
+            end += words[end].isdigit()
+        return telling(words[max(0, begin - 1) : end]) - telling(words[max(0, begin - 1) : begin]) == self.telling[k]
 
 
 def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """A row for each find: keep, license, coverage, words, span_start, span_end."""
     if sum(len(t) for _, t in templates) > MAX_BYTES:
         raise ValueError(f"templates of more than {MAX_BYTES} letters")
+    columns, keep = apart(df, keep, "license", "coverage", "words", "span_start", "span_end", "text")
+    df = df.select(*columns, text_or_empty(text).alias("text"))
     types = dict(df.dtypes)
     sent = df.sparkSession.sparkContext.broadcast(list(templates))
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["license string, coverage double, words int, span_start int, span_end int"])
@@ -143,4 +168,4 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage:
 
         return work
 
-    return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], schema, make)
+    return arrow_map(df, df.columns, schema, make)
