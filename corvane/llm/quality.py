@@ -148,35 +148,35 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float(cuts[int(np.argmax(gains))])
 
 
-def _fitted(df: DataFrame, labels: DataFrame, good, buckets: int, id_column: str, text: str) -> tuple[np.ndarray, DataFrame, float | None]:
-    """The log-ratios, the scores of df's rows, and the least draw_key that is selected (null: all are)."""
+def _drawn(df: DataFrame, labels: DataFrame, good, buckets: int, id_column: str, text: str, keep: tuple[str, ...], names: tuple[str, str]) -> tuple[DataFrame, float | None]:
+    """The columns of ``keep`` with log_weight and draw_key, called ``names``, of df's rows, written once; the least draw_key that is
+    selected (null: all are)."""
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) if good is None else good
     ratio, ids = fit(df, labels, good, buckets, id_column, text)
-    scored = staged(score(df, ratio, (id_column,), id_column, text), "scores")
+    scored = staged(score(df, ratio, keep, id_column, text, names=names), "scores")
+    weight, key = names
 
     def weights(chosen: list) -> np.ndarray:
         target = df.sparkSession.createDataFrame([(i,) for i in chosen], scored.select(id_column).schema)
-        known = scored.join(F.broadcast(target), id_column, "left_semi").groupBy(id_column).agg(F.min("log_weight"))
+        known = scored.select(id_column, weight).join(F.broadcast(target), id_column, "left_semi").groupBy(id_column).agg(F.min(weight))
         return np.array([r[1] for r in known.collect()])
 
     held = weights(ids)
     if not len(held):
-        return ratio, scored, None
+        return scored, None
     cut = best_cut(held, weights(_target_ids(labels, ~good, id_column)))
-    k = scored.where(F.col("log_weight") >= cut).count()
-    return ratio, scored, kth_largest(scored.select(F.col("draw_key").alias("x")), k)
+    k = scored.where(F.col(weight) >= cut).count()
+    return scored, kth_largest(scored.select(F.col(key).alias("x")), k)
 
 
 def classify(df: DataFrame, labels: DataFrame, good=None, buckets: int = BUCKETS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, log_weight, draw_key and selected for each row of df. good: a condition on labels (quality 1 and not toxic)."""
-    _, scored, least = _fitted(df, labels, good, buckets, id_column, text)
+    scored, least = _drawn(df, labels, good, buckets, id_column, text, (id_column,), ("log_weight", "draw_key"))
     return scored.withColumn("selected", F.lit(True) if least is None else F.col("draw_key") >= F.lit(least))
 
 
 def keep_selected(df: DataFrame, labels: DataFrame, good=None, buckets: int = BUCKETS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, all columns, that classify() selects."""
-    ratio, _, least = _fitted(df, labels, good, buckets, id_column, text)
-    if least is None:
-        return df
     names = tuple(free_names(df, "log_weight", "draw_key"))
-    return score(df, ratio, tuple(df.columns), id_column, text, names=names).where(F.col(names[1]) >= F.lit(least)).select(*df.columns)
+    scored, least = _drawn(df, labels, good, buckets, id_column, text, tuple(df.columns), names)
+    return df if least is None else scored.where(F.col(names[1]) >= F.lit(least)).select(*df.columns)
