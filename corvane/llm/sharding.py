@@ -1,7 +1,9 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups are equal keys (equal texts). The driver never sees groups: Spark counts them by size class (exact up to 256, then
-256 classes for each power of two), a histogram whose length does not grow with the data beyond a few thousand classes.
+Groups are equal keys (equal texts). The driver never sees groups: Spark counts them by size class (exact up to 256 bytes and from
+EXACT of a shard on, between them 256 classes for each power of two), a histogram of a few thousand classes and at most 1 / EXACT for
+each shard. Groups that decide whether another one fits thus count with their own size; of the small ones a class has one size, its
+largest in ``pack`` (0.4 % too much at most) and its mean in ``pack_into``.
 Groups of one class are interchangeable, so best-fit-decreasing over the histogram is best-fit-decreasing over the groups:
 a class enters the bin with the tightest remaining capacity that takes it, as many of its groups as fit, then the next.
 The bins stand in a balanced tree by remaining capacity. The plan is a short list of runs (class, first rank, last rank,
@@ -11,7 +13,9 @@ bin); a group's rank in its class comes from counts of hash parts, never from on
 number of shards nearly equally: groups larger than an equal share get a shard of their own, the rest the least capacity
 at which best-fit-decreasing needs no more shards than there are.
 
-Null texts count as empty. Repeated rows are rows of the same group. An empty table gives an empty result.
+Null texts count as empty; a very long text is a large group. Repeated rows are rows of the same group. Of equally large groups the
+less hash comes first, of equally full bins the older one. A kept column that is named like a result comes back with underscores before its
+name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged, work_path
+from .common import apart, staged, work_path
 
 #: Groups in one hash part, within which ranks are counted by a window.
 PART_GROUPS = 50_000
+#: Groups of at least this share of a shard count with their exact size.
+EXACT = 1 / 16
 
 
 class CapacityTree:
@@ -120,15 +126,16 @@ def fill_bins(classes: list[tuple[int, float, int]], bins: int):
     return runs + [(c, shift[c] + a, shift[c] + b, bins - free + k) for c, a, b, k in best[0]]
 
 
-def _size_class():
+def _size_class(exact_from: int):
+    """Below 0: an exact size of at least exact_from."""
     power = F.greatest(F.floor(F.log2(F.col("size"))) - 8, F.lit(0)).cast("int")
-    return F.when(F.col("size") < 256, F.col("size")).otherwise(power.cast("long") * 1024 + F.expr("shiftright(size, cast(greatest(floor(log2(size)) - 8, 0) as int))")).alias("class")
+    return F.when(F.col("size") >= exact_from, -F.col("size")).when(F.col("size") < 256, F.col("size")).otherwise(power.cast("long") * 1024 + F.expr("shiftright(size, cast(greatest(floor(log2(size)) - 8, 0) as int))")).alias("class")
 
 
-def _assign(rows: DataFrame, plan, largest: bool) -> DataFrame:
+def _assign(rows: DataFrame, plan, largest: bool, exact_from: int) -> DataFrame:
     """rows: (key, size, ...), read from storage. The rows with shard; plan: from the classes' list to runs."""
     spark = rows.sparkSession
-    groups = rows.groupBy("key").agg(F.sum("size").alias("size")).select("key", "size", _size_class())
+    groups = rows.groupBy("key").agg(F.sum("size").alias("size")).select("key", "size", _size_class(exact_from))
     groups = staged(groups, "groups")
     n_groups = groups.count()
     parts = max(1, -(-n_groups // PART_GROUPS))
@@ -160,16 +167,18 @@ def keyed(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
     """The columns of ``keep`` with size (UTF-8 bytes and 1), text_crc32 and key, a hash of the text. Two texts of one hash
     would be one group, which keeps every promise made for groups."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.select(*keep, (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t).alias("text_crc32"), F.xxhash64(t).alias("key"))
+    columns, _ = apart(df, keep, "size", "text_crc32", "key", "shard", "slot", "file", "at", "before")
+    return df.select(*columns, (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t).alias("text_crc32"), F.xxhash64(t).alias("key"))
 
 
 def pack(df: DataFrame, capacity: int, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The fewest shards of ``capacity`` bytes that best-fit-decreasing finds: keep, size, text_crc32, shard, slot."""
+    """As few shards of ``capacity`` bytes as best-fit-decreasing finds: keep, size, text_crc32, shard, slot."""
     rows = staged(keyed(df, keep, text), "rows")
-    return _with_slots(_assign(rows, lambda c: best_fit_decreasing(c, capacity)[0], largest=True)).drop("key")
+    return _with_slots(_assign(rows, lambda c: best_fit_decreasing(c, capacity)[0], True, max(1, int(capacity * EXACT)))).drop("key")
 
 
 def pack_into(df: DataFrame, shards: int, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``shards`` shards of nearly equal bytes: keep, size, text_crc32, shard, slot."""
     rows = staged(keyed(df, keep, text), "rows")
-    return _with_slots(_assign(rows, lambda c: fill_bins(c, shards), largest=False)).drop("key")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    return _with_slots(_assign(rows, lambda c: fill_bins(c, shards), False, max(1, int(total / shards * EXACT)))).drop("key")
