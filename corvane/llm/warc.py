@@ -1,16 +1,18 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
-Writing: every task writes one ``.warc.gz`` file, a gzip member for each record, under a name of its own and then renames it
-to the name of its partition, so a task that runs twice leaves one file. Of records with equal payloads of at least
+Writing: every attempt of a task writes one ``.warc.gz`` file, a gzip member for each record, under a name of its own; nothing is renamed
+or replaced. Spark commits one attempt's row of each task to a manifest (file, length, records), and the reader takes the files that it
+names, so what a lost or doubled attempt leaves behind is never read. Of records with equal payloads of at least
 ``min_bytes`` bytes the one with the largest id is a response; the others are revisits that name it and carry no payload. If
 several rows have that id and payload, each of them is a response.
 
-Reading: a table of byte ranges is made from the files' lengths. A task looks for gzip magic in its range, takes a place for a
+Reading: a table of byte ranges is made from the files' lengths and dealt to a bounded number of tasks, each with many ranges when there
+is much to read. In each a task looks for gzip magic, takes a place for a
 member only if it decodes to the beginning of a WARC record, and owns the records whose members start in its range; it reads
 on past the range's end to finish the last one.
 
 Null html counts as empty, a null url is left out of the record, a null id stays null. An empty table gives no archive and
-an empty result.
+an empty result. Very long payloads are held one at a time. Columns of pages beside page_id, url and html are dropped.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ from .common import small_batches, staged
 RANGE_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 READ_BYTES = 1 << 18
+#: Written by write(); archives from elsewhere have none, and all files of the folder are read.
+MANIFEST, MANIFEST_COLUMNS = "manifest", "file string, length long, records long"
+#: Reading tasks for each of the cluster's cores, at most.
+TASKS_A_CORE = 8
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -74,23 +80,28 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> int:
     small_batches(pages.sparkSession)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(path)
-        part = TaskContext.get().partitionId()
-        own, out, n = f"{root}/.{uuid.uuid4().hex}", None, 0
+        fs, root = opened(path)
+        own, out, n = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, 0
         for b in batches:
             for page_id, url, html, sha1, refers_to in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(own)
+                    out = fs.open_output_stream(f"{root}/{own}", compression=None)
                 out.write(gzip_member(record(page_id, url, html.encode(), sha1, refers_to)))
                 n += 1
         if out is not None:
             out.close()
-            fs.move(own, f"{root}/part-{part:06d}.warc.gz")
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+            length = fs.get_file_info(f"{root}/{own}").size
+            yield pa.RecordBatch.from_pydict({"file": pa.array([own]), "length": pa.array([length], pa.int64()), "records": pa.array([n], pa.int64())})
 
     rows = decided(pages, min_bytes).select("page_id", "url", "html", "sha1", "refers_to")
-    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    rows.mapInArrow(run, MANIFEST_COLUMNS).write.parquet(f"{path}/{MANIFEST}")
+    return pages.sparkSession.read.schema(MANIFEST_COLUMNS).parquet(f"{path}/{MANIFEST}").agg(F.sum("records")).first()[0] or 0
+
+
+def opened(uri: str):
+    """A file system and a path in it that tasks open without Spark."""
+    return pa.fs.FileSystem.from_uri(f"s3://{uri[6:]}" if uri.startswith("s3a://") else uri)
 
 
 class _File:
@@ -177,7 +188,10 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, payload
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path, MANIFEST)):
+        files = spark.read.schema(MANIFEST_COLUMNS).parquet(f"{path}/{MANIFEST}").select(F.concat(F.lit(path.rstrip("/") + "/"), "file").alias("path"), "length")
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -186,7 +200,7 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, payload
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, length, start in zip(*(c.to_pylist() for c in b.columns)):
-                fs, name = pa.fs.FileSystem.from_uri(file)
+                fs, name = opened(file)
                 rows, held = [], 0
                 with fs.open_input_file(name) as stream:
                     for r in records(stream, length, start, start + range_bytes):
@@ -206,4 +220,5 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, payload
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
-    return ranges.repartition(max(1, ranges.count())).mapInArrow(run, schema)
+    tasks = min(ranges.count(), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    return ranges.repartition(max(1, tasks)).mapInArrow(run, schema)
