@@ -5,7 +5,7 @@ mergeable pair to all its positions. Ranks that have positions are applied in as
 lists of the pairs beside it. Results of words are kept in a bounded cache per worker.
 
 Null text counts as empty; an empty text has no tokens. Repeated rows give repeated rows. Other columns are dropped
-unless named in ``keep``.
+unless named in ``keep``; a kept one that is named like a result comes back with underscores before its name.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from heapq import heapify, heappop, heappush
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, text_or_empty
+from .common import apart, arrow_map, text_or_empty
 
 #: Words whose results a worker keeps.
 CACHE_WORDS = 500_000
@@ -200,6 +200,8 @@ def load(path: str) -> WordBpe:
 
 def encode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", full: bool = True) -> DataFrame:
     """The columns of ``keep`` with n_tokens, ids_sha256, decoded_sha256 and, if ``full``, ids (array) and decoded."""
+    columns, keep = apart(df, keep, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded", "text")
+    df = df.select(*columns, text_or_empty(text).alias("text"))
     types = dict(df.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>, decoded string"] * full)
 
@@ -214,4 +216,4 @@ def encode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text:
 
         return work
 
-    return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], schema, make)
+    return arrow_map(df, df.columns, schema, make)

@@ -18,7 +18,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, text_or_empty, work_path
+from .common import apart, arrow_map, text_or_empty, work_path
 
 RATE, PACKET, PAGE_SEGMENTS, BLOCK = 8000, 1024, 128, 64
 CONTINUED, FIRST, LAST, NO_GRANULE = 1, 2, 4, (1 << 64) - 1
@@ -140,8 +140,13 @@ def feature(payload: bytes, packets: list[Packet]) -> str:
     return f"packets={len(packets)};seconds={seconds:.6f};peak={int(np.abs(x).max())};rms={rms:.6f};crossings={crossings}"
 
 
+RESULTS = ("n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def store(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Write a table of keep, n_bytes (UTF-8 bytes of the text) and media, and read it again."""
+    columns, keep = apart(df, keep, *RESULTS, "text")
+    df = df.select(*columns, text_or_empty(text).alias("text"))
     types = dict(df.dtypes)
 
     def make():
@@ -150,7 +155,7 @@ def store(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: s
 
         return work
 
-    out = arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_bytes long, media binary"]), make)
+    out = arrow_map(df, df.columns, ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_bytes long, media binary"]), make)
     out.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(out.schema).parquet(path)
 
@@ -172,4 +177,7 @@ def examine(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) ->
 
 
 def roundtrip(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    return examine(store(df, work_path(df.sparkSession, "ogg"), keep, text), (*keep, "n_bytes"))
+    """A row for each row of df: the columns of ``keep`` (one that is named like a result gets underscores before its name), and what
+    store() and examine() give of its text. Null counts as empty; repeated rows give repeated rows."""
+    stored = store(df, work_path(df.sparkSession, "ogg"), keep, text)
+    return examine(stored, tuple(c for c in stored.columns if c != "media"))

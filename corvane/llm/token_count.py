@@ -7,7 +7,8 @@ such place, it is widened, at last to the whole rest of the text.
 
 Shorter texts are cut at the same kind of place into units, whose counts a worker keeps in a bounded cache.
 
-Null text counts as empty (0 tokens). Repeated rows give repeated rows. Other columns are dropped unless named in ``keep``.
+Null text counts as empty (0 tokens). Repeated rows give repeated rows. Other columns are dropped unless named in ``keep``; a kept
+one that is named like a result comes back with underscores before its name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from bisect import bisect_right
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, text_or_empty
+from .common import apart, arrow_map, text_or_empty
 
 #: Letters in a chunk, letters of overlap to begin with, units whose counts a worker keeps.
 CHUNK, OVERLAP, CACHE_UNITS = 16_384, 512, 1_000_000
@@ -107,6 +108,8 @@ def load(path: str) -> Counter:
 
 def count_tokens(df: DataFrame, path: str, limit: int = 1024, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns of ``keep`` with n_bytes, n_tokens and over_limit (n_tokens > limit)."""
+    columns, keep = apart(df, keep, "n_bytes", "n_tokens", "over_limit", "text")
+    df = df.select(*columns, text_or_empty(text).alias("text"))
     types = dict(df.dtypes)
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["n_bytes long, n_tokens long, over_limit boolean"])
 
@@ -119,4 +122,4 @@ def count_tokens(df: DataFrame, path: str, limit: int = 1024, keep: tuple[str, .
 
         return work
 
-    return arrow_map(df.select(*keep, text_or_empty(text)), [*keep, text], schema, make)
+    return arrow_map(df, df.columns, schema, make)
