@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes in one Arrow batch: bound what a Python worker holds at once, however long the texts are.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -29,8 +30,13 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path, spark = work_path(df.sparkSession, name), df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the table is all that is read again: its shuffle files can go once it stands
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
