@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, free_names, small_batches, staged, text_or_empty
+from .common import arrow_map, free_names, small_batches, staged, text_or_empty, unstage
 
 BUCKETS, FIT_ROWS, DROP, SEED, WINDOW = 10_000, 20_000, (0.001, 0.002, 0.005, 0.01, 0.02), 17, 50
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -177,6 +177,13 @@ def classify(df: DataFrame, labels: DataFrame, good=None, buckets: int = BUCKETS
 
 def keep_selected(df: DataFrame, labels: DataFrame, good=None, buckets: int = BUCKETS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, all columns, that classify() selects."""
-    names = tuple(free_names(df, "log_weight", "draw_key"))
-    scored, least = _drawn(df, labels, good, buckets, id_column, text, tuple(df.columns), names)
-    return df if least is None else scored.where(F.col(names[1]) >= F.lit(least)).select(*df.columns)
+    weight, draw, one, two, gone_one, gone_two = free_names(df, "log_weight", "draw_key", "__one", "__two", "__gone_one", "__gone_two")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    # two hashes of id and text stand for a row: rows of one id and text have one draw
+    keys = {one: F.xxhash64(F.col(id_column), body), two: F.xxhash64(F.lit(1), body, F.col(id_column))}
+    scored, least = _drawn(df.withColumns(keys), labels, good, buckets, id_column, text, (id_column, one, two), (weight, draw))
+    if least is None:
+        return df
+    gone = staged(scored.where(F.col(draw) < F.lit(least)).select(F.col(one).alias(gone_one), F.col(two).alias(gone_two)).distinct(), "rejected")
+    unstage(scored)
+    return df.join(gone, (keys[one] == F.col(gone_one)) & (keys[two] == F.col(gone_two)), "left_anti")
