@@ -12,9 +12,11 @@ the nodes that share a start the least is a pivot, each other one is held agains
 a label. The full join then gives pairs of unlike labels only; others could not change a component. It leaves no link out.
 
 near_duplicates() links fingerprints of a text's shingles. similar_components() links texts by the Jaccard similarity of their
-shingle sets: pigeonring joins over TABLES fingerprints of the set of words find the candidates, shingle sets decide. Words are what an edit
-changes least: it changes one word, but five shingles of five words. A pair of similarity 0.8 or more is missed if it differs in over BITS
-bits in each of the tables (README: measured share). No pair of less similarity is linked.
+shingle sets: pigeonring joins over TABLES fingerprints of the set of words find the candidates, for words are what an edit changes
+least: it changes one word, but five shingles of five words. The joins' last check is the Hamming distance of fingerprints of the
+shingle set, WIDE times 64 bits; then shingle sets decide. A pair of similarity 0.8 or more is missed if it differs in over BITS bits in
+each of the tables, or in wide fingerprints by two standard deviations more than its similarity lets expect (README: measured share). No
+pair of less similarity is linked.
 
 Null text counts as empty; a text without words has fingerprint 0 and is linked like any other. Equal rows share a class. Very long
 texts are taken whole, one at a time. Columns of any name may stand beside id and text: inside, columns have names of their own.
@@ -24,7 +26,9 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
+from math import acos, pi, sqrt
 
 import numpy as np
 import xxhash
@@ -37,8 +41,8 @@ from .components import components
 #: First bit and width of each segment on the ring.
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 BITS = 4
-#: Fingerprints of the word set in similar_components().
-TABLES = 4
+#: Fingerprints of the word set, and of 64 bits of the shingle set, in similar_components().
+TABLES, WIDE = 4, 8
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -63,11 +67,15 @@ def fingerprint(h: list[int] | np.ndarray) -> int:
 
 
 def word_fingerprints(text: str) -> list[int]:
-    """TABLES fingerprints of the set of a text's words, each by a hash function of its own."""
+    """TABLES fingerprints of the set of a text's words."""
     words = set(text.encode().translate(LOWER).split())
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    return fingerprints_of(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)), TABLES)
+
+
+def fingerprints_of(h: np.ndarray, n: int) -> list[int]:
+    """n fingerprints of hashes, each by a hash function of its own."""
     out = []
-    for k in range(TABLES):
+    for k in range(n):
         x = (h + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         out.append(fingerprint(x ^ (x >> np.uint64(32))))
@@ -137,10 +145,12 @@ def near_pairs(nodes: DataFrame, also=None) -> DataFrame:
 
 def with_neighbour(nodes: DataFrame) -> DataFrame:
     """The nodes (column node, each once) that differ from another one in at most BITS bits of a table."""
-    right = _starts(nodes, near=True).select(F.col("node").alias("v"), F.col("fp").alias("y"), F.col("at").alias("to"))
-    left, differ = _starts(nodes), F.col("fp").bitwiseXOR(F.col("y"))
-    near = (F.col("at") == F.col("to")) & (F.col("node") != F.col("v")) & (F.bit_count(differ) <= BITS) & _first_start(differ).isNotNull()
-    return left.join(right, near, "left_semi").select("node").distinct()
+    prints = nodes.groupBy("table", "fp").agg(F.count("*").alias("n"))
+    right = _starts(prints, near=True).select(F.col("fp").alias("y"), F.col("at").alias("to"))
+    left, differ = _starts(prints.where("n = 1")).select("fp", "table", "at"), F.col("fp").bitwiseXOR(F.col("y"))
+    near = (F.col("at") == F.col("to")) & (differ != 0) & (F.bit_count(differ) <= BITS) & _first_start(differ).isNotNull()
+    found = left.join(right, near, "left_semi").select("table", "fp").unionByName(prints.where("n > 1").select("table", "fp"))
+    return nodes.join(found.distinct(), ["table", "fp"], "left_semi").select("node").distinct()
 
 
 def pivot_pairs(nodes: DataFrame, turn: int = 0, also=None) -> DataFrame:
@@ -241,32 +251,45 @@ def _similar(df: DataFrame, id_column: str, shingle: int, similarity: float, tex
     for k in range(TABLES):  # one at a time: bounds what lies on disk at once
         more = staged(with_neighbour(nodes.where(F.col("table") == k)), "near")
         near = more if near is None else near.unionByName(more)
-    near = staged(near.distinct(), "near")
+    nears, near = near, staged(near.distinct(), "near")
+    unstage(nears)
 
     def make_sets():
         def work(found, texts):
-            return [found, [shingle_set(t, shingle) for t in texts]]
+            sets = [shingle_set(t, shingle) for t in texts]
+            return [found, sets, [fingerprints_of(s.view(np.uint64), WIDE) for s in sets]]
 
         return work
 
     wanted = classes.join(near, "node", "left_semi").select("node", F.col("rep.key").alias("key"), F.col("rep.other_key").alias("other_key"))
     texts = keyed.select("key", "other_key", "text").join(wanted, ["key", "other_key"]).groupBy("node").agg(F.first("text").alias("text"))
-    sets = staged(arrow_map(texts, ["node", "text"], "node long, shingles array<long>", make_sets), "sets")
-    nodes = staged(nodes.join(near, "node", "left_semi"), "nodes")
-    sizes = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-9
+    sets = staged(arrow_map(texts, ["node", "text"], "node long, shingles array<long>, wide array<long>", make_sets), "sets")
+    nodes = staged(nodes.join(sets.select("node", *[F.col("wide")[k].alias(f"w{k}") for k in range(WIDE)]), "node"), "nodes")
+    sets = sets.select("node", "shingles")
+    may_fit = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-9
+    may_fit = may_fit & (sum((F.bit_count(F.col(f"a_w{k}").bitwiseXOR(F.col(f"b_w{k}"))) for k in range(WIDE)), F.lit(0)) <= wide_bits(similarity))
     labels, tested = None, None
-    for turn in range(3):
-        now = _labelled(nodes, labels)
-        pairs = (pivot_pairs(now, turn, sizes) if turn < 2 else near_pairs(now, sizes)).distinct()
+    for turn in range(2):
+        pairs = pivot_pairs(_labelled(nodes, labels), turn, may_fit).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = _joined(similar_pairs(pairs, sets, similarity), labels)
+    left = staged(_labelled(nodes, labels), "labelled")
+    each = [staged(near_pairs(left.where(F.col("table") == k), may_fit), "pairs") for k in range(TABLES)]
+    pairs = staged(reduce(DataFrame.unionByName, each).distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+    labels = _joined(similar_pairs(pairs, sets, similarity), labels)
     found = with_firsts(rows, classes, labels).select("id", "key", "other_key", "first")
-    for table in (classes, near, sets, nodes, labels, tested):
+    for table in (classes, near, sets, nodes, labels, tested, left, pairs, *each):
         unstage(table)
     return found
 
 
+def wide_bits(similarity: float) -> int:
+    """How many bits of wide fingerprints may differ: the mean at this Jaccard similarity and two standard deviations."""
+    bits, share = 64 * WIDE, acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * share + 2 * sqrt(bits * share * (1 - share)))
+
+
 def similar_components(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """One row for each row of df: its id and component_id. Texts with one set of shingles are one node; nodes are linked if their
     sets have a Jaccard similarity of ``similarity`` or more."""
