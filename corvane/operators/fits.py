@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
 from .resample import attach
 
 # Models. Energies, amplitudes and matrix elements are lists of columns, one for each level.
@@ -152,8 +153,9 @@ MODELS: dict[str, Callable[[np.ndarray, np.ndarray, int], np.ndarray]] = {
 }
 
 
-def least_squares(f: Callable, p: np.ndarray, steps: int = 200, tol: float = 1e-12) -> tuple[np.ndarray, float]:
-    """Levenberg-Marquardt on residuals f(p) with a difference Jacobian: parameters and the sum of squares."""
+def least_squares(f: Callable, p: np.ndarray, steps: int = 200, tol: float = 1e-12) -> tuple[np.ndarray, float, bool]:
+    """Levenberg-Marquardt on residuals f(p) with a difference Jacobian: parameters, the sum of squares, and whether it came to an end
+    before its steps did."""
     r = f(p)
     cost, damp = float(r @ r), 1e-3
     for _ in range(steps):
@@ -171,8 +173,8 @@ def least_squares(f: Callable, p: np.ndarray, steps: int = 200, tol: float = 1e-
                 break
             damp *= 10
         if done:
-            break
-    return p, cost
+            return p, cost, True
+    return p, cost, False
 
 
 def fit_replicas(points: DataFrame, model: str, nt: int, start: list[float], chol: DataFrame | None = None) -> DataFrame:
@@ -188,15 +190,17 @@ def fit_replicas(points: DataFrame, model: str, nt: int, start: list[float], cho
         first, entries, error = np.array(pdf["__start"].iloc[0], dtype=float), pdf["__l"].iloc[0], None
         plain = lambda p: (f(p, t, nt) - x) / s
         try:
-            p, cost = least_squares(plain, first) if entries is None or key[1] < 0 else (first, 0.0)
+            p, cost, ended = least_squares(plain, first) if entries is None or key[1] < 0 else (first, 0.0, True)
             if entries is not None:
                 place = {int(v): k for k, v in enumerate(t)}
                 upper = np.zeros((len(t), len(t)))
                 for e in entries:
                     upper[place[e["j"]], place[e["i"]]] = e["chol"]
-                p, cost = least_squares(lambda q: upper @ plain(q), p)
+                p, cost, ended = least_squares(lambda q: upper @ plain(q), p)
             if not np.all(np.isfinite(p)):
                 error = "the fit diverged"
+            elif not ended:
+                error = "the fit did not converge"
         except (np.linalg.LinAlgError, FloatingPointError) as e:
             p, cost, error = first, float("nan"), str(e)
         for k in range(0, len(p) - 1, 2) if model in ("exp", "cosh", "sinh") else ():
@@ -206,6 +210,9 @@ def fit_replicas(points: DataFrame, model: str, nt: int, start: list[float], cho
     schema = _group_schema(points, ("fit_id", "replica")) + ", params array<double>, chi_sq double, dof int, error string"
     begin = F.array(*[F.lit(float(v)) for v in start])
     middle = points.where("replica = -1").withColumn("__start", begin).groupBy("fit_id", "replica").applyInPandas(job, schema)
+    path = scratch_path(points.sparkSession, "central")  # used twice below, fitted once
+    middle.write.parquet(path)
+    middle = points.sparkSession.read.schema(middle.schema).parquet(path)
     seeds = middle.select("fit_id", F.when(F.col("error").isNull(), F.col("params")).otherwise(begin).alias("__start"))
     rest = points.where("replica >= 0").join(seeds, "fit_id").groupBy("fit_id", "replica").applyInPandas(job, schema)
     return middle.unionByName(rest)
@@ -214,7 +221,7 @@ def fit_replicas(points: DataFrame, model: str, nt: int, start: list[float], cho
 def scan_fits(points: DataFrame, ranges: DataFrame, model: str, nt: int, start: list[float]) -> DataFrame:
     """One fit for each range (range_id, fit_times array) of each series, all replicas, in one job. A range needs few rows."""
     r = ranges.select("range_id", F.explode("fit_times").alias("t"))
-    chosen = points.join(F.broadcast(r), "t").withColumn("fit_id", F.concat_ws("_", "corr_id", "range_id"))
+    chosen = points.join(r, "t").withColumn("fit_id", F.concat_ws("_", "corr_id", "range_id"))
     return fit_replicas(chosen.select("fit_id", "replica", "t", "x", "sigma"), model, nt, start)
 
 
@@ -349,7 +356,7 @@ def derive_constants(param: DataFrame, const: DataFrame, scale: float, m_pi_phys
     replica, m_pi), const: (ensemble, m_pole, m_state, l)."""
     from corvane.functions.statistics import chiral_log
 
-    met = param.join(F.broadcast(const), "ensemble")
+    met = param.join(const, "ensemble")
     return met.withColumns({
         "delta": F.col("m_pole") - F.col("m_state"), "chi": chiral_log(F.col("m_pi"), scale) / (16 * 3.141592653589793**2 * 0.13 * 0.13),
         "d_mpi": (F.col("m_pi") * F.col("m_pi") - m_pi_phys * m_pi_phys) / (scale * scale),

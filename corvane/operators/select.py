@@ -38,7 +38,7 @@ def with_page(df: DataFrame, rows: int, seq: str = "seq") -> DataFrame:
 
 def cap_momentum(df: DataFrame, caps: DataFrame) -> DataFrame:
     """Rows whose n2 is at most their ensemble's cap (ensemble, n2_max); ensembles without a cap stay."""
-    met = df.join(F.broadcast(caps), "ensemble", "left")
+    met = df.join(caps, "ensemble", "left")
     return met.where(F.col("n2_max").isNull() | (F.col("n2") <= F.col("n2_max"))).drop("n2_max")
 
 
@@ -50,7 +50,7 @@ def number_ops(df: DataFrame, column: str) -> DataFrame:
     """Adds idx: the place of the name among the sorted distinct names; these are few and are numbered apart from the rows."""
     names = df.select(column).distinct().agg(F.array_sort(F.collect_list(column)).alias("n"))
     numbered = names.select(F.posexplode("n").alias("idx", column))
-    return df.join(F.broadcast(numbered), column)
+    return df.join(numbered, column)
 
 
 def leave_out(df: DataFrame, ensembles: list[str]) -> DataFrame:
@@ -164,6 +164,6 @@ def ensemble_stats(models: DataFrame) -> DataFrame:
 
 def to_physical(summary: DataFrame, ens: DataFrame, power: float = 0.5) -> DataFrame:
     """x times a_inv squared, y with its bounds times a_inv to a power. summary: (ensemble, x, low, central, high); ens: (ensemble, a_inv)."""
-    met = summary.join(F.broadcast(ens), "ensemble")
+    met = summary.join(ens, "ensemble")
     f = F.pow("a_inv", F.lit(power))
     return met.withColumns({"x": F.col("x") * F.col("a_inv") * F.col("a_inv"), **{c: F.col(c) * f for c in ("low", "central", "high")}}).drop("a_inv")

@@ -21,7 +21,7 @@ def pair_faults(df: DataFrame, pairs: list[tuple[str, str]], nt: int) -> DataFra
     """Pairs of a file that are not there exactly once over all times, or hold values that are not finite: file, snk, src, fault."""
     wanted = df.sparkSession.createDataFrame(pairs, "snk string, src string").withColumn("__k", F.lit(1))
     files = df.select("file").distinct().withColumn("__k", F.lit(1))
-    need = files.join(F.broadcast(wanted), "__k").drop("__k")
+    need = files.join(wanted, "__k").drop("__k")
     bad = ~((F.abs("re") < float("inf")) & (F.abs("im") < float("inf"))) | F.isnan("re") | F.isnan("im")
     have = df.groupBy("file", "snk", "src").agg(F.count("*").alias("n"), F.count_distinct("t").alias("times"), F.max(bad).alias("bad"))
     met = need.join(have, ["file", "snk", "src"], "left")
@@ -33,7 +33,7 @@ def import_packed(df: DataFrame, layout: DataFrame, nt: int) -> DataFrame:
     """Packed vectors (sample, values array) by a layout (slot, corr_id, snk, src, parity): value k is time k mod nt of slot k / nt."""
     long = df.select("sample", F.posexplode("values").alias("k", "x"))
     placed = long.select("sample", F.floor(F.col("k") / nt).cast("int").alias("slot"), (F.col("k") % nt).alias("t"), F.col("x").cast("double").alias("x"))
-    return placed.join(F.broadcast(layout), "slot").drop("slot")
+    return placed.join(layout, "slot").drop("slot")
 
 
 def import_matrix(df: DataFrame) -> DataFrame:

@@ -9,6 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared checkpoint folder; where none is set, one of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the cluster's shared checkpoint folder; where none is set and Spark runs on this machine alone, one of it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and folder.isDefined():
+        base = folder.get()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -216,3 +216,11 @@ def test_parametric_replicas(spark):
     v = p[p.replica >= 0].value
     assert p[p.replica == -1].value.iloc[0] == 2 and abs(v.mean() - 2) < 0.05 and abs(v.std() - 0.5) < 0.03
     assert isinstance(p, pd.DataFrame)
+
+
+def test_least_squares_tells_whether_it_ended():
+    t = np.arange(1.0, 9.0)
+    f = lambda p: p[0] * np.exp(-p[1] * t) - 3 * np.exp(-0.4 * t)
+    p, cost, ended = ft.least_squares(f, np.array([1.0, 1.0]))
+    assert ended and cost < 1e-12 and np.allclose(p, [3, 0.4])
+    assert not ft.least_squares(f, np.array([1.0, 1.0]), steps=1)[2]
