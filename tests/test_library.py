@@ -224,3 +224,50 @@ def test_least_squares_tells_whether_it_ended():
     p, cost, ended = ft.least_squares(f, np.array([1.0, 1.0]))
     assert ended and cost < 1e-12 and np.allclose(p, [3, 0.4])
     assert not ft.least_squares(f, np.array([1.0, 1.0]), steps=1)[2]
+
+
+def symmetric(spark, blocks):
+    """Matrices (name -> array) as rows corr_id, i, j, cov."""
+    rows = [(name, i, j, float(m[i, j])) for name, m in blocks.items() for i in range(len(m)) for j in range(len(m))]
+    return spark.createDataFrame(rows, "corr_id string, i int, j int, cov double")
+
+
+def test_condition_of_two_by_two_blocks(spark):
+    blocks = {"a": np.array([[4.0, 1.0], [1.0, 3.0]]), "b": np.array([[2.0, 0.0], [0.0, -8.0]]), "c": np.array([[1.0, 0.5], [0.5, 1.0]])}
+    found = {r.corr_id: r for r in cv.block_condition(symmetric(spark, blocks)).collect()}
+    for name, ((a, b), (_, d)) in blocks.items():
+        half = math.sqrt((a - d) ** 2 / 4 + b * b)
+        low, high = (a + d) / 2 - half, (a + d) / 2 + half
+        assert np.allclose(found[name].eigenvalues, [low, high])
+        assert found[name].condition == pytest.approx(max(abs(low), abs(high)) / min(abs(low), abs(high)))
+
+
+def test_whitened_residuals_square_to_chi_square(spark):
+    rng = np.random.default_rng(5)
+    mats = {n: (lambda x: x @ x.T + np.eye(4))(rng.normal(size=(4, 4))) for n in ("a", "b")}
+    r = rng.normal(size=(2, 3, 4))
+    rows = [(n, k, t, float(r[x, k, t])) for x, n in enumerate(mats) for k in range(3) for t in range(4)]
+    residual = spark.createDataFrame(rows, "corr_id string, replica int, t int, r double")
+    w = cv.whiten(residual, cv.inverse_cholesky(symmetric(spark, mats))).toPandas()
+    assert len(w) == 2 * 3 * 4
+    for x, (n, c) in enumerate(mats.items()):
+        s = np.sqrt(np.diag(c))
+        factor = np.linalg.cholesky(np.linalg.inv(c / np.outer(s, s)))
+        for k in range(3):
+            one = w[(w.corr_id == n) & (w.replica == k)].sort_values("j").w.to_numpy()
+            assert np.allclose(one, factor.T @ (r[x, k] / s))
+            assert one @ one == pytest.approx(r[x, k] @ np.linalg.solve(c, r[x, k]))
+
+
+def test_fit_stats_closed_forms_of_two_degrees(spark):
+    chi, size = [0.0, 0.5, 3.0, 12.0], 100
+    fits = spark.createDataFrame([(k, c, d) for k, c in enumerate(chi) for d in (0, 2)], "fit_id int, chi_sq double, dof int")
+    for f in ft.fit_stats(fits, size).collect():
+        if f.dof == 0:
+            assert (f.chi_sq_dof, f.pvalue, f.pvalue_h) == (f.chi_sq, 1.0, 1.0)
+            continue
+        m = size - 1
+        below = m - 2 + 1  # F of (2, below) degrees: its tail is a power
+        assert f.chi_sq_dof == pytest.approx(f.chi_sq / 2)
+        assert f.pvalue == pytest.approx(math.exp(-f.chi_sq / 2), rel=1e-9)
+        assert f.pvalue_h == pytest.approx((1 + f.chi_sq / m) ** (-below / 2), rel=1e-9)
