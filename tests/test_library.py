@@ -271,3 +271,44 @@ def test_fit_stats_closed_forms_of_two_degrees(spark):
         assert f.chi_sq_dof == pytest.approx(f.chi_sq / 2)
         assert f.pvalue == pytest.approx(math.exp(-f.chi_sq / 2), rel=1e-9)
         assert f.pvalue_h == pytest.approx((1 + f.chi_sq / m) ** (-below / 2), rel=1e-9)
+
+
+def solved(rows, x, sigma):
+    """Normal equations of a weighted line: parameters and chi-square."""
+    a, w = np.array(rows), 1 / np.array(sigma) ** 2
+    p = np.linalg.solve(a.T @ (w[:, None] * a), a.T @ (w * x))
+    return p, float(w @ (a @ p - x) ** 2)
+
+
+def test_variations_equal_normal_equations(spark):
+    rng = np.random.default_rng(8)
+    names, basis, sigma = ["A", "A", "B", "B", "C", "C", "C"], [[1.0, float(t)] for t in range(7)], (0.5 + rng.random(7)).tolist()
+    x = rng.normal(size=(2, 7))
+    rows = [(k - 1, t, names[t], float(x[k, t]), sigma[t], basis[t]) for k in range(2) for t in range(7)]
+    design = spark.createDataFrame(rows, "replica int, t int, ensemble string, x double, sigma double, row array<double>")
+    drops = {"all": [], "no_a": ["A"], "no_bc": ["B", "C"]}
+    out = ft.run_variations(design, spark.createDataFrame(list(drops.items()), "variation string, drop array<string>")).collect()
+    assert sorted((r.variation, r.replica) for r in out) == sorted((v, k) for v in drops for k in (-1, 0))
+    for r in out:
+        at = [t for t in range(7) if names[t] not in drops[r.variation]]
+        p, chi = solved([basis[t] for t in at], x[r.replica + 1, at], [sigma[t] for t in at])
+        assert np.allclose(r.params, p) and r.chi_sq == pytest.approx(chi, abs=1e-9) and r.dof == len(at) - 2
+
+
+def test_chunked_variations_equal_normal_equations(spark):
+    basis, sigma = [[1.0, float(t), float(t * t)] for t in range(6)], [0.5, 1.0, 0.7, 1.2, 0.9, 0.6]
+    points = spark.createDataFrame([(t, 3.0 - t, sigma[t]) for t in range(6)], "t int, x double, sigma double")
+    values = ft.gaussian_chunks(points, 25, 3, chunk=10).cache()
+    x = {}
+    for r in values.collect():
+        for k, v in enumerate(r.xs):
+            x[r.first + k, r.t] = v
+    assert {k for k, _ in x} == set(range(-1, 25)) and [x[-1, t] for t in range(6)] == [3.0 - t for t in range(6)]
+    sets = {"all": list(range(6)), "late": list(range(1, 6))}
+    design = spark.createDataFrame([(v, t, sigma[t], basis[t]) for v, ts in sets.items() for t in ts], "variation string, t int, sigma double, row array<double>")
+    out = ft.fit_linear_chunks(design, values).collect()
+    assert sorted((r.variation, r.replica) for r in out) == sorted((v, k) for v in sets for k in range(-1, 25))
+    for r in out:
+        at = sets[r.variation]
+        p, chi = solved([basis[t] for t in at], np.array([x[r.replica, t] for t in at]), [sigma[t] for t in at])
+        assert np.allclose(r.params, p) and r.chi_sq == pytest.approx(chi, abs=1e-9) and r.dof == len(at) - 3
