@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import with_rank
+
 #: Factor of the sum of products for n rows.
 NORMS = {
     "bootstrap": lambda n: 1 / n,
@@ -100,18 +102,11 @@ def covar_source(raw: DataFrame, replicas: DataFrame, source: str = "bootstrap",
     if source == "bootstrap":
         return covariance(replicas.where("replica >= 0"), "replica", "bootstrap", value)
     if source == "raw":
-        ranked = raw.withColumn("bin", F.row_number().over(_order(order or ["config"])))
-        return covariance(ranked, "bin", "raw_binned", value)
+        return covariance(with_rank(raw, ("corr_id", "t"), order or ["config"], "bin"), "bin", "raw_binned", value)
     bins = resample.bin_auto(raw) if source == "binned" or not rebin else resample.bin_fixed(raw, rebin, order or ["config"])
     return covariance(bins, "bin", "raw_binned", value)
 
 
-def _order(columns: list[str]):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("corr_id", "t").orderBy(*columns)
-
-
 def frozen_modes(cov: DataFrame, resampled: DataFrame, mode: str) -> DataFrame:
     """One covariance for each replica. frozen: the same for all; semi: one correlation, each replica's variances; unfrozen: each
     replica's own."""

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import with_rank
+
 CENTRAL, MEAN = -1, -2
 #: Replicas that one group job makes: bounds its matrices to CHUNK x bins.
 CHUNK = 1000
@@ -40,8 +42,8 @@ def bin_size(binned: DataFrame) -> DataFrame:
 
 def bin_fixed(raw: DataFrame, size: int, order: list[str]) -> DataFrame:
     """Bins of ``size`` measurements in a row; the last may be smaller and is averaged by its own size."""
-    w = W.partitionBy("corr_id", "t").orderBy(*order)
-    placed = raw.withColumn("bin", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    placed = with_rank(raw.select("corr_id", "t", "re", "im", *[c for c in order if c not in ("corr_id", "t", "re", "im")]), ("corr_id", "t"), order, "place")
+    placed = placed.withColumn("bin", F.floor(F.col("place") / size).cast("int"))
     return placed.groupBy("corr_id", "bin", "t").agg(F.avg("re").alias("re"), F.avg("im").alias("im"), F.count("*").alias("n"))
 
 
@@ -49,7 +51,7 @@ def sample_order(raw: DataFrame, how: str = "auto") -> DataFrame:
     """Adds ``place`` within a series: auto = config, rows without timeslice first, timeslice, file; old = timeslice, file, config;
     very_old = timeslice, config, file."""
     keys = {"auto": ["config", "src_t", "file"], "old": ["src_t", "file", "config"], "very_old": ["src_t", "config", "file"]}[how]
-    return raw.withColumn("place", F.row_number().over(W.partitionBy("corr_id").orderBy(*[F.asc_nulls_first(k) for k in keys])))
+    return with_rank(raw, ("corr_id",), [F.asc_nulls_first(k) for k in keys], "place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def per_timeslice(raw: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import with_rank
+
 
 def max_corr(summary: DataFrame) -> DataFrame:
     """The t of the largest central value of each series and its relative error."""
@@ -47,10 +49,9 @@ def global_order(df: DataFrame, columns: tuple[str, ...] = ("ensemble", "form_fa
 
 
 def number_ops(df: DataFrame, column: str) -> DataFrame:
-    """Adds idx: the place of the name among the sorted distinct names; these are few and are numbered apart from the rows."""
-    names = df.select(column).distinct().agg(F.array_sort(F.collect_list(column)).alias("n"))
-    numbered = names.select(F.posexplode("n").alias("idx", column))
-    return df.join(numbered, column)
+    """Adds idx: the place of the name among the sorted distinct names. Rows without a name are left out."""
+    names = with_rank(df.select(column).where(F.col(column).isNotNull()).distinct(), (), [column], "idx")
+    return df.join(names.withColumn("idx", F.col("idx").cast("int")), column)
 
 
 def leave_out(df: DataFrame, ensembles: list[str]) -> DataFrame:
