@@ -123,9 +123,58 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+
+    c, docs = F.col, read(spark, sf_dir, "documents")
+    hit = F.crc32(c("doc_id").cast("string")) % 7 == 0
+    fields = [c("doc_id"), c("source"), c("lang"), c("n_chars"), c("text")]
+    tampered = [*fields[:3], F.when(hit, c("n_chars") + 1).otherwise(c("n_chars")), c("text")]
+    found = merkle.manifest(docs, fields, tampered)
+    folded = found.withColumn("folded_root", merkle.fold(c("tampered"), c("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(c("proof")), 256).alias("proof_sha256"), "folded_root", (c("folded_root") == c("root")).alias("verified"))
+
+
+OP12_SQL = """
+WITH RECURSIVE crc AS (SELECT doc_id, CAST(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * strlen(doc_id::VARCHAR)), lambda b:
+    CASE WHEN b % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, CAST(b // 8 + 1 AS INT), 1)) ELSE 0 END::BIGINT)), lambda x, y:
+    CASE WHEN xor(x, y) & 1 = 1 THEN xor(xor(x, y) >> 1, 3988292384::BIGINT) ELSE xor(x, y) >> 1 END) AS BIGINT) AS c FROM (SELECT DISTINCT doc_id FROM documents)
+), base AS (
+  SELECT doc_id, source, lang, n_chars, text, coalesce(xor(c, 4294967295::BIGINT) % 7 = 0, false) AS hit FROM documents LEFT JOIN crc USING (doc_id)
+), e AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS mid, coalesce(strlen((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), '-') AS moved, coalesce(strlen(text) || ':' || text, '-') AS tail FROM base
+), leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256(head || mid || tail) AS leaf, sha256(head || moved || tail) AS other FROM e
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves
+), low(tree, level, nodes) AS (
+  SELECT tree, 0, list(leaf ORDER BY idx) FROM ranked GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM low WHERE len(nodes) > 1
+), subs AS (SELECT tree, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS g FROM low WHERE len(nodes) = 1),
+high(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY g) FROM subs
+  UNION ALL
+  SELECT level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) FROM high WHERE len(nodes) > 1
+), top AS (SELECT nodes[1] AS root FROM high WHERE len(nodes) = 1),
+steps AS (
+  SELECT r.tree, r.idx, l.level AS step, (r.idx >> l.level) & 1 AS side, l.nodes[CAST(xor(r.idx >> l.level, 1) + 1 AS INT)] AS sib FROM ranked r JOIN low l USING (tree) WHERE len(l.nodes) > 1
+  UNION ALL
+  SELECT r.tree, r.idx, s.height + h.level, (s.g >> h.level) & 1, h.nodes[CAST(xor(s.g >> h.level, 1) + 1 AS INT)] FROM ranked r JOIN subs s USING (tree) JOIN high h ON len(h.nodes) > 1
+), proof AS (
+  SELECT tree, idx, list({'side': side, 'sib': sib} ORDER BY step) AS p FROM steps GROUP BY tree, idx
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(p, lambda x: coalesce(x.sib, '')), ''), '')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM (SELECT r.*, s.subroot, top.root, p, list_reduce(list_prepend({'side': 0::BIGINT, 'sib': other}, coalesce(p, [])), lambda x, y: {'side': 0::BIGINT, 'sib':
+    sha256(CASE WHEN y.side = 1 THEN y.sib || x.sib ELSE x.sib || coalesce(y.sib, '') END)}).sib AS folded
+  FROM ranked r JOIN subs s USING (tree) CROSS JOIN top LEFT JOIN proof USING (tree, idx))
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bin_packing, op2_decontaminate, op3_bpe_roundtrip, op4_url_filter, op5_simhash_dedup, op6_license_scan, op7_importance_resampling, op8_token_counts, op9_ogg_media, op10_warc, op11_packing)}
+    return {f.__name__: f for f in (op1_bin_packing, op2_decontaminate, op3_bpe_roundtrip, op4_url_filter, op5_simhash_dedup, op6_license_scan, op7_importance_resampling, op8_token_counts, op9_ogg_media, op10_warc, op11_packing, op12_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op10_warc": OP10_SQL}
+    return {"op4_url_filter": OP4_SQL, "op10_warc": OP10_SQL, "op12_merkle": OP12_SQL}
