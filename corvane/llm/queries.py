@@ -135,11 +135,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(c("proof")), 256).alias("proof_sha256"), "folded_root", (c("folded_root") == c("root")).alias("verified"))
 
 
+#: crc32 of an id's decimal form, before the last inversion, bit by bit.
+CRC_SQL = """crc AS (SELECT {id}, CAST(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * strlen({id}::VARCHAR)), lambda b:
+    CASE WHEN b % 8 = 0 THEN ascii(substr({id}::VARCHAR, CAST(b // 8 + 1 AS INT), 1)) ELSE 0 END::BIGINT)), lambda x, y:
+    CASE WHEN xor(x, y) & 1 = 1 THEN xor(xor(x, y) >> 1, 3988292384::BIGINT) ELSE xor(x, y) >> 1 END) AS BIGINT) AS c FROM (SELECT DISTINCT {id} FROM {table})
+)"""
+
 OP12_SQL = """
-WITH RECURSIVE crc AS (SELECT doc_id, CAST(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * strlen(doc_id::VARCHAR)), lambda b:
-    CASE WHEN b % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, CAST(b // 8 + 1 AS INT), 1)) ELSE 0 END::BIGINT)), lambda x, y:
-    CASE WHEN xor(x, y) & 1 = 1 THEN xor(xor(x, y) >> 1, 3988292384::BIGINT) ELSE xor(x, y) >> 1 END) AS BIGINT) AS c FROM (SELECT DISTINCT doc_id FROM documents)
-), base AS (
+WITH RECURSIVE CRC,
+base AS (
   SELECT doc_id, source, lang, n_chars, text, coalesce(xor(c, 4294967295::BIGINT) % 7 = 0, false) AS hit FROM documents LEFT JOIN crc USING (doc_id)
 ), e AS (
   SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
@@ -169,12 +173,40 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transfo
 FROM (SELECT r.*, s.subroot, top.root, p, list_reduce(list_prepend({'side': 0::BIGINT, 'sib': other}, coalesce(p, [])), lambda x, y: {'side': 0::BIGINT, 'sib':
     sha256(CASE WHEN y.side = 1 THEN y.sib || x.sib ELSE x.sib || coalesce(y.sib, '') END)}).sib AS folded
   FROM ranked r JOIN subs s USING (tree) CROSS JOIN top LEFT JOIN proof USING (tree, idx))
-"""
+""".replace("CRC", CRC_SQL.format(id="doc_id", table="documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import prefix_trie
+
+    convs, rows = prefix_trie.rebuilt(read(spark, sf_dir, "conversations"), 5, lambda c: F.crc32(c.cast("string")) % 9, 8)
+    return prefix_trie.trie(convs, rows).drop("digest")
+
+
+OP13_SQL = """
+WITH CRC, t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS own FROM t GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1:h], []), c.own[h + 1:]) AS seq FROM (SELECT c.*, xor(crc.c, 4294967295::BIGINT) % 9 AS h FROM c JOIN crc USING (conv_id)) c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5
+), s AS (
+  SELECT conv_id, list_transform(seq, lambda x: strlen(x.role) || ':' || x.role || strlen(x.text) || ':' || x.text) AS parts, list_transform(seq, lambda x: strlen(x.text)) AS sizes FROM r
+), p AS (
+  SELECT conv_id, d, len(parts) AS n, sha256(array_to_string(parts[1:d], '')) AS key, CASE WHEN d > 0 THEN sha256(array_to_string(parts[1:d - 1], '')) END AS up, coalesce(sizes[d], 0) AS bytes FROM s, unnest(range(len(parts) + 1)) AS u(d)
+), nodes AS (
+  SELECT key, d AS depth, any_value(up) AS up, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = n), '')) AS ends_sha256 FROM p GROUP BY key, d
+), kids AS (SELECT up AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up),
+own AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children, n_children IS NULL AS leaf FROM nodes LEFT JOIN kids USING (key)),
+sums AS (SELECT p.key, sum(leaf::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * own.bytes)::BIGINT AS saved_tokens FROM own JOIN p ON p.conv_id = own.conv_id AND p.d <= own.depth GROUP BY p.key)
+SELECT own.conv_id, own.depth, a.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, own.ends_sha256
+FROM own JOIN sums USING (key) LEFT JOIN own a ON a.key = own.up AND a.depth = own.depth - 1
+""".replace("CRC", CRC_SQL.format(id="conv_id", table="conversations"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bin_packing, op2_decontaminate, op3_bpe_roundtrip, op4_url_filter, op5_simhash_dedup, op6_license_scan, op7_importance_resampling, op8_token_counts, op9_ogg_media, op10_warc, op11_packing, op12_merkle)}
+    return {f.__name__: f for f in (op1_bin_packing, op2_decontaminate, op3_bpe_roundtrip, op4_url_filter, op5_simhash_dedup, op6_license_scan, op7_importance_resampling, op8_token_counts, op9_ogg_media, op10_warc, op11_packing, op12_merkle, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op10_warc": OP10_SQL, "op12_merkle": OP12_SQL}
+    return {"op4_url_filter": OP4_SQL, "op10_warc": OP10_SQL, "op12_merkle": OP12_SQL, "op13_prefix_trie": OP13_SQL}
