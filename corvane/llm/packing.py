@@ -3,11 +3,12 @@
 An example is a vector of tokens, one segment and loss-bearing tokens (its last ``loss`` tokens; a prompt before them bears none).
 A sequence is a bin with a limit on each of the three. Bins are filled one at a time by the dot-product heuristic: of the waiting
 examples that fit into what all three limits leave, the one enters whose vector has the largest dot product with the remaining
-capacities, each counted as a share of its limit. If none fits, one is cut where the bin is full (``cut``); the rest of it waits on.
+capacities, each counted as a share of its limit. If none fits, one is cut where the bin is full (``cut``); the rest of it waits on. An example
+that no empty sequence takes is cut in any case, at the start of a sequence, before its rest is placed.
 
 Every task packs its own rows as they come, with POOL examples waiting, so nothing is shuffled and memory does not grow with the input.
 A task's last sequence, and one that the limit on segments or loss ends early, is short of tokens: with ``cut`` it becomes sequences whose
-lengths are powers of two, which need no padding; without, it is padded. An example that no empty sequence takes is cut in any case.
+lengths are powers of two, which need no padding; without, it is padded.
 
 Null texts count as empty; an example without tokens has no piece, an empty text with an end id has one. Very long texts are tokenised in
 slices cut at white space. Repeated rows are packed each by itself; of equal dot products the longer waiting one is taken. A kept
@@ -98,16 +99,17 @@ class Packer:
             left = self.end - self.start
             bearing = self.end - np.maximum(self.start, self.bears)
             fits = (left > 0) & (left <= tokens) & (bearing <= loss)
-            if fits.any():
-                score = left * (tokens / most.tokens**2) + bearing * (loss / most.loss**2) + segments / most.segments**2
-                k = self._first_best(np.where(fits, score, -1.0))
-                length = int(left[k])
-            elif self.cut or not bin_:
+            too_large = (left > tokens) | (bearing > loss)
+            if (not bin_ and too_large.any()) or (self.cut and not fits.any()):
                 room = np.minimum(left, np.minimum(tokens, np.maximum(self.bears - self.start, 0) + loss))
-                k = self._first_best(room)
+                k = self._first_best(np.where(too_large, room, 0))
                 length = int(room[k])
                 if length < 1:
                     break
+            elif fits.any():
+                score = left * (tokens / most.tokens**2) + bearing * (loss / most.loss**2) + segments / most.segments**2
+                k = self._first_best(np.where(fits, score, -1.0))
+                length = int(left[k])
             else:
                 break
             loss -= self._take(k, length, bin_)

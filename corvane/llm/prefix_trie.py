@@ -204,7 +204,7 @@ def subtree_sums(local: DataFrame, nodes: DataFrame, shards: int) -> DataFrame:
     def work(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         order = np.argsort(t["slot"])
         t = {c: v[order] for c, v in t.items()}
-        place = np.full(int(t["slot"][-1]) + 1, -1, dtype=np.int64)
+        place = np.full(int(max(t["slot"][-1], t["parent"].max())) + 1, -1, dtype=np.int64)
         place[t["slot"]] = np.arange(len(order))  # slots of one band are some of the shard's
         parent = np.where(t["parent"] < 0, -1, place[t["parent"]])
         mine, up = t["mine"].astype(bool), parent >= 0
