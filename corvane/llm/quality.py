@@ -186,4 +186,5 @@ def keep_selected(df: DataFrame, labels: DataFrame, good=None, buckets: int = BU
         return df
     gone = staged(scored.where(F.col(draw) < F.lit(least)).select(F.col(one).alias(gone_one), F.col(two).alias(gone_two)).distinct(), "rejected")
     unstage(scored)
-    return df.join(gone, (keys[one] == F.col(gone_one)) & (keys[two] == F.col(gone_two)), "left_anti")
+    # hashed at every size: a table that grows with the input is not broadcast, and texts need no sort
+    return df.join(gone.hint("shuffle_hash"), (keys[one] == F.col(gone_one)) & (keys[two] == F.col(gone_two)), "left_anti")

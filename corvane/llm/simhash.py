@@ -262,7 +262,8 @@ def _similar(df: DataFrame, id_column: str, shingle: int, similarity: float, tex
         return work
 
     wanted = classes.join(near, "node", "left_semi").select("node", F.col("rep.key").alias("key"), F.col("rep.other_key").alias("other_key"))
-    texts = keyed.select("key", "other_key", "text").join(wanted, ["key", "other_key"]).groupBy("node").agg(F.first("text").alias("text"))
+    # hashed at every size: a table that grows with the input is not broadcast, and texts need no sort
+    texts = keyed.select("key", "other_key", "text").join(wanted.hint("shuffle_hash"), ["key", "other_key"]).groupBy("node").agg(F.first("text").alias("text"))
     sets = staged(arrow_map(texts, ["node", "text"], "node long, shingles array<long>, wide array<long>", make_sets), "sets")
     nodes = staged(nodes.join(sets.select("node", *[F.col("wide")[k].alias(f"w{k}") for k in range(WIDE)]), "node"), "nodes")
     sets = sets.select("node", "shingles")
@@ -308,7 +309,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", shingle: int = 5, similar
     unstage(found)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     same = (F.xxhash64(F.col(id_column), body) == F.col(k)) & (F.xxhash64(F.lit(1), body, F.col(id_column)) == F.col(o))
-    kept = df.join(gone, same, "left_anti")
+    kept = df.join(gone.hint("shuffle_hash"), same, "left_anti")
     if again.isEmpty():
         return kept
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_column, text]))
