@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_path
+from .joint import fit_joint
 from .resample import attach
 
 # Models. Energies, amplitudes and matrix elements are lists of columns, one for each level.
@@ -143,79 +141,19 @@ def fit_linear(design: DataFrame, chol: DataFrame | None = None, by: tuple[str,
     return design.groupBy(*by).applyInPandas(job, _group_schema(design, by) + ", params array<double>, chi_sq double, dof int")
 
 
-#: A model for the non-linear fit: parameters and times to values. Two-point, one or more levels of (energy, amplitude).
-MODELS: dict[str, Callable[[np.ndarray, np.ndarray, int], np.ndarray]] = {
-    "exp": lambda p, t, nt: sum(a * a / (2 * e) * np.exp(-e * t) for e, a in zip(p[::2], p[1::2])),
-    "cosh": lambda p, t, nt: sum(a * a / (2 * e) * (np.exp(-e * t) + np.exp(-e * (nt - t))) for e, a in zip(p[::2], p[1::2])),
-    "sinh": lambda p, t, nt: sum(a * a / (2 * e) * (np.exp(-e * t) - np.exp(-e * (nt - t))) for e, a in zip(p[::2], p[1::2])),
-    "const": lambda p, t, nt: np.full(len(t), p[0]),
-    "misc": lambda p, t, nt: p[0] * (1 + p[1] * np.exp(-p[2] * t)),
-}
-
-
-def least_squares(f: Callable, p: np.ndarray, steps: int = 200, tol: float = 1e-12) -> tuple[np.ndarray, float, bool]:
-    """Levenberg-Marquardt on residuals f(p) with a difference Jacobian: parameters, the sum of squares, and whether it came to an end
-    before its steps did."""
-    r = f(p)
-    cost, damp = float(r @ r), 1e-3
-    for _ in range(steps):
-        h = 1e-6 * np.maximum(np.abs(p), 1e-6)
-        jac = np.array([(f(p + h[k] * np.eye(len(p))[k]) - f(p - h[k] * np.eye(len(p))[k])) / (2 * h[k]) for k in range(len(p))]).T
-        g, m = jac.T @ r, jac.T @ jac
-        done = True
-        for _ in range(12):
-            step = np.linalg.lstsq(m + damp * np.diag(np.maximum(np.diag(m), 1e-30)), -g, rcond=None)[0]
-            new = f(p + step)
-            value = float(new @ new)
-            if np.isfinite(value) and value <= cost:
-                done = cost - value <= tol * max(cost, 1e-300)
-                p, r, cost, damp = p + step, new, value, max(damp / 10, 1e-12)
-                break
-            damp *= 10
-        if done:
-            return p, cost, True
-    return p, cost, False
-
-
 def fit_replicas(points: DataFrame, model: str, nt: int, start: list[float], chol: DataFrame | None = None) -> DataFrame:
-    """A non-linear fit of every (fit_id, replica). points: (fit_id, replica, t, x, sigma). The central replica is fitted from ``start``,
-    without correlation first, and its parameters start all others; they are one row a fit and are joined on. Failures are rows
-    with an error, not exceptions."""
-    points = points.withColumn("__l", F.lit(None).cast("array<struct<i:int,j:int,chol:double>>")) if chol is None else points.join(chol.groupBy("fit_id").agg(F.collect_list(F.struct("i", "j", "chol")).alias("__l")), "fit_id")
-    f = MODELS[model]
-
-    def job(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t, x, s = (pdf[c].to_numpy(dtype=float) for c in ("t", "x", "sigma"))
-        first, entries, error = np.array(pdf["__start"].iloc[0], dtype=float), pdf["__l"].iloc[0], None
-        plain = lambda p: (f(p, t, nt) - x) / s
-        try:
-            p, cost, ended = least_squares(plain, first) if entries is None or key[1] < 0 else (first, 0.0, True)
-            if entries is not None:
-                place = {int(v): k for k, v in enumerate(t)}
-                upper = np.zeros((len(t), len(t)))
-                for e in entries:
-                    upper[place[e["j"]], place[e["i"]]] = e["chol"]
-                p, cost, ended = least_squares(lambda q: upper @ plain(q), p)
-            if not np.all(np.isfinite(p)):
-                error = "the fit diverged"
-            elif not ended:
-                error = "the fit did not converge"
-        except (np.linalg.LinAlgError, FloatingPointError) as e:
-            p, cost, error = first, float("nan"), str(e)
-        for k in range(0, len(p) - 1, 2) if model in ("exp", "cosh", "sinh") else ():
-            p[k + 1] = abs(p[k + 1])
-        return pd.DataFrame({"fit_id": [key[0]], "replica": [key[1]], "params": [p.tolist()], "chi_sq": [cost], "dof": [len(t) - len(p)], "error": [error]})
-
-    schema = _group_schema(points, ("fit_id", "replica")) + ", params array<double>, chi_sq double, dof int, error string"
-    begin = F.array(*[F.lit(float(v)) for v in start])
-    middle = points.where("replica = -1").withColumn("__start", begin).groupBy("fit_id", "replica").applyInPandas(job, schema)
-    path = scratch_path(points.sparkSession, "central")  # used twice below, fitted once
-    middle.write.parquet(path)
-    middle = points.sparkSession.read.schema(middle.schema).parquet(path)
-    seeds = middle.select("fit_id", F.when(F.col("error").isNull(), F.col("params")).otherwise(begin).alias("__start"))
-    rest = points.where("replica >= 0").join(seeds, "fit_id").groupBy("fit_id", "replica").applyInPandas(job, schema)
-    return middle.unionByName(rest)
+    """A non-linear fit of every (fit_id, replica), each fit of one series. points: (fit_id, replica, t, x, sigma). Two-point models take and give
+    (energy, amplitude) for each level. The central replica is fitted from ``start``, without correlation first, and its parameters start
+    all others. Failures are rows with an error, not exceptions."""
+    two_point, n = model in ("exp", "cosh", "sinh"), len(start)
+    names = [f"p{k:02d}" for k in range(n)]
+    spec = {"series": F.lit("s"), "model": F.lit(model), "src": F.lit(n // 2 if two_point else 0), "snk": F.lit(0), "nt": F.lit(nt), "dt": F.lit(0), "params": F.array(*[F.lit(x) for x in (names[::2] + names[1::2] if two_point else names)])}
+    fits = points.select("fit_id").distinct()
+    begin = fits.select("fit_id", F.explode(F.create_map(*[F.lit(x) for pair in zip(names, map(float, start)) for x in pair])).alias("name", "value"))
+    lower = None if chol is None else chol.select("fit_id", F.lit("s").alias("series_i"), "i", F.lit("s").alias("series_j"), "j", "chol")
+    found = fit_joint(points.withColumn("series", F.lit("s")), fits.withColumns(spec), begin, lower)
+    params = F.transform("params", lambda x, k: F.when(k % 2 == 1, F.abs(x)).otherwise(x)) if two_point else F.col("params")
+    return found.select("fit_id", "replica", params.alias("params"), "chi_sq", "dof", "error", "state")
 
 
 def scan_fits(points: DataFrame, ranges: DataFrame, model: str, nt: int, start: list[float]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import covariance as cv
 from corvane.operators import fits as ft
+from corvane.operators import joint as jt
 from corvane.operators import select as sl
 
 from . import base
@@ -135,6 +136,30 @@ def j12_fit_replicas(spark, d):
     return ft.fit_replicas(p.select("fit_id", "replica", "t", "x", "sigma"), "exp", 24, [0.5, 150.0])
 
 
+def joint_series(spark, d):
+    """Of each returnflag the two falling series, which share their energy, and their ratio: (series, replica, t, x, sigma), specs, start values."""
+    f = base.falling(spark, d).where("t <= 5")
+    name = lambda x: F.concat(c("corr_id"), F.lit(f"_{x}"))
+    wide = {"re": c("re"), "im": c("im"), "ratio": c("re") / c("im")}
+    p = f.select("corr_id", "replica", "t", F.explode(F.array(*[F.struct(name(k).alias("series"), v.alias("x")) for k, v in wide.items()])).alias("s")).select("corr_id", "replica", "t", "s.*")
+    p = p.join(p.where("replica >= 0").groupBy("series", "t").agg(F.stddev_pop("x").alias("sigma")), ["series", "t"])
+    spec = lambda x, model, src, *params: F.struct(name(x).alias("series"), F.lit(model).alias("model"), F.lit(src).alias("src"), F.lit(0).alias("snk"), F.lit(0).alias("nt"), F.lit(0).alias("dt"), F.array(*[name(k) for k in params]).alias("params"))
+    flags = f.select("corr_id").distinct()
+    specs = flags.select(F.explode(F.array(spec("re", "exp", 1, "E", "A"), spec("im", "exp", 1, "E", "B"), spec("ratio", "const", 0, "K"))).alias("s")).select("s.*")
+    start = flags.select(F.explode(F.array(*[F.struct(name(k).alias("name"), F.lit(v).alias("value")) for k, v in (("E", 0.5), ("A", 150.0), ("B", 4.0), ("K", 1000.0))])).alias("s")).select("s.*")
+    return p, specs, start
+
+
+@query()
+def j12_joint_fit(spark, d):
+    p, specs, start = joint_series(spark, d)
+    specs = jt.linked_fits(specs)
+    start = start.join(jt.positions(specs).select("fit_id", "name"), "name")
+    points = p.join(specs.select("series", "fit_id"), "series")
+    found = jt.fit_joint(points, specs, start)
+    return jt.named(found, jt.positions(specs)).join(found.select("fit_id", "replica", "chi_sq", "dof", "state", "error"), ["fit_id", "replica"])
+
+
 def _ranges(spark, d):
     r = base.table(spark, d, "region")
     return r.select(c("r_regionkey").alias("range_id"), (c("r_regionkey") % 2).alias("ti"), (4 + c("r_regionkey") % 3).alias("tf"), F.lit(2).alias("dti"), F.lit(2).alias("dtf"), (1 + F.floor(c("r_regionkey") / 3)).cast("int").alias("thin"), F.lit(0).alias("skip"))

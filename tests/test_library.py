@@ -218,14 +218,6 @@ def test_parametric_replicas(spark):
     assert isinstance(p, pd.DataFrame)
 
 
-def test_least_squares_tells_whether_it_ended():
-    t = np.arange(1.0, 9.0)
-    f = lambda p: p[0] * np.exp(-p[1] * t) - 3 * np.exp(-0.4 * t)
-    p, cost, ended = ft.least_squares(f, np.array([1.0, 1.0]))
-    assert ended and cost < 1e-12 and np.allclose(p, [3, 0.4])
-    assert not ft.least_squares(f, np.array([1.0, 1.0]), steps=1)[2]
-
-
 def symmetric(spark, blocks):
     """Matrices (name -> array) as rows corr_id, i, j, cov."""
     rows = [(name, i, j, float(m[i, j])) for name, m in blocks.items() for i in range(len(m)) for j in range(len(m))]
