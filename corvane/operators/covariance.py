@@ -6,12 +6,20 @@ pairs for each replica, which are summed on the map side.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .ranking import with_rank
+from .resample import bin_auto, bin_fixed
+
+#: Replicas whose draw counts are one row, and bins of it.
+CHUNK, BLOCK = 250, 2048
 
 #: Factor of the sum of products for n rows.
 NORMS = {
@@ -58,17 +66,47 @@ def covariance_complex(rows: DataFrame, row: str, norm: str, by: tuple[str, ...]
     )
 
 
-def resampled_covariance(binned: DataFrame, index: DataFrame, value: str = "x") -> DataFrame:
-    """For each replica the covariance of its draws about their mean, over n (n - 1): corr_id, replica, i, j, cov."""
-    weight = index.groupBy("replica", "bin").agg(F.count("*").alias("k"))
-    drawn = binned.join(weight, "bin").select("corr_id", "replica", "bin", "t", F.col(value).alias("x"), "k")
-    mean = drawn.groupBy("corr_id", "replica", "t").agg((F.sum(F.col("x") * F.col("k")) / F.sum("k")).alias("m"), F.sum("k").alias("n"))
-    moved = drawn.join(mean, ["corr_id", "replica", "t"]).withColumn("d", F.col("x") - F.col("m"))
-    a = moved.select("corr_id", "replica", "bin", F.col("t").alias("i"), F.col("d").alias("a"), "k", "n")
-    b = moved.select("corr_id", "replica", "bin", F.col("t").alias("j"), F.col("d").alias("b"))
-    met = a.join(b, ["corr_id", "replica", "bin"]).where("j <= i")
-    n = F.first("n").cast("double")
-    return mirrored(met.groupBy("corr_id", "replica", "i", "j").agg((F.sum(F.col("a") * F.col("b") * F.col("k")) / (n * (n - 1))).alias("cov")))
+def resampled_covariance(binned: DataFrame, index: DataFrame, value: str = "x", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+    """For each replica the covariance of its draws about their mean, over n (n - 1): corr_id, replica, i, j, cov. Of a series ``block`` bins
+    become one row, the draw counts of ``chunk`` replicas for these bins another; both meet by their numbers, a task makes X^T diag(counts) X
+    for a replica at a time, and the blocks of a series are summed. Draws of bins that a series does not have are left out."""
+    part = lambda c, n: F.floor(F.col(c) / n).cast("int")
+    counts = index.groupBy("replica", "bin").agg(F.count("*").cast("double").alias("k")).select(part("replica", chunk).alias("chunk"), part("bin", block).alias("block"), F.col("replica").cast("int").alias("replica"), F.col("bin").cast("int").alias("bin"), "k")
+    drawn = counts.groupBy("chunk", "block").agg(F.collect_list(F.struct("replica", "bin", "k")).alias("d")).select("chunk", "block", *[F.col(f"d.{c}").alias(f"draw_{c}") for c in ("replica", "bin", "k")])
+    # a shift by the mean, which a covariance does not see, keeps differences exact
+    middle = binned.groupBy("corr_id", "t").agg(F.avg(value).alias("middle"))
+    moved = binned.join(middle, ["corr_id", "t"]).select("corr_id", part("bin", block).alias("block"), F.struct(F.col("bin").cast("int").alias("bin"), F.col("t").cast("int").alias("t"), (F.col(value) - F.col("middle")).cast("double").alias("x")).alias("v"))
+    series = moved.groupBy("corr_id", "block").agg(F.collect_list("v").alias("v")).select("corr_id", "block", *[F.col(f"v.{c}").alias(c) for c in ("bin", "t", "x")])
+    schema = binned.sparkSession.createDataFrame([], f"corr_id {dict(binned.dtypes)['corr_id']}, replica int, i int, j int, product double, a double, b double, n double").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in ({c: batch.column(c)[k] for c in batch.schema.names} for k in range(batch.num_rows)):
+                yield from _gram(one, arrow)
+
+    sums = series.join(drawn, "block").select("corr_id", "bin", "t", "x", "draw_replica", "draw_bin", "draw_k").mapInArrow(run, schema)
+    total = sums.groupBy("corr_id", "replica", "i", "j").agg(*[F.sum(c).alias(c) for c in ("product", "a", "b", "n")])
+    return mirrored(total.select("corr_id", "replica", "i", "j", ((F.col("product") - F.col("a") * F.col("b") / F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("cov")))
+
+
+def _gram(one: dict, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Weighted sums of products, of both factors and of the weights, j <= i, a batch for each replica of a chunk."""
+    get = lambda c: one[c].values.to_numpy(zero_copy_only=False)
+    bins, row = np.unique(get("bin"), return_inverse=True)
+    times, column = np.unique(get("t"), return_inverse=True)
+    x = np.zeros((len(bins), len(times)))
+    x[row, column] = get("x")
+    replicas, of = np.unique(get("draw_replica"), return_inverse=True)
+    at = np.minimum(np.searchsorted(bins, get("draw_bin")), len(bins) - 1)
+    known = bins[at] == get("draw_bin")
+    weight = np.zeros((len(replicas), len(bins)))
+    weight[of[known], at[known]] = get("draw_k")[known]
+    i, j = np.tril_indices(len(times))
+    for r, w in zip(replicas, weight):
+        product, total = (x * w[:, None]).T @ x, w @ x
+        columns = [[one["corr_id"].as_py()] * len(i), np.full(len(i), r), times[i], times[j], product[i, j], total[i], total[j], np.full(len(i), w.sum())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
 
 
 def correlation(cov: DataFrame, by: tuple[str, ...] = ("corr_id",)) -> DataFrame:
@@ -97,13 +135,11 @@ def param_correlation(param: DataFrame) -> DataFrame:
 def covar_source(raw: DataFrame, replicas: DataFrame, source: str = "bootstrap", rebin: int = 0, order: list[str] | None = None, value: str = "re") -> DataFrame:
     """Covariance of the mean from replicas ('bootstrap', the default), bins of a config ('binned'), raw data ('raw') or bins of
     ``rebin`` measurements ('rebin', 0 for one bin a config)."""
-    from . import resample
-
     if source == "bootstrap":
         return covariance(replicas.where("replica >= 0"), "replica", "bootstrap", value)
     if source == "raw":
         return covariance(with_rank(raw, ("corr_id", "t"), order or ["config"], "bin"), "bin", "raw_binned", value)
-    bins = resample.bin_auto(raw) if source == "binned" or not rebin else resample.bin_fixed(raw, rebin, order or ["config"])
+    bins = bin_auto(raw) if source == "binned" or not rebin else bin_fixed(raw, rebin, order or ["config"])
     return covariance(bins, "bin", "raw_binned", value)
 
 

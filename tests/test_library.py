@@ -304,3 +304,21 @@ def test_chunked_variations_equal_normal_equations(spark):
         at = sets[r.variation]
         p, chi = solved([basis[t] for t in at], np.array([x[r.replica, t] for t in at]), [sigma[t] for t in at])
         assert np.allclose(r.params, p) and r.chi_sq == pytest.approx(chi, abs=1e-9) and r.dof == len(at) - 3
+
+
+def test_resampled_covariance_of_ten_thousand_replicas(spark):
+    """In blocks of bins and chunks of replicas, against plain arrays; no row for each replica, bin and pair of times in the plan."""
+    x = np.random.default_rng(2).normal(1000, 1, (30, 4))
+    bins = spark.createDataFrame([(s, b, t, float(x[b, t] * k)) for s, k in (("a", 1), ("b", -2)) for b in range(30) for t in range(4)], "corr_id string, bin int, t int, x double")
+    index = rs.boot_index(spark, 3, 30, 10_000)
+    got = cv.resampled_covariance(bins, index, chunk=999, block=7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    found = got.toPandas()
+    assert len(found) == 2 * 10_000 * 16
+    draws = index.where("replica in (0, 998, 999, 9999)").toPandas().groupby("replica").bin.apply(list)
+    for r, d in draws.items():
+        for s, k in (("a", 1), ("b", -2)):
+            want = np.cov(x[d].T * k) * 29 / (30 * 29)
+            m = found[(found.replica == r) & (found.corr_id == s)].pivot(index="i", columns="j", values="cov").to_numpy()
+            assert np.allclose(m, want, rtol=1e-9, atol=1e-12)
