@@ -34,7 +34,9 @@ from .bpe import load
 from .common import apart, small_batches, text_or_empty
 
 #: Examples that wait in a task, and chunks whose ids a worker keeps.
-POOL, CACHE_CHUNKS = 512, 500_000
+POOL, CACHE_CHUNKS = 512, 1_000_000
+#: A sign that is a token by itself, and words that are tokenised in one text with it between them.
+BETWEEN, JOINED = "|", 20_000
 #: Letters of a text that are tokenised at a time, about.
 SLICE = 1 << 20
 #: Bits of a sequence's number within its task.
@@ -139,8 +141,8 @@ class Packer:
 
 class TextIds:
     """Token ids of texts as little-endian unsigned 32-bit numbers, by a tokenizer file whose words end at white space. Chunks between white
-    space are tokenised once each by the tokenizers library; those that its normalizer could change again, or that hold a special
-    token, by WordBpe."""
+    space are tokenised once each, by the tokenizers library; those that its normalizer could change again, or that hold a special
+    token, by WordBpe. Words are known by themselves, so that a chunk with other punctuation is put together from what is known."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -150,6 +152,8 @@ class TextIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.words, self.cache = load(path), {}
+        self.lettered = not any(t.isalpha() for t in self.words.special)  # then no word of letters is a special token
+        (self.bar,) = self.library.encode(BETWEEN, add_special_tokens=False).ids
 
     @staticmethod
     def _slices(text: str) -> Iterator[str]:
@@ -164,6 +168,8 @@ class TextIds:
         yield text[at:]
 
     def _plain(self, chunk: str) -> bool:
+        if self.lettered and chunk.isascii() and chunk.isalpha():
+            return True
         try:
             chunk.encode("latin-1")
         except UnicodeEncodeError:
@@ -173,15 +179,33 @@ class TextIds:
     def _learn(self, missing: set[str]) -> None:
         if len(self.cache) + len(missing) > CACHE_CHUNKS:
             self.cache.clear()
+        cache, words = self.cache, self.words.words.findall
         plain = [c for c in missing if self._plain(c)]
-        for c, found in zip(plain, self.library.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            self.cache[c] = array("I", found.ids).tobytes()
+        split = [(c, words(c)) for c in plain if not c.isalpha()]
+        new = {c for c in plain if c.isalpha()}
+        new.update(*[w for _, w in split])
+        new.difference_update(cache)
+        alone = [w for w in new if BETWEEN in w]
+        new = list(new.difference(alone))
+        for k in range(0, len(new), JOINED):
+            self._joined(new[k : k + JOINED])
+        for w, found in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            cache[w] = array("I", found.ids).tobytes()
+        for c, parts in split:
+            cache[c] = b"".join([cache[w] for w in parts])
         others = list(missing.difference(plain))
         if len(self.words.cache) > CACHE_CHUNKS:
             self.words.cache.clear()
         self.words.learn([c for c in others if c not in self.words.cache])
         for c in others:
-            self.cache[c] = array("I", map(int, self.words.cache[c][0].split())).tobytes()
+            cache[c] = array("I", map(int, self.words.cache[c][0].split())).tobytes()
+
+    def _joined(self, words: list[str]) -> None:
+        """Tokenise words in one text, which costs less than one by one: a bar stands between them."""
+        ids = np.array(self.library.encode_batch_fast([f" {BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts, raw = np.flatnonzero(ids == self.bar), ids.tobytes()
+        for w, a, b in zip(words, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
+            self.cache[w] = raw[a:b]
 
     def encode(self, texts: list[str], end_id: int | None = None) -> list[bytes]:
         end = b"" if end_id is None else array("I", [end_id]).tobytes()
