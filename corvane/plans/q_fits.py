@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.operators import covariance as cv
 from corvane.operators import fits as ft
 from corvane.operators import joint as jt
+from corvane.operators import ranges as rg
 from corvane.operators import select as sl
 
 from . import base
@@ -184,6 +185,51 @@ def h2_relative_ranges(spark, d):
     return ft.relative_ranges(child, r).select("range_id", "ti", "tf")
 
 
+#: An order stands for a fit, its lines for the ranges of its series: every third is absolute, the others hang on the one before, so chains of
+#: three; a start or an end of some is open.
+LINES = "one AS (SELECT l_orderkey AS fit_id, l_linenumber AS n, CAST(max(l_quantity) AS INTEGER) AS q FROM lineitem GROUP BY ALL), rg AS (SELECT fit_id, CAST(row_number() OVER (PARTITION BY fit_id ORDER BY n) - 1 AS INTEGER) AS k, q FROM one), ranges AS (SELECT fit_id, k, CASE WHEN k % 3 > 0 THEN -1 END AS off, CASE WHEN k % 3 = 0 THEN q % 5 ELSE q % 3 - 1 END AS ti, CASE WHEN k % 3 = 0 THEN q % 5 + 3 + q % 4 ELSE 1 - q % 2 END AS tf, 1 + q % 2 AS dti, 1 + CAST(q % 7 = 0 AS INTEGER) AS dtf FROM rg)"
+
+
+def order_ranges(spark, d):
+    from pyspark.sql import Window as W
+
+    one = base.table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("fit_id"), c("l_linenumber").alias("n")).agg(F.max("l_quantity").cast("int").alias("q"))
+    r = one.select("fit_id", (F.row_number().over(W.partitionBy("fit_id").orderBy("n")) - 1).alias("range_id"), "q")
+    root, q = c("range_id") % 3 == 0, c("q")
+    return r.select("fit_id", "range_id", F.when(~root, -1).alias("offset"), F.when(root, q % 5).otherwise(q % 3 - 1).alias("ti"), F.when(root, q % 5 + 3 + q % 4).otherwise(1 - q % 2).alias("tf"), (1 + q % 2).alias("dti"), (1 + (q % 7 == 0).cast("int")).alias("dtf"), F.when(q % 4 == 0, F.array(F.lit(2), F.lit(2), F.lit(0), F.lit(1), F.lit(1))).alias("thin"), F.lit(2).alias("min_points"))
+
+
+@query(f"""WITH RECURSIVE {LINES}, c AS (
+  SELECT fit_id, -1 AS k, []::STRUCT(a BIGINT, b BIGINT)[] AS picked FROM ranges GROUP BY fit_id
+  UNION ALL
+  SELECT fit_id, k, picked FROM (
+    SELECT r.fit_id, r.k, list_append(c.picked, {{'a': x.a, 'b': y.b}}) AS picked, y.b - x.a + 1 AS n FROM c JOIN ranges r ON r.fit_id = c.fit_id AND r.k = c.k + 1,
+      unnest(range(r.ti + CASE WHEN r.off IS NULL THEN 0 ELSE c.picked[r.k].a END, r.ti + CASE WHEN r.off IS NULL THEN 0 ELSE c.picked[r.k].a END + r.dti)) AS x(a),
+      unnest(range(r.tf + CASE WHEN r.off IS NULL THEN 0 ELSE c.picked[r.k].b END, r.tf + CASE WHEN r.off IS NULL THEN 0 ELSE c.picked[r.k].b END + r.dtf)) AS y(b))
+  WHERE n >= 2
+), l AS (SELECT fit_id, max(k) AS k FROM ranges GROUP BY fit_id)
+SELECT fit_id, array_to_string(list_transform(picked, lambda p: p.a || '-' || p.b), ',') AS choice, len(picked)::INTEGER AS n FROM c JOIN l USING (fit_id, k)""")
+def h2_joint_ranges(spark, d):
+    """All joint choices of the ranges of an order's series, relative ones by chains."""
+    found = rg.range_combinations(order_ranges(spark, d).withColumn("thin", F.lit(None).cast("array<int>")))
+    text = F.transform("ranges", lambda r: F.concat_ws("-", r["ti"], r["tf"]))
+    return found.select("fit_id", F.array_join(text, ",").alias("choice"), F.size("ranges").alias("n"))
+
+
+@query()
+def h2_thinned_ranges(spark, d):
+    """As h2_joint_ranges, with runs of every second time and skips in some ranges; the lists themselves."""
+    found = rg.range_combinations(order_ranges(spark, d))
+    return found.select("fit_id", F.to_json(F.transform("ranges", lambda r: r["fit_times"])).alias("lists"))
+
+
+@query(f"WITH {SIG}, w AS (SELECT a.corr_id, a.t AS ti, b.t AS tf FROM (SELECT DISTINCT corr_id, t FROM pts) a JOIN (SELECT DISTINCT corr_id, t FROM pts) b ON a.corr_id = b.corr_id AND b.t >= a.t + 2), n AS (SELECT p.corr_id, replica, ti, tf, sum(1 / sigma ** 2) AS s, sum(t / sigma ** 2) AS sx, sum(t * t / sigma ** 2) AS sxx, sum(x / sigma ** 2) AS sy, sum(t * x / sigma ** 2) AS sxy, count(*) AS n FROM pts p JOIN w ON w.corr_id = p.corr_id AND t BETWEEN ti AND tf GROUP BY ALL) SELECT corr_id, replica, ti, tf, round(sy / s, 3) AS mean, round((sxx * sy - sx * sxy) / (s * sxx - sx * sx), 2) AS intercept, round((s * sxy - sx * sy) / (s * sxx - sx * sx), 3) AS slope, n - 2 AS dof FROM n")
+def j13_scan_lines(spark, d):
+    p = pts(spark, d)
+    s = rg.scan_lines(p, rg.windows(p, 3))
+    return s.select("corr_id", "replica", "ti", "tf", F.round("mean", 3).alias("mean"), F.round("intercept", 2).alias("intercept"), F.round("slope", 3).alias("slope"), "dof")
+
+
 @query("SELECT l_orderkey AS k, count(DISTINCT l_linenumber)::INTEGER AS n FROM lineitem GROUP BY l_orderkey")
 def h3_points_of_lists(spark, d):
     li = base.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
