@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from corvane.operators import covariance as cv
 from corvane.operators import fits as ft
+from corvane.operators import globalfit as gf
 from corvane.operators import joint as jt
 from corvane.operators import ranges as rg
 from corvane.operators import select as sl
+from corvane.sources.scratch import staged
 
 from . import base
 from .base import FALLING
@@ -568,3 +570,52 @@ def j23_all_variations(spark, d):
     design = p.withColumn("v", F.explode(F.array(*[F.struct(F.lit(k).alias("variation"), F.array(*[F.lit(n) for n in x]).cast("array<string>").alias("drop")) for k, x in enumerate(drops)]))).select("*", "v.*").drop("v")
     design = ft.with_design(design.where(~F.array_contains("drop", c("ensemble"))), 1.0, COLUMNS)
     return ft.fit_linear_chunks(design.select("variation", "t", "sigma", "row"), values)
+
+
+#: Regions stand for ensembles, nations in order for momenta, market segments for series of fits, odd and even customers for form factors.
+ENSEMBLES = {"AFRICA": ("C1", 24, 1.78, 0.34), "AMERICA": ("C2", 24, 1.78, 0.43), "ASIA": ("M1", 32, 2.38, 0.30), "EUROPE": ("M2", 32, 2.38, 0.36), "MIDDLE EAST": ("M3", 32, 2.38, 0.41)}
+CONSTANTS = {"m_pi_phys": (0.135, 1e-4), "f_pi": (0.13, 1e-4), "m_light": (0.495, 1e-4), "m_heavy": (1.968, 1e-4), "pole/f_zero": (2.318, 1e-3), "pole/f_plus": (2.007, 1e-3)}
+ALL_BUT = {"C1": 3, "C2": 3, "M1": 3, "M2": 3, "M3": 3}
+#: The reference fit and what each of sixteen variations does otherwise.
+VARIATIONS = {
+    "ref": {}, "a_no_volume": {"disable": ["V"]}, "b_both_poles": {"poles": {"f_zero": 0.313, "f_plus": -0.005}}, "c_vector_pole": {"poles": {"f_plus": -0.005}}, "d_scalar_pole": {"poles": {"f_zero": 0.313}},
+    "e_alt_zv": {"series": {"": "AUTOMOBILE"}}, "f_alt_c1": {"series": {"C1": "FURNITURE"}}, "g_caps": {"caps": ALL_BUT}, "h_no_c1": {"drop": ["C1"]}, "i_no_c2": {"drop": ["C2"]}, "j_no_m1": {"drop": ["M1"]}, "k_no_m2": {"drop": ["M2"]},
+    "l_no_m3": {"drop": ["M3"]}, "m_no_m": {"drop": ["M1", "M2", "M3"], "disable": ["d1"]}, "n_jan": {"series": {"": "MACHINERY"}}, "o_dispersion": {"series": {"": "HOUSEHOLD"}}, "p_second_term": {"n_d": 2, "disable": ["d1"]},
+}
+
+
+def global_inputs(spark, d, replicas=10_000):
+    """points, values (chunks of replicas) and variations of a global fit made from customers' balances."""
+    from pyspark.sql import Window as W
+
+    cu = base.table(spark, d, "customer").join(base.table(spark, d, "nation"), c("c_nationkey") == c("n_nationkey")).join(base.table(spark, d, "region"), c("n_regionkey") == c("r_regionkey"))
+    ff = F.when(c("c_custkey") % 2 == 0, "f_zero").otherwise("f_plus")
+    g = cu.groupBy("r_name", "n_nationkey", c("c_mktsegment").alias("series"), ff.alias("form_factor")).agg(F.avg("c_acctbal").alias("m"), F.count("*").alias("n"))
+    spec = spark.createDataFrame([(r, *v) for r, v in ENSEMBLES.items()], "r_name string, ensemble string, sites int, a_inv double, m_pi double")
+    g = g.join(spec, "r_name").withColumn("n2", F.dense_rank().over(W.partitionBy("r_name").orderBy("n_nationkey")) - 1)
+    g = g.withColumn("t", F.row_number().over(W.orderBy("r_name", "n_nationkey", "series", "form_factor")))  # points are few: nations x segments x 2
+    el = F.sqrt(0.245 + c("n2") * F.pow(2 * 3.141592653589793 * c("a_inv") / c("sites"), F.lit(2.0)))
+    g = g.withColumn("el", el)
+    curve = F.when(c("form_factor") == "f_zero", (0.9 - 0.12 * c("el")) / (c("el") + 0.4)).otherwise(0.82 / (c("el") + 0.03))
+    g = g.withColumn("y", curve * (1 + 0.02 * (c("m") - 4500) / 4500 / F.sqrt(c("n").cast("double"))))
+    table = lambda prefix, x, s: g.select(F.concat(F.lit(prefix), "t").alias("t"), x.alias("x"), s.alias("sigma"))
+    own = [(f"a_inv/{e}", a, 0.004) for e, _, a, _ in ENSEMBLES.values()] + [(f"m_pi/{e}", m, 0.001) for e, _, _, m in ENSEMBLES.values()] + [(n, *v) for n, v in CONSTANTS.items()]
+    rows = table("y/", c("y"), 0.01 * c("y")).unionByName(table("el/", c("el"), 0.001 * c("el"))).unionByName(spark.createDataFrame(own, "t string, x double, sigma double"))
+    values = ft.gaussian_chunks(rows, replicas, base.SEED).withColumnRenamed("t", "name")
+    return g.select("t", "ensemble", "form_factor", "n2", "series", "sites"), values, gf.variation_table(spark, VARIATIONS, 2, 1)
+
+
+@query()
+def j23_constrained_variations(spark, d):
+    """The reference global fit and sixteen variations, correlated and constrained, 10000 replicas each, in one job."""
+    points, values, variations = global_inputs(spark, d)
+    return gf.fit_variations(points, staged(values), variations, 1.0, "BUILDING").drop("chunk")
+
+
+@query()
+def j21_global_band(spark, d):
+    """Bands of all variations: 201 places from momentum transfer 0 to the largest, with and without the pole."""
+    points, values, variations = global_inputs(spark, d, 2000)
+    values = staged(values)
+    fits = staged(gf.fit_variations(points, values, variations, 1.0, "BUILDING"))
+    return gf.band(fits, values, variations, 1.0)
