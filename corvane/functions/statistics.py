@@ -66,35 +66,49 @@ def q_chisq(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(chi_square_tail(x.to_numpy(), dof.to_numpy()), index=x.index)
 
 
-def beta_tail(x: float, a: float, b: float) -> float:
-    """The regularised incomplete beta function, by a continued fraction evaluated from below."""
-    if not 0 < x < 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_tail(1 - x, b, a)
-    value = 0.0
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function for x > 0: Stirling's series from 16 on, below by its recurrence."""
+    x = np.array(x, dtype=float)
+    shift = np.zeros_like(x)
+    for _ in range(16):
+        low = x < 16
+        shift = np.where(low, shift + np.log(np.where(low, x, 1.0)), shift)
+        x = np.where(low, x + 1, x)
+    z = 1 / (x * x)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
+
+
+def beta_tail(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, by a continued fraction evaluated from below, all at once."""
+    x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
+    turned = x > (a + 1) / (a + b + 2)
+    p, q = np.where(turned, b, a), np.where(turned, a, b)
+    inside = (x > 0) & (x < 1)
+    z = np.where(inside, np.where(turned, 1 - x, x), 0.5)
+    value = np.zeros(z.shape)
     for m in range(300, 0, -1):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
         value = even / (1 + odd / (1 + value))
-    first = -(a + b) * x / (a + 1)
-    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
-    return front / (1 + first / (1 + value))
+    first = -(p + q) * z / (p + 1)
+    tail = np.exp(p * np.log(z) + q * np.log1p(-z) + log_gamma(p + q) - log_gamma(p) - log_gamma(q)) / p / (1 + first / (1 + value))
+    return np.where(inside, np.where(turned, 1 - tail, tail), (x >= 1).astype(float))
 
 
-def hotelling_tail(t2: float, p: int, m: int) -> float:
+def hotelling_tail(t2: np.ndarray, p: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Upper tail of Hotelling's T-squared of p dimensions and m degrees of freedom; chi-square where it is not defined (p > m)."""
-    if p <= 0:
-        return 1.0
-    if p > m:
-        return float(chi_square_tail(np.array([t2]), np.array([p]))[0])
-    f, d2 = t2 * (m - p + 1) / (p * m), m - p + 1
-    return beta_tail(d2 / (d2 + p * f), d2 / 2, p / 2)
+    t2, p, m = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (t2, p, m)))
+    usable = (p > 0) & (p <= m)
+    k, n = np.where(usable, p, 1.0), np.where(usable, m, 1.0)
+    d2 = n - k + 1
+    f = t2 * d2 / (k * n)
+    return np.where(p <= 0, 1.0, np.where(usable, beta_tail(d2 / (d2 + k * f), d2 / 2, k / 2), chi_square_tail(t2, p)))
 
 
 @F.pandas_udf(DoubleType())
 def q_hotelling(t2: pd.Series, p: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series([hotelling_tail(*v) for v in zip(t2, p, m)], index=t2.index)
+    return pd.Series(hotelling_tail(t2.to_numpy(), p.to_numpy(), m.to_numpy()), index=t2.index)
 
 
 def q_chisq_ve(v: Column, dof: Column) -> Column:

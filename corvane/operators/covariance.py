@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .ranking import with_rank
-from .resample import bin_auto, bin_fixed
+from .resample import attach, bin_auto, bin_fixed
 
 #: Replicas whose draw counts are one row, and bins of it.
 CHUNK, BLOCK = 250, 2048
@@ -109,6 +109,74 @@ def _gram(one: dict, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
 
 
+def rebooted_covariance(binned: DataFrame, index: DataFrame, inner: int, seed: int, value: str = "x", chunk: int = CHUNK) -> DataFrame:
+    """For each replica a bootstrap of its own: ``inner`` draws from the bins that the replica has drawn, and the covariance of their means
+    about their mean (norm of a bootstrap): corr_id, replica, i, j, cov. Draws depend on seed, series, replica and number of bins alone.
+    One row holds a series' bins, another the draw counts of ``chunk`` replicas; a series must have all of the index's bins."""
+    counts = index.groupBy("replica", "bin").agg(F.count("*").cast("double").alias("k"))
+    drawn = counts.groupBy(F.floor(F.col("replica") / chunk).cast("int").alias("chunk")).agg(F.collect_list(F.struct(F.col("replica").cast("int").alias("replica"), F.col("bin").cast("int").alias("bin"), "k")).alias("d"))
+    drawn = drawn.select("chunk", *[F.col(f"d.{c}").alias(f"draw_{c}") for c in ("replica", "bin", "k")])
+    series = binned.groupBy("corr_id").agg(F.collect_list(F.struct(F.col("bin").cast("int").alias("bin"), F.col("t").cast("int").alias("t"), F.col(value).cast("double").alias("x"))).alias("v"))
+    series = series.select("corr_id", F.xxhash64("corr_id").alias("key"), *[F.col(f"v.{c}").alias(c) for c in ("bin", "t", "x")])
+    last = attach(series, index.agg(F.max("replica").alias("__most"))).where("__most is not null")
+    spread = last.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(F.col("__most") / chunk).cast("int"))))
+    schema = binned.sparkSession.createDataFrame([], f"corr_id {dict(binned.dtypes)['corr_id']}, replica int, i int, j int, cov double").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in ({c: batch.column(c)[k] for c in batch.schema.names} for k in range(batch.num_rows)):
+                get = lambda c: one[c].values.to_numpy(zero_copy_only=False)  # noqa: E731,B023
+                bins, row = np.unique(get("bin"), return_inverse=True)
+                times, column = np.unique(get("t"), return_inverse=True)
+                x = np.zeros((len(bins), len(times)))
+                x[row, column] = get("x")
+                x -= x.mean(axis=0)
+                replicas, of = np.unique(get("draw_replica"), return_inverse=True)
+                weight = np.zeros((len(replicas), len(bins)))
+                weight[of, np.searchsorted(bins, get("draw_bin"))] = get("draw_k")
+                i, j = (v.ravel() for v in np.meshgrid(times, times, indexing="ij"))
+                for r, w in zip(replicas, weight):
+                    rng = np.random.Generator(np.random.PCG64([seed, int(r), len(bins), one["key"].as_py() & 0xFFFFFFFF]))
+                    n = int(w.sum())
+                    means = rng.multinomial(n, w / n, inner) @ x / n
+                    means -= means.mean(axis=0)
+                    columns = [[one["corr_id"].as_py()] * len(i), np.full(len(i), r), i, j, (means.T @ means / inner).ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
+
+    met = spread.join(drawn, "chunk").select("corr_id", "key", "bin", "t", "x", "draw_replica", "draw_bin", "draw_k")
+    return met.mapInArrow(run, schema)
+
+
+def rebinned(raw: DataFrame, sizes: list[int], order: list[str], value: str = "re") -> DataFrame:
+    """Covariance with a bin size for each series: the first series (by name) has the first size, and so on, the last size holds for all that
+    follow; 0 stands for one bin a config."""
+    if not sizes or min(sizes) < 0:
+        raise ValueError("bin sizes are 0 or more, and one at least")
+    place = with_rank(raw.select("corr_id").distinct(), (), ["corr_id"], "__k").select("corr_id", F.least("__k", F.lit(len(sizes) - 1)).alias("__k"))
+    placed, out = raw.join(place, "corr_id"), None
+    for k, size in enumerate(sizes):
+        own = placed.where(F.col("__k") == k).drop("__k")
+        one = covariance(bin_fixed(own, size, order) if size else bin_auto(own), "bin", "raw_binned", value)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def given_inverse(inverse: DataFrame, sigma: DataFrame, by: tuple[str, ...] = ("corr_id",)) -> DataFrame:
+    """As inverse_cholesky(), for an inverse correlation (by, i, j, inverse) that is given: its lower factor and sigma (by, i, sigma)."""
+    types = dict(inverse.dtypes)
+
+    def job(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = _square(pdf, "inverse")
+        at = np.sort(pdf["i"].unique())
+        lower = np.linalg.cholesky((m + m.T) / 2)
+        i, j = np.meshgrid(at, at, indexing="ij")
+        return pd.DataFrame({**{n: k for n, k in zip(by, key)}, "i": i.ravel(), "j": j.ravel(), "inverse": m.ravel(), "chol": lower.ravel()})
+
+    factor = inverse.groupBy(*by).applyInPandas(job, ", ".join(f"`{c}` {types[c]}" for c in by) + ", i int, j int, inverse double, chol double")
+    return factor.join(sigma.select(*by, "i", "sigma"), [*by, "i"])
+
+
 def correlation(cov: DataFrame, by: tuple[str, ...] = ("corr_id",)) -> DataFrame:
     """cov over the roots of its diagonal; the diagonal itself is 1."""
     diagonal = cov.where("i = j").select(*by, "i", F.col("cov").alias("__v"))
@@ -203,7 +271,7 @@ def whiten(residual: DataFrame, chol: DataFrame, by: tuple[str, ...] = ("corr_id
 
 
 def write_matrix(pairs: DataFrame, path: str, value: str = "corr", labels: list | None = None) -> DataFrame:
-    """Write a square matrix as text, a header and a label for each row; returns the wide table."""
+    """Write a square matrix as text, a header and a label for each row, in order of its parts; returns what was written."""
     wide = pairs.groupBy("i").pivot("j", labels).agg(F.first(value)).orderBy("i")
-    wide.coalesce(1).write.mode("overwrite").option("header", True).option("sep", " ").csv(path)
-    return wide
+    wide.write.mode("overwrite").option("header", True).option("sep", " ").csv(path)
+    return pairs.sparkSession.read.schema(wide.schema).option("header", True).option("sep", " ").csv(path)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .joint import fit_joint
 from .resample import attach
@@ -90,6 +92,71 @@ def guess(points: DataFrame, value: str = "x", by: tuple[str, ...] = ("corr_id",
     return out.select(*by, "energy", F.sqrt(F.abs(2 * F.col("energy") * F.col("p.x") * F.exp(F.col("energy") * F.col("p.t")))).alias("amplitude"), "mean")
 
 
+def guess_levels(points: DataFrame, levels: int, value: str = "x", by: tuple[str, ...] = ("corr_id",), sweeps: int = 60) -> DataFrame:
+    """First guess of several levels by peeling: by, energies and amplitudes (arrays, lowest first), left (largest residual relative to the
+    data). The lowest level comes from the last two points; with it taken off, the next from two points further in front, where it
+    stands out most, and so on; then each is taken again from what the others leave, until nothing moves. Amplitudes come from the residual
+    at the later point of a pair. A level that what is left does not show (two values of unlike sign) ends the list. Models divide by 2 E."""
+    types = dict(points.dtypes)
+    packed = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), F.col(value).cast("double").alias("x")))).alias("p"))
+    fields = ", ".join(f"`{c}` {types[c]}" for c in by)
+    schema = points.sparkSession.createDataFrame([], fields + ", energies array<double>, amplitudes array<double>, left double").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            made = [_peel(np.array(t), np.array(x), levels, sweeps) for t, x in zip(batch.column("t").to_pylist(), batch.column("x").to_pylist())]
+            columns = [batch.column(c) for c in by] + [pa.array(v, f.type) for v, f in zip(zip(*made), list(arrow)[len(by) :])]
+            if made:
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return packed.select(*by, F.col("p.t").alias("t"), F.col("p.x").alias("x")).mapInArrow(run, schema)
+
+
+def _peel(t: np.ndarray, x: np.ndarray, levels: int, sweeps: int) -> tuple[list[float], list[float], float]:
+    n = len(t)
+    if n < 2 * levels or not np.isfinite(x).all():
+        return [], [], float("nan")
+    # pairs of points: the last two for the lowest level, the first two for the highest, between them geometrically
+    at = [n - 2] + [int(round((n - 2) * (1 / (n - 2)) ** (k / (levels - 1)))) if k < levels - 1 else 0 for k in range(1, levels)]
+    energy, weight = np.zeros(levels), np.zeros(levels)
+    found = 0
+    with np.errstate(all="ignore"):
+        for sweep in range(sweeps):
+            before = energy.copy()
+            for k in range(levels):
+                rest = x - sum(weight[j] * np.exp(-energy[j] * t) for j in range(levels) if j != k)
+                a, b = rest[at[k]], rest[at[k] + 1]
+                e = np.log(a / b) / (t[at[k] + 1] - t[at[k]]) if b != 0 and a / b > 0 else np.nan
+                if not np.isfinite(e) or e <= 0:
+                    if not sweep:
+                        break
+                    continue
+                energy[k], weight[k] = e, b * np.exp(e * t[at[k] + 1])
+                found = max(found, k + 1)
+            if np.allclose(energy, before, rtol=1e-12, atol=0):
+                break
+    order = np.argsort(energy[:found])
+    energy, weight = energy[:found][order], weight[:found][order]
+    left = np.abs(x - sum((w * np.exp(-e * t) for e, w in zip(energy, weight)), np.zeros(n)))
+    return energy.tolist(), np.sqrt(np.abs(2 * energy * weight)).tolist(), float((left / np.abs(x)).max())
+
+
+def guess_matrix_element(c3: Column, t: Column, dt: int, e_src: Column, e_snk: Column, a_src: Column, a_snk: Column) -> Column:
+    """Of a three-point value, ground states alone."""
+    return c3 * 4 * e_src * e_snk / (a_src * a_snk) * F.exp(e_snk * (dt - t) + e_src * t)
+
+
+def guess_from_r3(r3: Column) -> Column:
+    """The matrix element that a plateau of R3 with its overlaps shows: the value itself."""
+    return r3
+
+
+def guess_from_zv(zv: Column, e_src: Column) -> Column:
+    """The matrix element 2 E / Z_V at a plateau."""
+    return 2 * e_src / zv
+
+
 # Fits.
 
 
@@ -241,19 +308,27 @@ def adjust_signs(param: DataFrame, by: tuple[str, ...] = ("fit_id", "replica", "
     return param.withColumn("value", F.when(first < 0, -F.col("value")).otherwise(F.col("value")))
 
 
-def summarise_fits(fits: DataFrame, rows_per_page: int = 50) -> DataFrame:
-    """Good fits, one for each list of fit times (the first loaded), ranked by pvalue_h and paged."""
+def summarise_fits(fits: DataFrame, rows_per_page: int = 50, params: DataFrame | None = None, strict: int = 0, e_max: float | None = None) -> DataFrame:
+    """Good fits, one for each list of fit times (the first loaded), ranked by pvalue_h and paged. params: summaries of their parameters as
+    check_params() takes them; fits with one that is not significant go first."""
     from .select import rank_fits, with_page
 
+    if params is not None:
+        bad = check_params(params, strict, e_max).where(~F.col("ok")).select("fit_id").distinct()
+        fits = fits.join(bad, "fit_id", "left_anti")
     good = fits.where("dof >= 0").withColumn("__n", F.row_number().over(W.partitionBy("base", "fit_times").orderBy("load_order"))).where("__n = 1").drop("__n")
     return with_page(rank_fits(good), rows_per_page)
 
 
 def fit_report(data: DataFrame, theory: DataFrame, by: tuple[str, ...] = ("corr_id",)) -> DataFrame:
-    """Every point with its data, theory if it was fitted, a flag, and log ratios to the point before. data: (by, t, x), theory: (by, t, y)."""
+    """Every point with its data, theory if it was fitted, a flag, and log ratios: of the data to the point before, of the theory to the fitted
+    point before, both over the time between them, at its middle. data: (by, t, x), theory: (by, t, y)."""
     w = W.partitionBy(*by).orderBy("t")
+    f = W.partitionBy(*by, "fitted").orderBy("t")
     met = data.join(theory, [*by, "t"], "left").withColumn("fitted", F.col("y").isNotNull())
-    return met.withColumns({"t_mid": F.col("t") - 0.5, "log_data": F.log(F.lag("x").over(w) / F.col("x"))})
+    ratio = lambda c, v: F.log(F.lag(c).over(v) / F.col(c)) / (F.col("t") - F.lag("t").over(v))
+    middle = (F.col("t") + F.coalesce(F.lag("t").over(w), F.col("t") - 1)) / 2
+    return met.withColumns({"t_mid": middle, "log_data": ratio("x", w), "log_theory": F.when(F.col("fitted"), ratio("y", f)), "t_mid_theory": F.when(F.col("fitted"), (F.col("t") + F.lag("t").over(f)) / 2)})
 
 
 def global_report(points: DataFrame, theory: DataFrame, x_columns: DataFrame, by: tuple[str, ...] = ("ensemble", "x_key")) -> DataFrame:

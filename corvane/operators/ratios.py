@@ -24,26 +24,30 @@ def zv_ratio(c3: DataFrame, c2: DataFrame, const: DataFrame, dt: int, nt: int) -
     return met.select("corr_id", "replica", "t", _required(tilde / F.col("x"), "Z_V").alias("x"))
 
 
+#: What ratios() takes of each replica.
+CONSTANTS = ("e0", "e1", "a0", "a1", "z0", "z1")
+
+
 def ratios(three: dict[str, DataFrame], two: dict[str, DataFrame], const: DataFrame, dt: int, nt: int, subtract: bool = True, alt_r3: bool = False) -> DataFrame:
     """R1, R2, R3 and R3 of the reverse direction by (corr_id, replica, t), t <= dt; each is null where one of its inputs is missing.
 
     three: fwd, rev, src, snk; two: src, snk, each (corr_id, replica, t, x). const: (corr_id, replica, e0, e1, a0, a1, z0, z1). C2~ at
     dt has half the middle value's backward wave taken off, or with subtract=False is halved at the middle."""
-    keys = ["corr_id", "replica"]
-    half = nt // 2
-    base = reduce(lambda a, b: a.unionByName(b), [df.where(F.col("t") <= dt).select(*keys, "t") for df in three.values()]).distinct()
-    for name, df in three.items():
-        base = base.join(df.select(*keys, "t", F.col("x").alias(f"c3_{name}")), [*keys, "t"], "left")
-    for name in ("fwd", "rev", "src", "snk"):
-        if name not in three:
-            base = base.withColumn(f"c3_{name}", F.lit(None).cast("double"))
-    for k, name in enumerate(("src", "snk")):
-        df = two[name]
-        base = base.join(df.select(*keys, "t", F.col("x").alias(f"c2_{k}")), [*keys, "t"], "left")
-        base = base.join(df.select(*keys, (F.lit(dt) - F.col("t")).alias("t"), F.col("x").alias(f"c2_{k}_rev")), [*keys, "t"], "left")
-        ends = df.groupBy(*keys).agg(F.max(F.when(F.col("t") == dt, F.col("x"))).alias(f"c2_{k}_dt"), F.max(F.when(F.col("t") == half, F.col("x"))).alias(f"c2_{k}_mid"))
-        base = base.join(ends, keys, "left")
-    base = base.join(const, keys)
+    keys, half = ["corr_id", "replica"], nt // 2
+    none = F.lit(None).cast("struct<" + ",".join(f"{n}:double" for n in CONSTANTS) + ">")
+    rows = [df.select(*keys, F.lit(role).alias("role"), F.col("t").cast("int").alias("t"), F.col("x").cast("double").alias("x"), none.alias("const")) for role, df in [(f"c3_{k}", v) for k, v in three.items()] + [(f"c2_{k}", two[n]) for k, n in enumerate(("src", "snk"))]]
+    rows.append(const.select(*keys, F.lit("const").alias("role"), F.lit(-1).alias("t"), F.lit(None).cast("double").alias("x"), F.struct(*[F.col(n).cast("double").alias(n) for n in CONSTANTS]).alias("const")))
+    # all series of a replica meet in one group, each as a map from time to value; turning time round is a look-up
+    packed = reduce(lambda a, b: a.unionByName(b), rows).groupBy(*keys).agg(F.collect_list(F.when(F.col("role") != "const", F.struct("role", "t", "x"))).alias("v"), F.first("const", ignorenulls=True).alias("const"))
+    roles = ["c3_fwd", "c3_rev", "c3_src", "c3_snk", "c2_0", "c2_1"]
+    series = lambda role: F.map_from_entries(F.transform(F.filter("v", lambda r: r["role"] == role), lambda r: F.struct(r["t"], r["x"])))
+    times = F.array_distinct(F.transform(F.filter("v", lambda r: r["role"].startswith("c3_") & (r["t"] <= dt)), lambda r: r["t"]))
+    base = packed.where("const is not null").select(*keys, "const.*", *[series(r).alias(f"m_{r}") for r in roles], F.explode(times).alias("t"))
+    at = lambda role, t: F.col(f"m_{role}")[t]
+    base = base.select(
+        *keys, *CONSTANTS, "t", *[at(r, F.col("t")).alias(r) for r in roles], *[at(f"c2_{k}", F.lit(dt) - F.col("t")).alias(f"c2_{k}_rev") for k in (0, 1)],
+        *[at(f"c2_{k}", F.lit(t)).alias(f"c2_{k}_{n}") for k in (0, 1) for n, t in (("dt", dt), ("mid", half))],
+    )
     c = F.col
     if subtract:
         tilde = [c(f"c2_{k}_dt") - 0.5 * c(f"c2_{k}_mid") * F.exp(-c(f"e{k}") * (half - dt)) for k in (0, 1)]
@@ -147,6 +151,11 @@ def with_ensemble(df: DataFrame, const: DataFrame) -> DataFrame:
     return df.join(const.groupBy("ensemble").pivot("name", names).agg(F.first("value")), "ensemble")
 
 
+def physical_mass(df: DataFrame, mass: str = "m_pi", spacing: str = "a_inv", name: str = "m_pi_gev") -> DataFrame:
+    """Adds the mass in physical units: the fitted one, in lattice units, times the inverse spacing of its ensemble."""
+    return df.withColumn(name, F.col(mass) * F.col(spacing))
+
+
 def vol_norm(df: DataFrame, factors: DataFrame) -> DataFrame:
     """x times 1 / sqrt(volume) for every operator in ``ops`` that has a volume, in every row, the central one too."""
     f = factors.select(F.col("op"), (1 / F.sqrt("volume")).alias("f")).agg(F.map_from_entries(F.collect_list(F.struct("op", "f"))).alias("m"))

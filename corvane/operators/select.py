@@ -123,13 +123,24 @@ def prefer_seed(catalog: DataFrame, seed: int) -> DataFrame:
 def get_columns(param: DataFrame, exact: list[str], partial: list[str]) -> DataFrame:
     """Parameters by name, whatever the case. Exact: a request without a digit also takes name and digits, one with a trailing 0 the
     bare name. Unknown requests give one row with value 0. Adds request."""
-    asked = [(n, True) for n in exact] + [(n, False) for n in partial]
-    requests = param.sparkSession.createDataFrame(asked, "request string, exact boolean")
-    name, want = F.lower("name"), F.lower("request")
-    digits = F.regexp_extract(name, r"^(.*?)(\d+)$", 1)
-    bare = F.regexp_extract(want, r"^(.*\D)0$", 1)
-    fits = F.when(F.col("exact"), (name == want) | (~want.rlike(r"\d") & (digits == want)) | ((bare != "") & (name == bare))).otherwise(F.contains(name, want))
-    return F.broadcast(requests).join(param, fits, "left").drop("exact").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    name = F.lower("name")
+    digits, none = F.regexp_extract(name, r"^(.*?)(\d+)$", 1), F.lit(None).cast("string")
+
+    def asks(request: str) -> Column:
+        want = request.lower()
+        fits = name == want
+        if not any(ch.isdigit() for ch in want):
+            fits = fits | (digits == want)
+        elif want[-1] == "0" and len(want) > 1 and not want[-2].isdigit():
+            fits = fits | (name == want[:-1])
+        return F.when(fits, F.lit(request)).otherwise(none)
+
+    # one pass: the requests that a row answers, and a row for each; few rows answer any
+    met = F.array_compact(F.array(none, *[asks(n) for n in exact], *[F.when(F.contains(name, F.lit(n.lower())), F.lit(n)).otherwise(none) for n in partial]))
+    found = param.withColumn("__met", met).where(F.size("__met") > 0).select(F.explode("__met").alias("request"), *param.columns)
+    requests = param.sparkSession.createDataFrame([(n,) for n in (*exact, *partial)], "request string")
+    unknown = requests.join(found.select("request").distinct(), "request", "left_anti").select("request", *[F.lit(0.0 if n == "value" else None).cast(t).alias(n) for n, t in param.dtypes])
+    return found.withColumn("value", F.coalesce("value", F.lit(0.0))).unionByName(unknown)
 
 
 def select_payload(df: DataFrame, columns: tuple[str, ...] = ("corr_id", "t", "re", "im")) -> DataFrame:
@@ -168,3 +179,15 @@ def to_physical(summary: DataFrame, ens: DataFrame, power: float = 0.5) -> DataF
     met = summary.join(ens, "ensemble")
     f = F.pow("a_inv", F.lit(power))
     return met.withColumns({"x": F.col("x") * F.col("a_inv") * F.col("a_inv"), **{c: F.col(c) * f for c in ("low", "central", "high")}}).drop("a_inv")
+
+
+def common_fit_params(params: DataFrame) -> DataFrame:
+    """params: (base, fit_id, object, name, size). The parameters that every fit of a base has, with their least size: base, object, name, size."""
+    fits = params.groupBy("base").agg(F.count_distinct("fit_id").alias("__fits"))
+    held = params.groupBy("base", "object", "name").agg(F.count_distinct("fit_id").alias("__in"), F.min("size").alias("size"))
+    return held.join(fits, "base").where("__in = __fits").drop("__in", "__fits")
+
+
+def merged_fit_params(params: DataFrame) -> DataFrame:
+    """As common_fit_params(), the parameters that any fit of a base has, with their largest size."""
+    return params.groupBy("base", "object", "name").agg(F.max("size").alias("size"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .resample import attach
+
 
 def align_t(df: DataFrame, t0: Column | int, nt: int) -> DataFrame:
     """Times relative to the source: out[t] = in[(t + t0) mod nt]."""
@@ -150,6 +152,22 @@ def divide(num: DataFrame, den: DataFrame, on: tuple[str, ...] = ("replica", "t"
     return num.join(d, list(on)).withColumn(value, F.col(value) / F.col("__d")).drop("__d")
 
 
+def divide_parts(num: dict[str, DataFrame], den: dict[str, DataFrame], value: str = "x", by: tuple[str, ...] = ("corr_id",)) -> dict[str, DataFrame]:
+    """divide() for all parts of a sample (replica, binned, raw; each with its row column of that name, bin or row). Binned and raw parts of a
+    numerator that have another number of rows than the denominator's are left out whole."""
+    rows = {"replica": "replica", "binned": "bin", "raw": "row"}
+    out = {}
+    for part, df in num.items():
+        if part not in den:
+            continue
+        if part != "replica":
+            one = den[part].agg(F.count_distinct(rows[part]).alias("__want"))
+            own = attach(df.groupBy(*by).agg(F.count_distinct(rows[part]).alias("__have")), one)
+            df = df.join(own.where("__have = __want").select(*by), list(by), "left_semi")
+        out[part] = divide(df, den[part], (rows[part], "t"), value)
+    return out
+
+
 def conj_average(df: DataFrame, on: tuple[str, ...] = ("replica", "t"), value: str = "x") -> DataFrame:
     """Half of snk-src and src-snk, for snk < src. Rows of snk = src are an error."""
     checked = df.withColumn("snk", F.when(F.col("snk") == F.col("src"), F.raise_error(F.lit("sink and source are the same"))).otherwise(F.col("snk")))
@@ -166,8 +184,16 @@ def compare_reversed(a: DataFrame, b: DataFrame, dt: int, negate: bool = False,
     return met.select(*by, "t", (F.col(value) / F.col("scale")).alias("forward"), (F.col("reversed") / F.col("scale")).alias("reversed"))
 
 
-def table_diff(a: DataFrame, b: DataFrame, keys: tuple[str, ...], value: str = "x", rtol: float = 0.0) -> DataFrame:
-    """Rows that only one side has, or whose values differ by more than rtol of a's."""
+def table_diff(a: DataFrame, b: DataFrame, keys: tuple[str, ...], value: str | tuple[str, str] = "x", rtol: float = 0.0, n: int | None = None) -> DataFrame:
+    """Rows that only one side has, or whose values differ by more than rtol of a's; with n the first n by key. Two names stand for the
+    parts of complex values, which differ by the modulus of their difference: then a and b are structs of both."""
+    if not isinstance(value, str):
+        pair = lambda df: df.withColumn("__z", F.struct(F.col(value[0]).alias("re"), F.col(value[1]).alias("im"))).select(*keys, "__z")
+        met = pair(a).withColumnRenamed("__z", "a").join(pair(b).withColumnRenamed("__z", "b"), list(keys), "full_outer")
+        near = F.hypot(F.col("a.re") - F.col("b.re"), F.col("a.im") - F.col("b.im")) <= rtol * F.hypot(F.col("a.re"), F.col("a.im"))
+        unlike = met.where(~F.coalesce(near, F.lit(False)))
+        return unlike if n is None else unlike.orderBy(*keys).limit(n)
     met = a.select(*keys, F.col(value).alias("a")).join(b.select(*keys, F.col(value).alias("b")), list(keys), "full_outer")
     near = (F.col("a") == F.col("b")) | (F.abs(F.col("a") - F.col("b")) <= rtol * F.abs("a"))
-    return met.where(~F.coalesce(near, F.lit(False)))
+    unlike = met.where(~F.coalesce(near, F.lit(False)))
+    return unlike if n is None else unlike.orderBy(*keys).limit(n)

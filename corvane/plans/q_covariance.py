@@ -135,3 +135,18 @@ def h4_whiten(spark, d):
     c = r.where("replica = -1").select("corr_id", "t", F.col("re").alias("c"))
     residual = r.where("replica >= 0").join(c, ["corr_id", "t"]).select("corr_id", "replica", "t", (F.col("re") - F.col("c")).alias("r"))
     return cv.whiten(residual, cv.inverse_cholesky(bins(spark, d)))
+
+
+@query()
+def d18_covar_source_reboot(spark, d):
+    """A bootstrap of 200 draws within each replica."""
+    b = base.binned(spark, d).withColumn("x", F.col("re"))
+    return cv.rebooted_covariance(b, resample.boot_index(spark, base.SEED, base.BINS, base.REPLICAS), 200, base.SEED)
+
+
+@query(f"""WITH {base.SAMPLES}, sized AS (SELECT *, CASE corr_id WHEN 'A' THEN 25 WHEN 'N' THEN 0 ELSE 40 END AS size FROM samples), placed AS (SELECT *, CASE WHEN size = 0 THEN config ELSE (row_number() OVER (PARTITION BY corr_id, t ORDER BY {', '.join(ORDER)}) - 1) // size END AS bin FROM sized),
+rb AS (SELECT corr_id, bin, t, avg(re) AS re FROM placed GROUP BY ALL), dev AS (SELECT corr_id, bin AS row_id, t, re - avg(re) OVER (PARTITION BY corr_id, t) AS x FROM rb)
+SELECT a.corr_id, a.t AS i, b.t AS j, round(sum(a.x * b.x) * (1.0 / (count(*) * (count(*) - 1.0))), 2) AS cov FROM dev a JOIN dev b USING (corr_id, row_id) GROUP BY ALL""")
+def d18_covar_source_sizes(spark, d):
+    """A list of bin sizes, one for each series."""
+    return rounded(cv.rebinned(base.samples(spark, d), [25, 0, 40], ORDER), "cov", digits=2)

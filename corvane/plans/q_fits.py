@@ -107,6 +107,14 @@ def j9_guess(spark, d):
     return rounded(rounded(g, "energy", digits=8), "amplitude", "mean")
 
 
+@query()
+def j9_guess_levels(spark, d):
+    """Two levels of each order's series, which has two."""
+    p = par(spark, d).select("k", "e0", "a0", "e1", "a1", F.explode(F.sequence(F.lit(1), F.lit(16))).alias("t"))
+    x = p.select("k", "t", ft.m_exp(c("t"), *two_levels()).alias("x"))
+    return ft.guess_levels(x, 2, by=("k",))
+
+
 SIG = FX + ", s AS (SELECT corr_id, t, stddev_pop(x) AS sigma FROM x WHERE replica >= 0 GROUP BY ALL), pts AS (SELECT x.corr_id, replica, t, x, sigma FROM x JOIN s USING (corr_id, t))"
 
 
@@ -293,6 +301,39 @@ def j15_summarise_fits(spark, d):
     return ft.summarise_fits(fit_rows(spark, d), 6).select("fit_id", "base", "seq", "page")
 
 
+# Levels: orders stand for parameters, the level being the place in a customer's first orders.
+LEVELS = "lv AS (SELECT o_custkey AS fit_id, 'E' AS name, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS idx, o_totalprice / 100000 - 1 AS value FROM orders)"
+
+
+# A customer's orders stand for the parameters of its fit: object the priority, name the status, size by the clerk's orders.
+PARAMS = "pr AS (SELECT c_mktsegment AS base, c_custkey AS fit_id, o_orderpriority AS object, o_orderstatus AS name, CAST(1 + o_orderkey % 3 AS INTEGER) AS size FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000)"
+
+
+def fit_params(spark, d):
+    o = base.table(spark, d, "orders").join(base.table(spark, d, "customer").where("c_acctbal > 9000"), c("o_custkey") == c("c_custkey"))
+    return o.select(c("c_mktsegment").alias("base"), c("c_custkey").alias("fit_id"), c("o_orderpriority").alias("object"), c("o_orderstatus").alias("name"), (1 + c("o_orderkey") % 3).cast("int").alias("size"))
+
+
+@query(f"WITH {PARAMS}, n AS (SELECT base, count(DISTINCT fit_id) AS fits FROM pr GROUP BY base) SELECT base, object, name, min(size) AS size FROM pr JOIN n USING (base) GROUP BY base, object, name, fits HAVING count(DISTINCT fit_id) = fits UNION ALL SELECT base, 'any', name, min(size) FROM pr JOIN n USING (base) GROUP BY base, name, fits HAVING count(DISTINCT fit_id) = fits")
+def j15_common_params(spark, d):
+    """Parameters that all fits of a base have, by object and name, and by name alone."""
+    p = fit_params(spark, d)
+    return sl.common_fit_params(p).unionByName(sl.common_fit_params(p.withColumn("object", F.lit("any"))))
+
+
+@query(f"WITH {PARAMS} SELECT base, object, name, max(size) AS size FROM pr GROUP BY ALL")
+def j15_all_params(spark, d):
+    return sl.merged_fit_params(fit_params(spark, d))
+
+
+@query(f"""WITH {FITS}, {LEVELS}, s AS (SELECT fit_id, idx, value AS v FROM lv), bad AS (SELECT DISTINCT a.fit_id FROM s a WHERE NOT (a.v - 0.1 > 0 OR a.v + 0.1 < 0) OR a.v > 3 OR EXISTS (SELECT 1 FROM s b WHERE b.fit_id = a.fit_id AND b.idx < a.idx AND NOT (a.v - 0.1 > b.v + 0.1 OR a.v + 0.1 < b.v - 0.1))),
+g AS (SELECT base, ti, tf, arg_min(pvalue_h, fit_id) AS p, min(fit_id) AS fit_id FROM f WHERE dof >= 0 AND fit_id NOT IN (SELECT fit_id FROM bad) GROUP BY base, ti, tf), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p DESC, ti, tf) AS seq FROM g) SELECT fit_id, base, CAST(seq AS INTEGER) AS seq, CAST((seq - 1) // 6 AS INTEGER) AS page FROM r""")
+def j15_significant_fits(spark, d):
+    """As j15_summarise_fits, without fits that have a parameter which is not significant."""
+    v = levels(spark, d).select("fit_id", "name", "idx", F.lit(True).alias("monotonic"), *[(c("value") + x).alias(n) for n, x in (("min", -0.3), ("low", -0.1), ("central", 0.0), ("high", 0.1), ("max", 0.3))])
+    return ft.summarise_fits(fit_rows(spark, d), 6, v, e_max=3.0).select("fit_id", "base", "seq", "page")
+
+
 @query(f"WITH {FITS}, r AS (SELECT fit_id, row_number() OVER (PARTITION BY base ORDER BY fit_id) AS seq FROM f) SELECT fit_id, CAST((seq - 1) // 40 AS INTEGER) AS page FROM r")
 def e5_pages(spark, d):
     from pyspark.sql import Window as W
@@ -307,10 +348,6 @@ def e4_sequence_numbers(spark, d):
     return sl.rank_fits(f, "chi_sq", ascending=True).select("fit_id", "base", "seq")
 
 
-# Levels: orders stand for parameters, the level being the place in a customer's first orders.
-LEVELS = "lv AS (SELECT o_custkey AS fit_id, 'E' AS name, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS idx, o_totalprice / 100000 - 1 AS value FROM orders)"
-
-
 def levels(spark, d):
     from pyspark.sql import Window as W
 
@@ -356,7 +393,16 @@ def b35_check_params(spark, d):
 def a9_fit_report(spark, d):
     x = fx(spark, d).where("replica = -1").drop("replica")
     y = x.where("t BETWEEN 1 AND 4").select("corr_id", "t", (c("x") * 1.01).alias("y"))
-    return rounded(rounded(ft.fit_report(x, y), "x", "y"), "log_data", digits=8)
+    return rounded(rounded(ft.fit_report(x, y), "x", "y"), "log_data", digits=8).drop("log_theory", "t_mid_theory")
+
+
+@query(f"WITH {FX}, c AS (SELECT corr_id, t, x FROM x WHERE replica = -1 AND t <> 3), f AS (SELECT corr_id, t, ln(lag(x * 1.01) OVER w / (x * 1.01)) / (t - lag(t) OVER w) AS log_theory, (t + lag(t) OVER w) / 2.0 AS t_mid_theory FROM c WHERE t IN (1, 2, 5) WINDOW w AS (PARTITION BY corr_id ORDER BY t)), l AS (SELECT corr_id, t, ln(lag(x) OVER w / x) / (t - lag(t) OVER w) AS log_data, (t + coalesce(lag(t) OVER w, t - 1)) / 2.0 AS t_mid FROM c WINDOW w AS (PARTITION BY corr_id ORDER BY t)) SELECT corr_id, t, round(t_mid, 3) AS t_mid, round(log_data, 8) AS log_data, round(t_mid_theory, 3) AS t_mid_theory, round(log_theory, 8) AS log_theory FROM l LEFT JOIN f USING (corr_id, t)")
+def a9_fit_report_gaps(spark, d):
+    """A series without one time, fitted at some: ratios over the time between points, at its middle."""
+    x = fx(spark, d).where("replica = -1 and t <> 3").drop("replica")
+    y = x.where("t in (1, 2, 5)").select("corr_id", "t", (c("x") * 1.01).alias("y"))
+    r = ft.fit_report(x, y).select("corr_id", "t", "t_mid", "log_data", "t_mid_theory", "log_theory")
+    return rounded(rounded(r, "log_data", "log_theory", digits=8), "t_mid", "t_mid_theory", digits=3)
 
 
 @query("WITH s AS (SELECT n_regionkey AS ensemble, n_name AS x_key, avg(s_acctbal) AS m FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL) SELECT ensemble, x_key, round(m - 1, 6) AS data_low, round(m, 6) AS data_central, round(m + 1, 6) AS data_high, round(m - 0.5, 6) AS theory_low, round(m * 1.1, 6) AS theory_central, round(m + 0.5, 6) AS theory_high, length(x_key) AS x FROM s")
