@@ -103,7 +103,7 @@ def hotelling_tail(t2: np.ndarray, p: np.ndarray, m: np.ndarray) -> np.ndarray:
     k, n = np.where(usable, p, 1.0), np.where(usable, m, 1.0)
     d2 = n - k + 1
     f = t2 * d2 / (k * n)
-    return np.where(p <= 0, 1.0, np.where(usable, beta_tail(d2 / (d2 + k * f), d2 / 2, k / 2), chi_square_tail(t2, p)))
+    return np.where(p <= 0, 1.0, np.where(usable, beta_tail(d2 / (d2 + k * f), d2 / 2, k / 2), chi_square_tail(np.atleast_1d(t2), np.atleast_1d(p)).reshape(t2.shape)))
 
 
 @F.pandas_udf(DoubleType())

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .joint import fit_joint
+from .joint import CHUNK, fit_joint
 from .resample import attach
 
 # Models. Energies, amplitudes and matrix elements are lists of columns, one for each level.
@@ -182,30 +182,40 @@ def _group_schema(df: DataFrame, by: tuple[str, ...]) -> str:
     return ", ".join(f"`{c}` {types[c]}" for c in by)
 
 
-def fit_linear(design: DataFrame, chol: DataFrame | None = None, by: tuple[str, ...] = ("corr_id", "replica")) -> DataFrame:
-    """Least squares of whitened residuals for each group. design: (by, t, x, sigma, row array<double>) with the basis functions of each
-    point; chol: (corr_id, i, j, chol) lower factor of the inverse correlation. A group has as many rows as fitted points."""
-    if chol is not None:
-        design = design.join(chol.groupBy("corr_id").agg(F.collect_list(F.struct("i", "j", "chol")).alias("__l")), "corr_id")
-    else:
-        design = design.withColumn("__l", F.lit(None).cast("array<struct<i:int,j:int,chol:double>>"))
-
-    def job(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        a = np.array(pdf["row"].tolist()) / pdf["sigma"].to_numpy()[:, None]
-        y = (pdf["x"] / pdf["sigma"]).to_numpy()
-        entries = pdf["__l"].iloc[0]
-        if entries is not None:
-            place = {t: k for k, t in enumerate(pdf["t"])}
-            lower = np.zeros((len(pdf), len(pdf)))
-            for e in entries:
-                lower[place[e["i"]], place[e["j"]]] = e["chol"]
-            a, y = lower.T @ a, lower.T @ y
-        p = np.linalg.lstsq(a, y, rcond=None)[0]
-        r = a @ p - y
-        return pd.DataFrame({**{c: [k] for c, k in zip(by, key)}, "params": [p.tolist()], "chi_sq": [float(r @ r)], "dof": [len(y) - len(p)]})
-
-    return design.groupBy(*by).applyInPandas(job, _group_schema(design, by) + ", params array<double>, chi_sq double, dof int")
+def fit_linear(design: DataFrame, chol: DataFrame | None = None, by: tuple[str, ...] = ("corr_id", "replica"), chunk: int = CHUNK) -> DataFrame:
+    """Least squares of whitened residuals for each group; the last of ``by`` numbers replicas, of which a job takes ``chunk`` at a time. design: (by,
+    t, x, sigma, row array<double>) with the basis functions of each point; chol: (corr_id, i, j, chol) lower factor of the inverse
+    correlation, which comes once a job."""
+    schema = _group_schema(design, by) + ", params array<double>, chi_sq double, dof int"
+
+    def fit(pdf: pd.DataFrame, factor: pd.DataFrame | None) -> pd.DataFrame:
+        out = []
+        for key, g in pdf.sort_values("t").groupby(list(by), sort=False):
+            s = g["sigma"].to_numpy()
+            a, y = np.array(g["row"].tolist()) / s[:, None], g["x"].to_numpy() / s
+            if factor is not None:
+                at = pd.Index(g["t"])
+                rows, columns = at.get_indexer(factor["i"]), at.get_indexer(factor["j"])
+                known = (rows >= 0) & (columns >= 0)
+                lower = np.zeros((len(g), len(g)))
+                lower[rows[known], columns[known]] = factor["chol"].to_numpy()[known]
+                a, y = lower.T @ a, lower.T @ y
+            p = np.linalg.lstsq(a, y, rcond=None)[0]
+            r = a @ p - y
+            out.append((*key, p.tolist(), float(r @ r), len(y) - len(p)))
+        return pd.DataFrame(out, columns=[*by, "params", "chi_sq", "dof"])
+
+    dealt = design.withColumn("__chunk", F.floor(F.col(by[-1]) / chunk).cast("int"))
+    keys = [*by[:-1], "__chunk"]
+    if chol is None:
+        return dealt.groupBy(*keys).applyInPandas(lambda pdf: fit(pdf, None), schema)
+    chunks = dealt.select("corr_id", "__chunk").distinct().select(F.col("corr_id").alias("of"), F.col("__chunk").alias("of_chunk"))
+    factors = chol.select(F.col("corr_id").alias("of"), "i", "j", "chol").join(chunks, "of")
+
+    def job(pdf: pd.DataFrame, factor: pd.DataFrame) -> pd.DataFrame:
+        return fit(pdf, factor) if len(pdf) and len(factor) else pd.DataFrame(columns=[*by, "params", "chi_sq", "dof"])
+
+    return dealt.groupBy("corr_id", "__chunk").cogroup(factors.groupBy("of", "of_chunk")).applyInPandas(job, schema)
 
 
 def fit_replicas(points: DataFrame, model: str, nt: int, start: list[float], chol: DataFrame | None = None) -> DataFrame:

@@ -6,12 +6,14 @@ central value in replica -1 and the mean of the replicas, where it is kept, in -
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .ranking import with_rank
 
@@ -109,20 +111,34 @@ def bootstrap(binned: DataFrame, replicas: int, seed: int) -> DataFrame:
     """Replicas in array form (corr_id, seed, replica, re, im arrays by t) at scale: series x chunks of replicas as groups, each a
     product of a matrix of draw counts with the bins. Draws depend on seed, chunk and number of bins alone."""
     chunks = -(-replicas // CHUNK)
-    packed = binned.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
-    def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        re = pdf.pivot(index="bin", columns="t", values="re").to_numpy()
-        im = pdf.pivot(index="bin", columns="t", values="im").to_numpy()
-        n, first = len(re), int(key[1]) * CHUNK
-        count = min(CHUNK, replicas - first)
-        rng = np.random.Generator(np.random.PCG64([seed, n, int(key[1])]))
-        draws = rng.integers(0, n, size=(count, n)) + n * np.arange(count)[:, None]
-        weights = np.bincount(draws.ravel(), minlength=count * n).reshape(count, n) / n
-        out = {"corr_id": key[0], "seed": seed, "replica": np.arange(first, first + count), "re": list(weights @ re), "im": list(weights @ im)}
-        return pd.DataFrame(out)
-
-    return packed.groupBy("corr_id", "chunk").applyInPandas(make, "corr_id string, seed long, replica int, re array<double>, im array<double>")
+    # a series is packed to one row of arrays before it is copied for each chunk
+    rows = binned.groupBy("corr_id").agg(F.collect_list(F.struct("bin", "t", F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))).alias("v"))
+    rows = rows.select("corr_id", *[F.col(f"v.{c}").alias(c) for c in ("bin", "t", "re", "im")])
+    spread = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition("corr_id", "chunk")
+    schema = binned.sparkSession.createDataFrame([], "corr_id string, seed long, replica int, re array<double>, im array<double>").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in ({c: batch.column(c)[k] for c in batch.schema.names} for k in range(batch.num_rows)):
+                get = lambda c: one[c].values.to_numpy(zero_copy_only=False)  # noqa: E731,B023
+                bins, row = np.unique(get("bin"), return_inverse=True)
+                times, column = np.unique(get("t"), return_inverse=True)
+                n, chunk = len(bins), one["chunk"].as_py()
+                first = chunk * CHUNK
+                count = min(CHUNK, replicas - first)
+                rng = np.random.Generator(np.random.PCG64([seed, n, chunk]))
+                draws = rng.integers(0, n, size=(count, n)) + n * np.arange(count)[:, None]
+                weights = np.bincount(draws.ravel(), minlength=count * n).reshape(count, n) / n
+                made = []
+                for c in ("re", "im"):
+                    x = np.full((n, len(times)), np.nan)
+                    x[row, column] = get(c)
+                    made.append(list(weights @ x))
+                columns = [[one["corr_id"].as_py()] * count, np.full(count, seed), np.arange(first, first + count), *made]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, arrow)], schema=arrow)
+
+    return spread.select("corr_id", "chunk", "bin", "t", "re", "im").mapInArrow(run, schema)
 
 
 def bootstrap_poisson(rows: DataFrame, replicas: int, seed: int) -> DataFrame:
