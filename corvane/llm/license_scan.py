@@ -7,10 +7,11 @@ the template is aligned with the words around them: a word that fits gives 1, a
 within BAND of the hits' diagonals. Coverage is the share of the template's words that fit, less those put in. Spans are places in the
 text.
 
-A find is reported if it covers ``coverage`` of its template and if its span has the template's telling words and versions, no
+A find is reported if it covers ``coverage`` of its template, one of up to WHOLE words whole, and if its span has the template's telling words and versions, no
 others and none less: "Lesser" or "3" is one word of many, but another licence. Of finds that overlap in the text the one with more
-fitting words stays, then the one that covers more of its template, then the first template. Templates are a parameter that tasks get
-whole; MAX_BYTES bounds them. The given ones cover the licences that license_texts.py lists. Null text counts as empty and has no
+fitting words stays, then the one that covers more of its template, then the first template. A stretch that lacks too many of a template's
+words, in whatever order, is not aligned. "Not" or the like within three words before a notice takes it back. Templates go to tasks in blocks of
+BLOCK_LETTERS, each with one pass over the texts; finds of all blocks are compared. The given ones cover the licences that license_texts.py lists. Null text counts as empty and has no
 finds, nor has an empty table. Repeated rows give repeated finds; very long texts are taken whole. A kept column that is named like a
 result comes back with underscores before its name.
 """
@@ -23,12 +24,15 @@ from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import apart, arrow_map, text_or_empty
-from .license_texts import BEFORE_VERSION, TELLING, TEMPLATES
+from .license_texts import BEFORE_VERSION, DENIALS, SHORT, TELLING, TEMPLATES
 from .tiling import rolling
 
-GRAM, WINDOW, BAND, COVERAGE, MAX_BYTES = 3, 3, 8, 0.8, 16 << 20
+GRAM, WINDOW, BAND, COVERAGE, BLOCK_LETTERS = 3, 3, 8, 0.8, 16 << 20
+#: Words up to which a template must fit whole: one word of so few is the licence's name.
+WHOLE = 7
 WORD = re.compile(r"\w+")
 
 
@@ -45,7 +49,9 @@ def telling(words: list[str]) -> frozenset[str]:
     """The words of a stretch that tell licences apart, and its versions (2.0 counts as 2)."""
     found, number = set(), False
     for k, w in enumerate(words):
-        number = w.isdigit() and (number or k > 0 and words[k - 1] in BEFORE_VERSION)
+        short = len(w) > 1 and w[0] == "v" and w[1:].isdigit()
+        w = w[1:] if short else SHORT.get(w, w)
+        number = short or w.isdigit() and (number or k > 0 and words[k - 1] in BEFORE_VERSION)
         if w in TELLING or number and w != "0":
             found.add(w)
     return frozenset(found)
@@ -86,6 +92,8 @@ class Scanner:
         self.known = {w: k for k, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
         self.templates = [np.array([self.known[w] for w in ws], dtype=np.int64) for ws in words]
         self.telling = [telling(ws) for ws in words]
+        self.least = [1.0 if len(ws) <= WHOLE else coverage for ws in words]
+        self.bags = [np.unique(ids, return_counts=True) for ids in self.templates]
         index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, ids in enumerate(self.templates):
             h = rolling(ids, GRAM)
@@ -118,10 +126,28 @@ class Scanner:
             out.append((k, first, last))
         return out
 
+    def _may_cover(self, k: int, ids: np.ndarray) -> bool:
+        """Whether a stretch has enough of the template's words in any order: what it lacks cannot fit."""
+        kinds, counts = self.bags[k]
+        slot = np.minimum(np.searchsorted(kinds, ids), len(kinds) - 1)
+        there = np.bincount(slot[kinds[slot] == ids], minlength=len(kinds))
+        return np.minimum(there, counts).sum() >= self.least[k] * len(self.templates[k]) - 1e-9
+
     def finds(self, text: str) -> list[tuple[str, float, int, int, int]]:
         """(licence, coverage, words that fit, begin, end) in order of the text."""
         lower = text.lower()
         words = WORD.findall(lower) if len(lower) == len(text) else [w.lower() for w in WORD.findall(text)]
+        best: list[tuple] = []
+        for f in sorted(self.raw_finds(words)):
+            if all(f[4] <= b[3] or f[3] >= b[4] for b in best):
+                best.append(f)
+        if not best:
+            return []
+        places = [m.span() for m in WORD.finditer(text)]
+        return [(self.names[k], -c, -fit, places[a][0], places[b - 1][1]) for fit, c, k, a, b in sorted(best, key=lambda f: f[3])]
+
+    def raw_finds(self, words: list[str]) -> list[tuple[int, float, int, int, int]]:
+        """(minus words that fit, minus coverage, template, first word, end) of all finds, overlapping ones too."""
         if len(words) < GRAM or not len(self.prints):
             return []
         ids = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
@@ -129,21 +155,18 @@ class Scanner:
         for k, low, high in self.candidates(ids):
             template = self.templates[k]
             begin, end = max(0, low - BAND), min(len(ids), high + len(template) + BAND)
+            if not self._may_cover(k, ids[begin:end]):
+                continue
             _, fit, first, stop = align(template, ids[begin:end], low - BAND - begin, high + BAND - begin)
             covered = (fit - max(0, stop - first - len(template))) / len(template)
-            if first >= 0 and covered >= self.coverage and self._same_version(k, words, begin + first, begin + stop):
+            if first >= 0 and covered >= self.least[k] and self._same_version(k, words, begin + first, begin + stop):
                 found.append((-fit, -covered, k, begin + first, begin + stop))
-        if not found:
-            return []
-        best: list[tuple] = []
-        for f in sorted(found):
-            if all(f[4] <= b[3] or f[3] >= b[4] for b in best):
-                best.append(f)
-        places = [m.span() for m in WORD.finditer(text)]
-        return [(self.names[k], -c, -fit, places[a][0], places[b - 1][1]) for fit, c, k, a, b in sorted(best, key=lambda f: f[3])]
+        return found
 
     def _same_version(self, k: int, words: list[str], begin: int, end: int) -> bool:
-        """Whether the span tells the same licence as the template; a version that goes on behind the span belongs to it."""
+        """Whether the span tells the same licence as the template and no word before it takes it back; a version that goes on behind the span belongs to it."""
+        if any(w in DENIALS for w in words[max(0, begin - 3) : begin]):
+            return False
         if words[end - 1].isdigit() and end < len(words) and len(words[end]) == 1:
             end += words[end].isdigit()
         return telling(words[max(0, begin - 1) : end]) - telling(words[max(0, begin - 1) : begin]) == self.telling[k]
@@ -151,21 +174,74 @@ class Scanner:
 
 def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, coverage: float = COVERAGE, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """A row for each find: keep, license, coverage, words, span_start, span_end."""
-    if sum(len(t) for _, t in templates) > MAX_BYTES:
-        raise ValueError(f"templates of more than {MAX_BYTES} letters")
-    columns, keep = apart(df, keep, "license", "coverage", "words", "span_start", "span_end", "text")
+    columns, keep = apart(df, keep, "license", "coverage", "words", "span_start", "span_end", "text", "raw")
     df = df.select(*columns, text_or_empty(text).alias("text"))
     types = dict(df.dtypes)
-    sent = df.sparkSession.sparkContext.broadcast(list(templates))
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + ["license string, coverage double, words int, span_start int, span_end int"])
+    kept = [f"`{c}` {types[c]}" for c in keep]
+    found = "license string, coverage double, words int, span_start int, span_end int"
+    blocks = _blocks(templates)
+    if len(blocks) == 1:
+        sent = df.sparkSession.sparkContext.broadcast(blocks[0])
+
+        def make():
+            scanner = Scanner(sent.value, coverage)
+
+            def work(*columns):
+                rows = [(*k, *f) for *k, t in zip(*columns) for f in scanner.finds(t)]
+                return list(zip(*rows)) or [[] for _ in range(len(keep) + 5)]
+
+            return work
+
+        return arrow_map(df, df.columns, ", ".join([*kept, found]), make)
+    raw = "raw array<struct<fit: int, covered: double, template: int, begin: int, end: int, license: string, span_start: int, span_end: int>>"
+    rows, first = df.withColumn("raw", F.array().cast(raw[4:])), 0
+    for block in blocks:
+        rows = _one_block(rows, kept, raw, block, first, coverage)
+        first += len(block)
+
+    def make_best():
+        def work(*columns):
+            out = []
+            for *k, finds in zip(*columns):
+                best: list[dict] = []
+                for f in sorted(finds, key=lambda f: (f["fit"], f["covered"], f["template"])):
+                    if all(f["end"] <= b["begin"] or f["begin"] >= b["end"] for b in best):
+                        best.append(f)
+                out += [(*k, f["license"], -f["covered"], -f["fit"], f["span_start"], f["span_end"]) for f in sorted(best, key=lambda f: f["begin"])]
+            return list(zip(*out)) or [[] for _ in range(len(keep) + 5)]
+
+        return work
+
+    return arrow_map(rows, [*keep, "raw"], ", ".join([*kept, found]), make_best)
+
+
+def _blocks(templates: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    blocks, size = [[]], 0
+    for t in templates:
+        if blocks[-1] and size + len(t[1]) > BLOCK_LETTERS:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(t)
+        size += len(t[1])
+    return blocks
+
+
+def _one_block(rows: DataFrame, kept: list[str], raw: str, block: list[tuple[str, str]], first: int, coverage: float) -> DataFrame:
+    """rows with a block's finds added to ``raw``."""
+    sent = rows.sparkSession.sparkContext.broadcast(block)
 
     def make():
         scanner = Scanner(sent.value, coverage)
 
         def work(*columns):
-            rows = [(*kept, *f) for *kept, t in zip(*columns) for f in scanner.finds(t)]
-            return list(zip(*rows)) or [[] for _ in range(len(keep) + 5)]
+            *others, texts, before = columns
+            out = []
+            for text, known in zip(texts, before):
+                found = scanner.raw_finds([w.lower() for w in WORD.findall(text)])
+                places = [m.span() for m in WORD.finditer(text)] if found else []
+                out.append([*known, *({"fit": f, "covered": c, "template": first + k, "begin": a, "end": b, "license": scanner.names[k], "span_start": places[a][0], "span_end": places[b - 1][1]} for f, c, k, a, b in found)])
+            return [*others, texts, out]
 
         return work
 
-    return arrow_map(df, df.columns, schema, make)
+    return arrow_map(rows, rows.columns, ", ".join([*kept, "text string", raw]), make)

@@ -19,7 +19,13 @@ CC_KINDS = [
     ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
 ]
 
-#: One-line notices.
+#: Identifiers whose tags are known. A tag of "only" or "or later" is the identifier's tag and more.
+TAGS = [
+    "MIT", "ISC", "Zlib", "Unlicense", "CC0-1.0", "Apache-1.1", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "MPL-1.0", "MPL-1.1", "MPL-2.0",
+    *[f"{short}-{v}" for _, short, versions in GNU for v in versions], *[f"CC-{kind}-{v}" for kind, _ in CC_KINDS for v in CC_VERSIONS],
+]
+
+#: One-line notices, marks and tags.
 LINES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -29,6 +35,11 @@ LINES = [
     ("BSD-4-Clause", "Licensed under the BSD 4-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("MIT", "The MIT License"),
+    *[(f"BSD-{n}-Clause", f"BSD {n}-Clause License") for n in (2, 3, 4)],
+    *[(f"Apache-{v}", f"Apache License, Version {v}") for v in ("1.1", "2.0")],
+    *[(f"{short}-{v}", mark) for name, short, versions in GNU for v in versions for mark in (f"GNU {name}, version {v.removesuffix('.0')}", f"GNU {name} v{v.removesuffix('.0')}", f"GNU {short} version {v.removesuffix('.0')}", f"GNU {short} v{v.removesuffix('.0')}")],
+    *[(short, f"SPDX-License-Identifier: {short}") for short in TAGS],
     *[(f"MPL-{v}", f"This Source Code Form is subject to the terms of the Mozilla Public License, v. {v}.") for v in ("1.0", "1.1", "2.0")],
     *[(f"CC-{kind}-{v}", f"Licensed under CC {kind} {v}.") for kind, _ in CC_KINDS for v in CC_VERSIONS],
     *[(f"CC-{kind}-{v}", f"This work is licensed under a Creative Commons {words} {v} International License.") for kind, words in CC_KINDS for v in CC_VERSIONS],
@@ -112,4 +123,7 @@ TEMPLATES = LINES + NOTICES
 #: Words that tell one licence from another of nearly the same wording.
 TELLING = ["lesser", "library", "affero", "documentation", "sa", "nd", "nc", "sharealike", "noderivatives", "noderivs", "noncommercial"]
 #: Words after which a number is a version (or the number of a BSD licence's clauses).
-BEFORE_VERSION = ["version", "v", "by", "sa", "nd", "nc", "attribution", "sharealike", "noderivatives", "noderivs", "noncommercial", "bsd"]
+BEFORE_VERSION = ["version", "v", "gpl", "lgpl", "agpl", "gfdl", "mpl", "by", "sa", "nd", "nc", "attribution", "sharealike", "noderivatives", "noderivs", "noncommercial", "bsd"]
+#: Short names of what a telling word says, and words before a notice that take it back.
+SHORT = {"lgpl": "lesser", "agpl": "affero", "gfdl": "documentation"}
+DENIALS = ["not", "never", "nor", "neither"]

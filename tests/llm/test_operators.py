@@ -525,7 +525,7 @@ def brute_finds(text, templates, coverage):
             table.append(row)
         _, fit, first, last = max(table[-1], key=lambda o: (o[0], o[1]))
         share = (fit - max(0, last + 1 - first - len(want))) / len(want)
-        if share >= coverage and license_scan.telling(words[max(0, first - 1) : last + 1]) == license_scan.telling(want):
+        if share >= (1 if len(want) <= license_scan.WHOLE else coverage) and license_scan.telling(words[max(0, first - 1) : last + 1]) == license_scan.telling(want):
             found.append((-fit, -share, k, first, last + 1))
     out = []
     for f in sorted(found):
@@ -818,3 +818,34 @@ def test_query_equals_sql(spark, name):
 
 def test_registered_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+
+
+MARKS = {
+    "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
+    "SPDX-License-Identifier: AGPL-3.0": "AGPL-3.0", "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "SPDX-License-Identifier: CC-BY-SA-4.0": "CC-BY-SA-4.0", "It comes under the GNU GPL v2 or later, they say": "GPL-2.0",
+    "Under GNU LGPL v2.1 here": "LGPL-2.1", "GNU Affero General Public License version 3": "AGPL-3.0", "GNU General Public License v3": "GPL-3.0", "BSD 4-Clause License": "BSD-4-Clause", "See The MIT License for it": "MIT",
+    "This is not released under the MIT License.": None, "never licensed under CC BY 4.0.": None, "SPDX-License-Identifier: Foo-1.0": None, "Released under the Foo License.": None, "Notably released under the MIT License.": "MIT",
+}
+
+
+@pytest.mark.parametrize("text", MARKS)
+def test_licence_marks(text):
+    found = license_scan.Scanner(license_scan.TEMPLATES).finds(text)
+    assert [f[0] for f in found] == ([MARKS[text]] if MARKS[text] else [])
+
+
+def test_repeated_words_of_a_notice_cost_little():
+    import time
+
+    notice = max((t for _, t in license_scan.TEMPLATES), key=len)
+    text = " ".join(notice.split()[:6]) + " "
+    scanner, began = license_scan.Scanner(license_scan.TEMPLATES), time.process_time()
+    assert scanner.finds(text * 20_000) == [] and time.process_time() - began < 12
+
+
+def test_templates_in_blocks_give_the_same_finds(spark, docs, odd, monkeypatch):
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame(list(enumerate(MARKS)), "doc_id long, text string"))
+    want = sorted(map(str, license_scan.scan(both).collect()))
+    monkeypatch.setattr(license_scan, "BLOCK_LETTERS", 3_000)
+    assert len(license_scan._blocks(license_scan.TEMPLATES)) > 1
+    assert sorted(map(str, license_scan.scan(both).collect())) == want and want
