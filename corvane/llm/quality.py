@@ -3,7 +3,9 @@
 Two bag models over hashed n-grams (words and pairs of words, BUCKETS buckets): one of target text, one of the raw text. A
 document's log-weight is the log-ratio of both likelihoods in its worst window of WINDOW words: the lowest mean over the words and
 pairs of any window of the whole text, times the 2 * WINDOW features of one, so texts of all lengths have one scale. Documents are drawn without replacement by their
-weights: the k largest of log-weight plus Gumbel noise. The noise is a function of seed and text hash, so a rerun draws the same.
+weights: the k largest of log-weight plus Gumbel noise. The noise is a function of seed and text hash, so a rerun draws the same. It has a
+deviation of 1.3 where weights lie tens and hundreds apart, and k comes from a cut on the weights: the draw decides about rows near that cut
+only, which is thus a cut with a soft edge.
 
 The raw model counts all documents. The target model counts the rows labelled good, at most FIT_ROWS of them (the least hashes
 of their ids), which bounds the list of ids that tasks get. Every other of them is held out of the model; with at most FIT_ROWS of

@@ -3,7 +3,7 @@
 import corpus_pipeline as cp
 import numpy as np
 import pytest
-from corvane.llm import simhash, tiling
+from corvane.llm import quality, simhash, tiling
 from corvane.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,45 @@ def test_empty_table(spark, k):
 
 def test_run(spark):
     assert len(cp.STAGES) == 4 and 0 < cp.run(spark, SF).count() < read(spark, SF, "documents").count()
+
+
+def test_whole_run_equals_brute_force(spark, tmp_path):
+    """Null, empty, repeated and very long rows, copies and near copies, columns named like inner ones: what run() keeps, stage after stage."""
+    base = read(spark, SF, "documents").limit(120)
+    rows = [tuple(r) for r in base.collect()]
+    long = rows[3][1] + " and so on" * 3000
+    words = rows[5][1].split()
+    odd = [(None, None, None, None, None), (None, "", "en", None, 0), (9001, "", "en", None, 0), (9001, "", "en", None, 0), (9002, "word", None, "s", 4), (9003, long, "en", "s", 5)]
+    odd += [(9004, rows[5][1], "en", "s", 5), (9005, " ".join([*words[:-1], "changed"]), "en", "s", 5), (9006, rows[7][1].upper(), None, None, None)]
+    leak = read(spark, SF, "benchmark").first()["text"]
+    odd.append((9007, f"{rows[8][1]} {leak} {rows[9][1]}", "en", "s", 5))
+    docs = spark.createDataFrame(rows + odd, base.schema).selectExpr("*", "1 as key", "'x' as node", "2.0 as log_weight", "doc_id as __key")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        read(spark, SF, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = sorted(((r["doc_id"], r["lang"], r["decoded_sha256"]) for r in cp.run(spark, str(tmp_path)).collect()), key=str)
+    judged = quality.classify(docs, read(spark, str(tmp_path), "labels")).collect()
+    selected = {r["doc_id"] for r in judged if r["selected"]}
+    assert {r["doc_id"] for r in judged if not r["selected"]}.isdisjoint(selected)  # one id is one decision here
+    left = [r for r in docs.collect() if r["doc_id"] in selected]
+    sets = [frozenset(simhash.hashes(r["text"] or "", 5)) for r in left]
+    group = list(range(len(left)))
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in range(len(left)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                group[top(a)] = top(b)
+    firsts = {}
+    for k, r in enumerate(left):
+        name = (r["doc_id"] is None, r["doc_id"] or 0)
+        firsts[top(k)] = min(firsts.get(top(k), (name, k)), (name, k))
+    matcher = tiling.Matcher([(r["item_id"], r["text"]) for r in read(spark, SF, "benchmark").collect()])
+    want = [left[k] for _, k in firsts.values() if not matcher.matches(left[k]["text"] or "")]
+    kept = sorted(((r["doc_id"], r["lang"]) for r in want), key=str)
+    assert sorted(((d, lang) for d, lang, _ in got), key=str) == kept and 0 < len(kept) < len(rows)
+    assert len({d for d, _, _ in got}) == len(got)
