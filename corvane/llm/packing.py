@@ -34,7 +34,9 @@ from .bpe import load
 from .common import apart, small_batches, text_or_empty
 
 #: Examples that wait in a task, and chunks whose ids a worker keeps.
-POOL, CACHE_CHUNKS = 512, 1_000_000
+POOL, CACHE_CHUNKS = 512, 1_500_000
+#: Signs that are one word of the tokenizer, however many stand behind letters.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A sign that is a token by itself, and words that are tokenised in one text with it between them.
 BETWEEN, JOINED = "|", 20_000
 #: Letters of a text that are tokenised at a time, about.
@@ -181,10 +183,16 @@ class TextIds:
             self.cache.clear()
         cache, words = self.cache, self.words.words.findall
         plain = [c for c in missing if self._plain(c)]
-        split = [(c, words(c)) for c in plain if not c.isalpha()]
-        new = {c for c in plain if c.isalpha()}
-        new.update(*[w for _, w in split])
-        new.difference_update(cache)
+        new, split = set(), []
+        for c in plain:
+            if c.isalpha():
+                new.add(c)
+                continue
+            head = c.rstrip(SIGNS)
+            parts = (head, c[len(head) :]) if head.isalpha() and len(head) < len(c) else words(c)
+            split.append((c, parts))
+            new.update(parts)
+        new = new.difference(cache)  # not in place, which would go through all of the cache
         alone = [w for w in new if BETWEEN in w]
         new = list(new.difference(alone))
         for k in range(0, len(new), JOINED):
@@ -194,7 +202,7 @@ class TextIds:
         for c, parts in split:
             cache[c] = b"".join([cache[w] for w in parts])
         others = list(missing.difference(plain))
-        if len(self.words.cache) > CACHE_CHUNKS:
+        if len(self.words.cache) > CACHE_CHUNKS // 4:
             self.words.cache.clear()
         self.words.learn([c for c in others if c not in self.words.cache])
         for c in others:
