@@ -223,7 +223,8 @@ class TextIds:
         if not missing <= self.cache.keys():
             new = missing.difference(self.cache)
             self._learn(missing if len(self.cache) + len(new) > CACHE_CHUNKS else new)
-        find = self.cache.__getitem__
+        # a small table of the batch's own chunks is faster to look up than all that is known
+        find = dict(zip(missing, map(self.cache.__getitem__, missing))).__getitem__
         short = [b"".join(map(find, chunks)) for chunks in split]
         return [(self._long(t) if big else ids) + end for t, big, ids in zip(texts, long, short)]
 
