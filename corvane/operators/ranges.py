@@ -30,24 +30,34 @@ def fit_times(ti: Column, tf: Column, thin: Column) -> Column:
     return F.when(tf < ti, none).when(thin.isNull() | (F.size(thin) < 1), every).otherwise(thinned)
 
 
+#: So many ranges are chosen in one stage; then the choices so far are written.
+STEPS = 8
+
+
 def ordered_ranges(ranges: DataFrame) -> DataFrame:
-    """ranges: (fit_id, range_id, offset, ...); offset null: absolute, else relative to the range range_id + offset of the same fit. Adds parent,
-    level (steps to an absolute range) and place (from 0 in its fit, parents first). Ranges that lead to no absolute one, in a cycle or
-    by a range that is not there, are an error."""
-    left = staged(ranges.withColumn("parent", F.col("range_id") + F.col("offset")))
-    total, level = left.count(), 0
-    done = left.where("offset is null").withColumn("level", F.lit(0))
-    found, newest = done, done
-    while not newest.isEmpty():
-        level += 1
-        above = newest.select("fit_id", F.col("range_id").alias("parent"))
-        newest = staged(left.where("offset is not null").join(above, ["fit_id", "parent"]).select(*left.columns).withColumn("level", F.lit(level)))
-        if level > total:
-            break
-        found = found.unionByName(newest)
-    if found.count() != total:
-        raise ValueError("a range depends on itself or on a range that is not there")
-    return found.withColumn("place", F.row_number().over(W.partitionBy("fit_id").orderBy("level", "range_id")) - 1)
+    """ranges: (fit_id, range_id, offset, ti, tf, dti, dtf, thin, min_points); offset null: absolute, else relative to the range range_id + offset
+    of the same fit. A row for each fit: fit_id and ``rs``, its ranges by place (parents first), each with up, the place of its parent (null:
+    absolute), and until, the place of its last child (-1: none). A fit's ranges are one row's array, so only the given rows are dealt out. Ranges
+    that lead to no absolute one, in a cycle or by a range that is not there, are an error."""
+    numbers = [F.col(c).cast("int").alias(c) for c in ("range_id", "ti", "tf", "dti", "dtf")]
+    one = F.struct(*numbers, F.col("offset").cast("int").alias("offset"), F.col("thin").cast("array<int>").alias("thin"), F.greatest("min_points", F.lit(1)).cast("int").alias("least"))
+    fits = ranges.groupBy("fit_id").agg(F.array_sort(F.collect_list(one)).alias("rs"))
+    ids, n = F.transform("rs", lambda r: r["range_id"]), F.size("rs")
+    # -1: absolute; -2: no or more than one such range
+    above = lambda r: F.when(r["offset"].isNull(), -1).when(F.size(F.filter("ids", lambda x: x == r["range_id"] + r["offset"])) == 1, F.array_position("ids", r["range_id"] + r["offset"]).cast("int") - 1).otherwise(-2)
+    fits = fits.withColumn("ids", ids).withColumn("up", F.transform("rs", above))
+    # level by level: null until the parent has one; as many turns as the longest chain can need, none beyond roots where all are absolute
+    roots = F.transform("up", lambda u: F.when(u == -1, 0))
+    deeper = lambda ls: F.transform("up", lambda u, i: F.coalesce(F.get(ls, i), F.when(u >= 0, F.get(ls, u) + 1)))
+    level = F.aggregate(F.sequence(F.lit(1), n), roots, lambda ls, _: F.when(F.exists(ls, lambda x: x.isNull()), deeper(ls)).otherwise(ls))
+    order = F.array_sort(F.transform(level, lambda x, i: F.struct(x.alias("level"), i.alias("at"))))
+    fits = fits.withColumn("level", level).withColumn("order", F.transform(order, lambda o: o["at"]))
+    placed = F.transform("order", lambda i: F.when(F.get("up", i) >= 0, F.array_position("order", F.get("up", i)).cast("int") - 1))
+    fits = fits.withColumn("ups", placed)
+    until = lambda k: F.coalesce(F.array_max(F.transform("ups", lambda u, j: F.when(u == k, j))), F.lit(-1))
+    fields = ("range_id", "ti", "tf", "dti", "dtf", "thin", "least")
+    by_place = F.transform("order", lambda i, k: F.struct(*[F.get("rs", i)[c].alias(c) for c in fields], F.get("ups", k).alias("up"), until(k).alias("until")))
+    return fits.select("fit_id", by_place.alias("rs"), F.exists("level", lambda x: x.isNull()).alias("loose"))
 
 
 def range_combinations(ranges: DataFrame) -> DataFrame:
@@ -55,32 +65,47 @@ def range_combinations(ranges: DataFrame) -> DataFrame:
 
     ranges: (fit_id, range_id, offset, ti, tf, dti, dtf, thin array<int>, min_points): starts from ti to ti + dti - 1 with every end from tf to tf +
     dtf - 1, counted from the start and end that the parent has in the same choice if the range is relative. A choice in which a range has fewer
-    than min_points is given up where that range is chosen, before others are combined with it. Repeated lists of a range count once."""
+    than min_points is given up where that range is chosen, before others are combined with it. Repeated lists of a range count once.
+
+    A fit's choices come out of its row one by one, without a join. A row stands for one choice of lists; if several starts and ends give these lists,
+    it holds them all, as far as ranges to come hang on them, so that no two rows are equal and none need be compared afterwards."""
     placed = staged(ordered_ranges(ranges))
-    most = placed.agg(F.max("place")).first()[0]
-    got = "array<struct<range_id: int, ti: int, tf: int, fit_times: array<int>>>"
-    chosen = placed.select("fit_id", F.lit(None).cast(got).alias("ranges")).distinct().withColumn("ranges", F.array().cast(got))
-    sizes = placed.groupBy("fit_id").agg(F.max("place").alias("last"))
-    finished = None
-    for k in range(0 if most is None else most + 1):
-        one = placed.where(F.col("place") == k).select("fit_id", "range_id", "parent", *[F.col(c).cast("int").alias(f"r_{c}") for c in ("ti", "tf", "dti", "dtf")], "thin", "min_points")
-        met = chosen.join(one, "fit_id")
-        parent = F.get(F.filter("ranges", lambda r: r["range_id"] == F.col("parent")), F.lit(0))
-        ti, tf = (F.col(f"r_{c}") + F.when(F.col("parent").isNull(), 0).otherwise(parent[c]) for c in ("ti", "tf"))
-        starts = met.withColumns({"ti": ti, "tf": tf}).where("r_dti > 0 and r_dtf > 0")
-        starts = starts.withColumn("ti", F.explode(F.transform(F.sequence(F.lit(0), F.col("r_dti") - 1), lambda i: F.col("ti") + i)))
-        starts = starts.withColumn("tf", F.explode(F.transform(F.sequence(F.lit(0), F.col("r_dtf") - 1), lambda i: F.col("tf") + i)))
-        listed = starts.withColumn("fit_times", fit_times(F.col("ti"), F.col("tf"), F.col("thin"))).where(F.size("fit_times") >= F.greatest(F.col("min_points"), F.lit(1)))
-        new = F.struct(F.col("range_id").cast("int").alias("range_id"), "ti", "tf", "fit_times")
-        added = listed.select("fit_id", F.concat("ranges", F.array(new)).cast(got).alias("ranges"))
-        whole = added.join(sizes.where(F.col("last") == k).select("fit_id"), "fit_id", "left_semi")
-        finished = whole if finished is None else finished.unionByName(whole)
-        chosen = staged(added)
-    if finished is None:
-        return chosen
-    by_id = F.array_sort("ranges").alias("ranges")
-    lists = F.transform("ranges", lambda r: r["fit_times"])
-    return finished.select("fit_id", by_id).withColumn("lists", lists).dropDuplicates(["fit_id", "lists"]).drop("lists")
+    seen = placed.agg(F.max(F.size("rs")).alias("most"), F.max("loose").alias("loose")).first()
+    if seen["loose"]:
+        raise ValueError("a range depends on itself or on a range that is not there")
+    span = "array<struct<ti: int, tf: int>>"
+    # ways: starts and ends by place, of one and the same choice of lists
+    state = {"lists": F.array().cast("array<array<int>>"), "ways": F.array(F.array().cast(span))}
+    chosen, most = placed.select("fit_id", "rs").withColumns(state), seen["most"] or 0
+    for k in range(most):
+        chosen = _next_range(chosen, k)
+        if k % STEPS == STEPS - 1 and k + 1 < most:
+            chosen = staged(chosen)
+    way = F.get("ways", F.lit(0))
+    found = F.transform("rs", lambda r, i: F.struct(r["range_id"].alias("range_id"), F.get(way, i)["ti"].alias("ti"), F.get(way, i)["tf"].alias("tf"), F.get("lists", i).alias("fit_times")))
+    return chosen.select("fit_id", F.array_sort(found).alias("ranges"))
+
+
+def _next_range(chosen: DataFrame, k: int) -> DataFrame:
+    """chosen (fit_id, rs, lists, ways) with a list for the range of place k; fits of fewer ranges stay as they are."""
+    names = chosen.columns
+    r = F.get("rs", F.lit(k))
+    given = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    base = lambda way, c: r[c] + F.when(r["up"].isNull(), 0).otherwise(F.get(way, r["up"])[c])
+    spans = lambda way: F.flatten(F.transform(given(r["dti"]), lambda i: F.transform(given(r["dtf"]), lambda j: F.struct((base(way, "ti") + i).alias("ti"), (base(way, "tf") + j).alias("tf")))))
+    tried = F.flatten(F.transform("ways", lambda way: F.transform(spans(way), lambda x: F.struct(fit_times(x["ti"], x["tf"], r["thin"]).alias("times"), F.concat(way, F.array(x)).alias("way")))))
+    fit = F.filter(tried, lambda x: F.size(x["times"]) >= r["least"])
+    more = chosen.withColumn("__tried", F.when(F.size("rs") > k, fit)).withColumn("__past", F.size("rs") <= k)
+    none = F.array(F.lit(None).cast("array<int>"))
+    more = more.withColumn("__times", F.explode(F.when(F.col("__past"), none).otherwise(F.array_distinct(F.transform("__tried", lambda x: x["times"])))))
+    same = F.transform(F.filter("__tried", lambda x: x["times"] == F.col("__times")), lambda x: x["way"])
+    more = more.withColumn("__ways", F.when(~F.col("__past"), same))
+    # of ways that agree at every place with children to come one is enough
+    open_ = lambda way: F.filter(way, lambda _, i: F.get("rs", i)["until"] > k)
+    alone = F.filter("__ways", lambda way, i: ~F.exists(F.slice("__ways", F.lit(1), i), lambda w: open_(w) == open_(way)))
+    ways = F.when(F.col("__past"), F.col("ways")).when(F.size("__ways") == 1, F.col("__ways")).otherwise(alone)
+    lists = F.when(F.col("__past"), F.col("lists")).otherwise(F.concat("lists", F.array("__times")))
+    return more.withColumns({"ways": ways, "lists": lists}).select(*names)
 
 
 MOMENTS = ("s", "sx", "sxx", "sy", "sxy", "syy", "n")

@@ -203,7 +203,9 @@ LINES = "one AS (SELECT l_orderkey AS fit_id, l_linenumber AS n, CAST(max(l_quan
 def order_ranges(spark, d):
     from pyspark.sql import Window as W
 
-    one = base.table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("fit_id"), c("l_linenumber").alias("n")).agg(F.max("l_quantity").cast("int").alias("q"))
+    # dealt out by fit once: what follows groups by fit or by more
+    lines = base.table(spark, d, "lineitem").select(c("l_orderkey").alias("fit_id"), c("l_linenumber").alias("n"), "l_quantity").repartition("fit_id")
+    one = lines.groupBy("fit_id", "n").agg(F.max("l_quantity").cast("int").alias("q"))
     r = one.select("fit_id", (F.row_number().over(W.partitionBy("fit_id").orderBy("n")) - 1).alias("range_id"), "q")
     root, q = c("range_id") % 3 == 0, c("q")
     return r.select("fit_id", "range_id", F.when(~root, -1).alias("offset"), F.when(root, q % 5).otherwise(q % 3 - 1).alias("ti"), F.when(root, q % 5 + 3 + q % 4).otherwise(1 - q % 2).alias("tf"), (1 + q % 2).alias("dti"), (1 + (q % 7 == 0).cast("int")).alias("dtf"), F.when(q % 4 == 0, F.array(F.lit(2), F.lit(2), F.lit(0), F.lit(1), F.lit(1))).alias("thin"), F.lit(2).alias("min_points"))

@@ -112,3 +112,17 @@ def test_scan_equals_fits_of_each_range(spark):
     assert len(one) == 5 and all(r["slope"] is None and r["range_id"] == "one" for r in one)
     scanned = rg.scan_lines(p, w)._jdf.queryExecution().executedPlan().toString()
     assert scanned.count("Generate") <= 2 and "NestedLoop" not in scanned  # no row for each range and point
+
+
+#: Several ends give one list, and ranges that hang on them tell them apart again.
+ALIKE = [("t", 0, None, 0, 5, 1, 3, [3], 1), ("t", 1, -1, 0, 0, 1, 3, [2], 1), ("t", 2, -2, 1, 1, 2, 2, [4], 1), ("t", 3, -1, 0, 1, 2, 1, [2, 1, 0], 1)]
+
+
+@pytest.mark.parametrize("rows", [ALIKE, [("u", k, None if k == 0 else -1, 0 if k else 1, 0 if k else 6, 1, 2 if k % 4 == 0 else 1, [2], 1) for k in range(11)]])
+def test_choices_need_no_join_and_no_comparison(spark, rows):
+    df = rg.range_combinations(spark.createDataFrame(rows, SCHEMA))
+    got = df.collect()
+    assert {(r["fit_id"], tuple(tuple(x["fit_times"]) for x in r["ranges"])) for r in got} == {(rows[0][0], c) for c in brute(rows)}
+    assert len(got) == len(brute(rows)) and all(times(x["ti"], x["tf"], rows[x["range_id"]][7]) == x["fit_times"] for r in got for x in r["ranges"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Aggregate" not in plan
