@@ -123,3 +123,19 @@ def test_tails():
     want = 1 - 2 / math.pi * (t / math.sqrt(3) / (1 + t * t / 3) + math.atan(t / math.sqrt(3)))
     got = st.hotelling_tail(np.array([t * t, 5.0, 3.0]), np.array([1, 0, 4]), np.array([3, 3, 2]))
     assert np.isclose(got[0], want) and got[1] == 1 and np.isclose(got[2], st.chi_square_tail(np.array([3.0]), np.array([4]))[0])
+
+
+def test_half_hundredths_are_ranked_as_in_sql(spark, tmp_path):
+    """Balances whose ten thousandth is half a hundredth in decimals, but not as a double times 100."""
+    import duckdb
+
+    from corvane.plans import catalogue
+
+    balances = [1450.0, 1449.0, 1500.0, 2850.0, 2800.0, 5650.0, 5600.0, 5750.0, 5700.0, 50.0, -50.0, -0.3, 0.0, None]
+    f = str(tmp_path / "customer.parquet")
+    con = duckdb.connect()
+    con.execute("create table customer (c_custkey bigint, c_mktsegment varchar, c_acctbal double)")
+    con.executemany("insert into customer values (?, 'one', ?)", [(180 * i, b) for i, b in enumerate(balances)])
+    con.execute(f"copy customer to '{f}'")
+    want = con.execute(catalogue.oracle_sql()["f4_rank_fits"]).fetchall()
+    assert sorted(map(tuple, q_fits.f4_rank_fits(spark, str(tmp_path)).collect())) == sorted(want)
