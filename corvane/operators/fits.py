@@ -105,41 +105,58 @@ def guess_levels(points: DataFrame, levels: int, value: str = "x", by: tuple[str
 
     def run(batches):
         for batch in batches:
-            made = [_peel(np.array(t), np.array(x), levels, sweeps) for t, x in zip(batch.column("t").to_pylist(), batch.column("x").to_pylist())]
-            columns = [batch.column(c) for c in by] + [pa.array(v, f.type) for v, f in zip(zip(*made), list(arrow)[len(by) :])]
-            if made:
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in by], *_peel_lists(batch.column("t"), batch.column("x"), levels, sweeps)], schema=arrow)
 
     return packed.select(*by, F.col("p.t").alias("t"), F.col("p.x").alias("x")).mapInArrow(run, schema)
 
 
-def _peel(t: np.ndarray, x: np.ndarray, levels: int, sweeps: int) -> tuple[list[float], list[float], float]:
-    n = len(t)
-    if n < 2 * levels or not np.isfinite(x).all():
-        return [], [], float("nan")
+def _peel_lists(t: pa.ListArray, x: pa.ListArray, levels: int, sweeps: int) -> list[pa.Array]:
+    """_peel() of the series of a batch, those of one length at once."""
+    n, first = t.value_lengths().to_numpy(), t.offsets.to_numpy()[:-1] - t.offsets[0].as_py()
+    t, x = (v.flatten().to_numpy(zero_copy_only=False) for v in (t, x))
+    energy, weight, found, left = np.zeros((len(n), levels)), np.zeros((len(n), levels)), np.zeros(len(n), dtype=int), np.full(len(n), np.nan)
+    for size in np.unique(n[n >= 2 * levels]):
+        rows = np.flatnonzero(n == size)
+        at = first[rows, None] + np.arange(size)
+        whole = np.isfinite(x[at]).all(axis=1)
+        rows, at = rows[whole], at[whole]
+        energy[rows], weight[rows], found[rows], left[rows] = _peel(t[at], x[at], levels, sweeps)
+    shown, ends = np.arange(levels) < found[:, None], np.concatenate([[0], np.cumsum(found)]).astype(np.int32)
+    with np.errstate(all="ignore"):
+        lists = [pa.ListArray.from_arrays(ends, v[shown]) for v in (energy, np.sqrt(np.abs(2 * energy * weight)))]
+    return [*lists, pa.array(left)]
+
+
+def _peel(t: np.ndarray, x: np.ndarray, levels: int, sweeps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Series as rows: energies and weights (lowest first, zeros behind those found), how many are found, the largest residual. A series
+    leaves the sweeps once it no longer moves."""
+    rows, n = t.shape
     # pairs of points: the last two for the lowest level, the first two for the highest, between them geometrically
     at = [n - 2] + [int(round((n - 2) * (1 / (n - 2)) ** (k / (levels - 1)))) if k < levels - 1 else 0 for k in range(1, levels)]
-    energy, weight = np.zeros(levels), np.zeros(levels)
-    found = 0
+    energy, weight, found = np.zeros((rows, levels)), np.zeros((rows, levels)), np.zeros(rows, dtype=int)
+    live = np.arange(rows)
     with np.errstate(all="ignore"):
         for sweep in range(sweeps):
-            before = energy.copy()
+            e, w, f, before = energy[live], weight[live], found[live], energy[live]
+            going = np.ones(len(live), dtype=bool)
             for k in range(levels):
-                rest = x - sum(weight[j] * np.exp(-energy[j] * t) for j in range(levels) if j != k)
-                a, b = rest[at[k]], rest[at[k] + 1]
-                e = np.log(a / b) / (t[at[k] + 1] - t[at[k]]) if b != 0 and a / b > 0 else np.nan
-                if not np.isfinite(e) or e <= 0:
-                    if not sweep:
-                        break
-                    continue
-                energy[k], weight[k] = e, b * np.exp(e * t[at[k] + 1])
-                found = max(found, k + 1)
-            if np.allclose(energy, before, rtol=1e-12, atol=0):
+                ta, tb = t[live, at[k]], t[live, at[k] + 1]
+                a, b = (x[live, at[k] + i] - sum(w[:, j] * np.exp(-e[:, j] * u) for j in range(levels) if j != k) for i, u in enumerate((ta, tb)))
+                new = np.log(a / b) / (tb - ta)
+                shows = going & (b != 0) & (a / b > 0) & np.isfinite(new) & (new > 0)
+                if not sweep:
+                    going = shows
+                e[:, k], w[:, k], f = np.where(shows, new, e[:, k]), np.where(shows, b * np.exp(new * tb), w[:, k]), np.where(shows, np.maximum(f, k + 1), f)
+            energy[live], weight[live], found[live] = e, w, f
+            live = live[~(np.abs(e - before) <= 1e-12 * np.abs(before)).all(axis=1)]
+            if not len(live):
                 break
-    order = np.argsort(energy[:found])
-    energy, weight = energy[:found][order], weight[:found][order]
-    left = np.abs(x - sum((w * np.exp(-e * t) for e, w in zip(energy, weight)), np.zeros(n)))
-    return energy.tolist(), np.sqrt(np.abs(2 * energy * weight)).tolist(), float((left / np.abs(x)).max())
+        order = np.argsort(np.where(np.arange(levels) < found[:, None], energy, np.inf), axis=1, kind="stable")
+        energy, weight = np.take_along_axis(energy, order, 1), np.take_along_axis(weight, order, 1)
+        rest = x - sum((np.where(k < found, weight[:, k], 0.0)[:, None] * np.exp(-energy[:, k, None] * t) for k in range(levels)), np.zeros(t.shape))
+        left = (np.abs(rest) / np.abs(x)).max(axis=1)
+    return energy, weight, found, left
 
 
 def guess_matrix_element(c3: Column, t: Column, dt: int, e_src: Column, e_snk: Column, a_src: Column, a_snk: Column) -> Column:

@@ -139,3 +139,21 @@ def test_half_hundredths_are_ranked_as_in_sql(spark, tmp_path):
     con.execute(f"copy customer to '{f}'")
     want = con.execute(catalogue.oracle_sql()["f4_rank_fits"]).fetchall()
     assert sorted(map(tuple, q_fits.f4_rank_fits(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_series_of_a_length_are_peeled_at_once(monkeypatch):
+    """One call for each length, whatever the number of series; each series as if it were alone."""
+    import pyarrow as pa
+
+    rng, calls, peel = np.random.default_rng(3), [], ft._peel
+    monkeypatch.setattr(ft, "_peel", lambda t, *a: calls.append(t.shape) or peel(t, *a))
+    lengths = [0, 3, 8, 12, 8, 12, 9, 8] * 40
+    ts = [np.arange(n, dtype=float) + 1 for n in lengths]
+    xs = [9 * np.exp(-0.5 * t) + rng.normal(3, 3) * np.exp(-rng.uniform(0.6, 2) * t) * (1 + 0.1 * rng.normal(size=len(t))) for t in ts]
+    xs[2][4], xs[3][-1] = np.nan, 0.0
+    lists = [pa.array([v.tolist() for v in vs], pa.list_(pa.float64())).slice(2) for vs in (ts, xs)]
+    got = list(zip(*[c.to_pylist() for c in ft._peel_lists(*lists, 2, 60)]))
+    assert len(calls) == 3 and sum(len(g[0]) == 2 for g in got) > 100 and len({len(g[0]) for g in got}) > 1
+    for g, t, x in zip(got, ts[2:], xs[2:]):
+        alone = [c.to_pylist()[0] for c in ft._peel_lists(*(pa.array([v.tolist()], pa.list_(pa.float64())) for v in (t, x)), 2, 60)]
+        assert len(g[0]) == len(alone[0]) and all(np.array_equal(a, b, equal_nan=True) for a, b in zip(g, alone))
