@@ -43,6 +43,8 @@ SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 BITS = 4
 #: Fingerprints of the word set, and of 64 bits of the shingle set, in similar_components().
 TABLES, WIDE = 4, 8
+#: For each start in the second turn of similar_components(): a group of which few pairs are similar becomes one component by links with these.
+PIVOTS = 16
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -153,13 +155,19 @@ def with_neighbour(nodes: DataFrame) -> DataFrame:
     return nodes.join(found.distinct(), ["table", "fp"], "left_semi").select("node").distinct()
 
 
-def pivot_pairs(nodes: DataFrame, turn: int = 0, also=None) -> DataFrame:
-    """Pairs (u, v) as near_pairs(), of nodes with the pivot of those that share a start with them: fewer than the rows of nodes times
-    the segments. turn: which node is the pivot."""
+def pivot_pairs(nodes: DataFrame, turn: int = 0, also=None, pivots: int = 1) -> DataFrame:
+    """Pairs (u, v) as near_pairs(), of nodes with the pivots of those that share a start with them, at most ``pivots`` for each start: fewer
+    than the rows of nodes times the segments times pivots. turn: which nodes are the pivots."""
     starts = _starts(nodes)
+    spans = F.min("label").alias("low"), F.max("label").alias("high")
+    slot = F.lit(0)
+    if pivots > 1:  # what shares its starts with its own label alone goes no further
+        starts = starts.join(starts.groupBy("at").agg(*spans).where("low < high").select("at"), "at", "left_semi")
+        slot = F.pmod(F.xxhash64("node", F.lit(turn), F.lit(pivots)), F.lit(pivots))
     pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *[F.col(c).alias(f"b_{c}") for c in nodes.columns])).alias("p")
-    pivots = starts.groupBy("at").agg(pivot, F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("at", "p.*")
-    met = starts.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns], "at").join(pivots, "at")
+    firsts = starts.groupBy("at", slot.alias("slot")).agg(pivot, *spans)
+    firsts = (firsts if pivots > 1 else firsts.where("low < high")).select("at", "p.*")
+    met = starts.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns], "at").join(firsts, "at")
     fits = (F.col("a_label") != F.col("b_label")) & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= BITS)
     met = met.where(fits if also is None else fits & also)
     return met.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v"))
@@ -270,8 +278,8 @@ def _similar(df: DataFrame, id_column: str, shingle: int, similarity: float, tex
     may_fit = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * similarity - 1e-9
     may_fit = may_fit & (sum((F.bit_count(F.col(f"a_w{k}").bitwiseXOR(F.col(f"b_w{k}"))) for k in range(WIDE)), F.lit(0)) <= wide_bits(similarity))
     labels, tested = None, None
-    for turn in range(2):
-        pairs = pivot_pairs(_labelled(nodes, labels), turn, may_fit).distinct()
+    for turn, pivots in enumerate((1, PIVOTS)):
+        pairs = pivot_pairs(_labelled(nodes, labels), turn, may_fit, pivots).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = _joined(similar_pairs(pairs, sets, similarity), labels)

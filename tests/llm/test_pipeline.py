@@ -112,3 +112,19 @@ def test_whole_run_equals_brute_force(spark, tmp_path):
     kept = sorted(((r["doc_id"], r["lang"]) for r in want), key=str)
     assert sorted(((d, lang) for d, lang, _ in got), key=str) == kept and 0 < len(kept) < len(rows)
     assert len({d for d, _, _ in got}) == len(got)
+
+
+def test_pivots_of_a_group_grow_with_its_nodes_only(spark):
+    """Sixteen pivots a start: links of a dense group by more than one node, all of them near, of unlike labels, and no more than pivots times starts."""
+    from corvane.llm import simhash
+
+    rows = [(k, 0, (0x1234_5678_9ABC_DEF0 >> 1) ^ (1 << k), k if k else 1) for k in range(52)]
+    nodes = spark.createDataFrame(rows, "node long, table int, fp long, label long")
+    near = {tuple(r) for r in simhash.near_pairs(nodes).collect()}
+    one, many = ([tuple(r) for r in simhash.pivot_pairs(nodes, 1, None, n).distinct().collect()] for n in (1, 16))
+    assert set(one) <= near and set(many) <= near and (0, 1) not in many
+    assert len(near) > 1000 and 3 * len(one) < len(many) <= 16 * 5 * len(rows)
+    reached = {1}
+    while more := {x for p in many for x in p if set(p) & reached} - reached:
+        reached |= more
+    assert len(reached) >= 50
