@@ -17,7 +17,7 @@ column that is named like a result comes back with underscores before its name.
 
 from __future__ import annotations
 
-import os
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -25,20 +25,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .bpe import load
+from .bpe import byte_letters, load
 from .common import apart, small_batches, text_or_empty
 
 #: Examples that wait in a task, and chunks whose ids a worker keeps.
 POOL, CACHE_CHUNKS = 512, 1_500_000
 #: Signs that are one word of the tokenizer, however many stand behind letters.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: A sign that is a token by itself, and words that are tokenised in one text with it between them.
-BETWEEN, JOINED = "|", 20_000
+#: Letters of the longest chunk whose ids are kept, so that what is kept is bounded whatever the texts hold.
+LONGEST = 40
 #: Letters of a text that are tokenised at a time, about.
 SLICE = 1 << 20
 #: Bits of a sequence's number within its task.
@@ -142,20 +143,18 @@ class Packer:
 
 
 class TextIds:
-    """Token ids of texts as little-endian unsigned 32-bit numbers, by a tokenizer file whose words end at white space. Chunks between white
-    space are tokenised once each, by the tokenizers library; those that its normalizer could change again, or that hold a special
-    token, by WordBpe. Words are known by themselves, so that a chunk with other punctuation is put together from what is known."""
+    """Token ids of texts as little-endian unsigned 32-bit numbers, by a tokenizer file whose words end at white space. A batch's texts are
+    normalised, cut at white space and reduced to their different chunks by Arrow. A chunk's words go to the BPE model of the tokenizers
+    library as bytes' letters, each once: before them the library would only repeat what has been done. Words are known by themselves, so
+    that a chunk with other punctuation is put together from what is known."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         self.words, self.cache = load(path), {}
-        self.lettered = not any(t.isalpha() for t in self.words.special)  # then no word of letters is a special token
-        (self.bar,) = self.library.encode(BETWEEN, add_special_tokens=False).ids
+        library = Tokenizer.from_file(path)
+        self.tokenize, self.cut = library.model.tokenize, library.pre_tokenizer.pre_tokenize_str
+        self.letters = dict(enumerate(byte_letters()))
 
     @staticmethod
     def _slices(text: str) -> Iterator[str]:
@@ -169,72 +168,71 @@ class TextIds:
             at = end
         yield text[at:]
 
-    def _plain(self, chunk: str) -> bool:
-        if self.lettered and chunk.isascii() and chunk.isalpha():
-            return True
-        try:
-            chunk.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return chunk[0] != " " and not any(s in chunk for s in self.words.special)
-
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.cache) + len(missing) > CACHE_CHUNKS:
-            self.cache.clear()
-        cache, words = self.cache, self.words.words.findall
-        plain = [c for c in missing if self._plain(c)]
-        new, split = set(), []
-        for c in plain:
-            if c.isalpha():
-                new.add(c)
-                continue
-            head = c.rstrip(SIGNS)
-            parts = (head, c[len(head) :]) if head.isalpha() and len(head) < len(c) else words(c)
-            split.append((c, parts))
-            new.update(parts)
-        new = new.difference(cache)  # not in place, which would go through all of the cache
-        alone = [w for w in new if BETWEEN in w]
-        new = list(new.difference(alone))
-        for k in range(0, len(new), JOINED):
-            self._joined(new[k : k + JOINED])
-        for w, found in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            cache[w] = array("I", found.ids).tobytes()
-        for c, parts in split:
-            cache[c] = b"".join([cache[w] for w in parts])
-        others = list(missing.difference(plain))
-        if len(self.words.cache) > CACHE_CHUNKS // 4:
-            self.words.cache.clear()
-        self.words.learn([c for c in others if c not in self.words.cache])
-        for c in others:
-            cache[c] = array("I", map(int, self.words.cache[c][0].split())).tobytes()
-
-    def _joined(self, words: list[str]) -> None:
-        """Tokenise words in one text, which costs less than one by one: a bar stands between them."""
-        ids = np.array(self.library.encode_batch_fast([f" {BETWEEN} ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts, raw = np.flatnonzero(ids == self.bar), ids.tobytes()
-        for w, a, b in zip(words, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-            self.cache[w] = raw[a:b]
+    def _keep(self, chunk: str, ids: bytes) -> bytes:
+        if len(chunk) <= LONGEST:
+            if len(self.cache) >= CACHE_CHUNKS:
+                self.cache.clear()
+            self.cache[chunk] = ids
+        return ids
+
+    def _ids(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        ids = self.cache.get(word)
+        if ids is not None:
+            return ids
+        plain = word.isascii() and word.isprintable()
+        return self._keep(word, self._ids(word if plain else word.encode().decode("latin-1").translate(self.letters)))
+
+    def _learn(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self._word(chunk)
+        if chunk.startswith(" "):
+            return array("I", [self.words.special[chunk[1:]]]).tobytes()
+        head = chunk.rstrip(SIGNS)
+        if head.isalpha() and len(head) < len(chunk):
+            ids = self._word(head) + self._word(chunk[len(head) :])
+        elif chunk.isascii():
+            ids = b"".join(map(self._word, self.words.words.findall(chunk)))
+        else:  # the library may count letters that are newer than Python's tables
+            ids = b"".join([self._ids(letters) for letters, _ in self.cut(chunk)])
+        return self._keep(chunk, ids)
+
+    def _short(self, texts: list[str]) -> list[bytes]:
+        """Texts with special tokens come last, as their chunks are not cut by Arrow."""
+        special, normal, out = self.words.special, self.words.normal, [b""] * len(texts)
+        marked = [any(s in t for s in special) for t in texts]
+        order = sorted(range(len(texts)), key=marked.__getitem__)
+        plain = pc.ascii_split_whitespace(pa.array([normal(t) for t, m in zip(texts, marked) if not m], pa.string()))
+        split = pa.concat_arrays([plain, pa.array([self.words.chunks(t) for t, m in zip(texts, marked) if m], plain.type)])
+        chunks = split.flatten().dictionary_encode()
+        if not len(chunks):
+            return out
+        different = chunks.dictionary.to_pylist()
+        known = [self._learn(c) if ids is None else ids for c, ids in zip(different, list(map(self.cache.get, different)))]
+        ids = pa.array(known, pa.binary()).take(chunks.indices)
+        _, offsets, raw = ids.buffers()
+        ends, raw = np.frombuffer(offsets, np.int32)[split.offsets.to_numpy()].tolist(), memoryview(raw or b"")
+        for k, a, b in zip(order, ends, ends[1:]):
+            out[k] = raw[a:b].tobytes()
+        return out
 
     def encode(self, texts: list[str], end_id: int | None = None) -> list[bytes]:
         end = b"" if end_id is None else array("I", [end_id]).tobytes()
-        long = [len(t) > SLICE for t in texts]
-        split = [[] if big else self.words.chunks(t) for t, big in zip(texts, long)]
-        missing = set().union(*split)
-        if not missing <= self.cache.keys():
-            new = missing.difference(self.cache)
-            self._learn(missing if len(self.cache) + len(new) > CACHE_CHUNKS else new)
-        # a small table of the batch's own chunks is faster to look up than all that is known
-        find = dict(zip(missing, map(self.cache.__getitem__, missing))).__getitem__
-        short = [b"".join(map(find, chunks)) for chunks in split]
-        return [(self._long(t) if big else ids) + end for t, big, ids in zip(texts, long, short)]
-
-    def _long(self, text: str) -> bytes:
-        slices = self._slices(text)
-        first = next(slices)
-        if len(first) < len(text):
-            return b"".join([self.encode([s])[0] for s in (first, *slices)])
-        found = self.words.encode_batch([text])[0][0]  # no white space cuts it
-        return array("I", map(int, found.split())).tobytes()
+        short = iter(self._short([t for t in texts if len(t) <= SLICE]))
+        return [(next(short) if len(t) <= SLICE else b"".join([self._short([s])[0] for s in self._slices(t)])) + end for t in texts]
+
+
+_KNOWN: dict[tuple[str, str], TextIds] = {}
+
+
+def text_ids(path: str, call: str) -> TextIds:
+    """What this worker knows of a tokenizer file, kept from one task of a call of pack_texts() to the next; another call starts anew."""
+    if (path, call) not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[path, call] = TextIds(path)
+    return _KNOWN[path, call]
 
 
 def _packed(df: DataFrame, keep: list[str], limits: Limits, cut: bool, full: bool, make) -> DataFrame:
@@ -286,9 +284,10 @@ def pack_texts(df: DataFrame, path: str, limits: Limits = Limits(), keep: tuple[
     """A row for each piece: keep, start (tokens of its text before it), length, ids_crc32, doc_tokens, sequence_id, offset (in the sequence),
     loss (its loss-bearing tokens: all of a text's but the first) and, if ``full``, ids."""
     columns, names = apart(df, keep, *RESULTS, "text")
+    call = uuid.uuid4().hex
 
     def make():
-        tokenizer = TextIds(path)
+        tokenizer = text_ids(path, call)
 
         def examples(texts):
             return [(ids, max(0, len(ids) // 4 - 1)) for ids in tokenizer.encode(texts, end_id)]

@@ -37,6 +37,31 @@ def test_ids_are_the_librarys(slice_, monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts, 2)] == [w + [2] for w in want]
 
 
+def test_ids_of_odd_letters():
+    """Letters that the library counts and Python's tables may not (U+0558, U+088F, U+10940), white space of every kind, special tokens between words."""
+    pick = random.Random(5)
+    signs = [*"abcS's ,.|\"_0\t\n\x0b\x1c\x1f\x85\xa0\u2028\u3000\u200b", *"\u0558\u088f\U00010940ÉßİŉǅЖ漢🙂\u0301가", "<|endoftext|>", "<|startoftext|>", "<|", " 's"]
+    texts = [f"a{chr(c)}b {chr(c)}" for c in (0x558, 0x88F, 0x10940)] + ["".join(pick.choices(signs, k=pick.randrange(40))) for _ in range(3000)]
+    want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    ids = packing.TextIds(queries.tokenizer_path("word_bpe_49k.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.encode(texts)] == want
+
+
+def test_words_are_tokenised_once_a_worker(monkeypatch):
+    """The next task of a call asks the model for nothing that its worker knows, another call does; long chunks are not kept."""
+    path, asked = queries.tokenizer_path("word_bpe_49k.json"), []
+    monkeypatch.setattr(packing, "_KNOWN", {})
+    first = packing.text_ids(path, "a call")
+    monkeypatch.setattr(first, "tokenize", lambda word, of=first.tokenize: asked.append(word) or of(word))
+    text = "one word, another word. " + "y" * 1000
+    ids = first.encode([text, text], 2)
+    assert sorted(asked) == sorted(["one", "word", ",", "another", ".", "y" * 1000])
+    asked.clear()
+    assert packing.text_ids(path, "a call").encode([text], 2) == ids[:1] and asked == ["y" * 1000]
+    assert max(map(len, first.cache)) <= packing.LONGEST
+    assert not packing.text_ids(path, "another").cache and len(packing._KNOWN) == 1
+
+
 def held(pieces, ids, limits):
     """Every id once, sequences gapless and within their limits; their lengths."""
     by = defaultdict(list)
